@@ -41,8 +41,9 @@ def stats(df: DataFrame, aggs: dict[str, Column]) -> dict[str, Column]:
     """One global aggregate -> ``{name: scalar-subquery Column}``."""
     if not aggs:
         return {}
-    row = df.agg(*[e.alias(k) for k, e in aggs.items()])
-    return {k: row.select(k).scalar() for k in aggs}
+    row = df.agg(F.struct(*[e.alias(k) for k, e in aggs.items()]).alias("s"))
+    s = row.select("s").scalar()
+    return {k: s[k] for k in aggs}
 
 
 # ---------------------------------------------------------------- F2-F7
@@ -97,7 +98,7 @@ def out_of_range(df: DataFrame, ranges) -> DataFrame:
     """Per ranged column, count of non-null values outside ``[lo, hi]``;
     only columns with a positive count.  One pass."""
     rs = [(c, lo, hi) for c, lo, hi in ranges if c in df.columns]
-    aggs = [F.count(F.when((F.col(c) < lo) | (F.col(c) > hi), 1)).alias(c) for c, _, _ in rs]
+    aggs = [F.count(F.when((F.col(c) < lo) | (F.col(c) > hi), 1)).alias(c) for c, lo, hi in rs]
     wide = df.agg(*aggs)
     bounds = F.create_map(*[x for c, lo, hi in rs
                             for x in (F.lit(c), F.array(F.lit(float(lo)), F.lit(float(hi))))])
@@ -227,11 +228,19 @@ STEPS = ("dropna", "impute_median", "impute_mean", "impute_mode", "clip", "minma
          "zscore", "one_hot", "dedup")
 
 
-def clean(df: DataFrame, steps, exclude=(), clip_ranges_=()) -> tuple[DataFrame, DataFrame]:
+FITTED = ("impute_median", "impute_mean", "impute_mode", "minmax", "zscore", "one_hot")
+
+
+def clean(df: DataFrame, steps, exclude=(), clip_ranges_=(),
+          materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """Apply cleaning steps in the given order.
 
     Numeric / categorical column sets are frozen once, before the first
-    step (so one-hot columns are not rescaled).  Returns the cleaned frame
+    step (so one-hot columns are not rescaled).  Steps that fit statistics
+    read the previous stage; with ``materialize`` (default) that stage is
+    checkpointed to ``spark.checkpoint.dir`` first, so each pass reads a
+    written table instead of re-running the whole lineage (and a lost
+    executor never forces a recompute from the sources).  Returns the cleaned frame
     and a lazy step log ``(seq, step, rows, columns)``: the row counts of
     every stage are aggregates of the staged frames, evaluated in one job
     when the log is read.
@@ -241,6 +250,10 @@ def clean(df: DataFrame, steps, exclude=(), clip_ranges_=()) -> tuple[DataFrame,
     stages = [("input", df)]
     cur = df
     for step in steps:
+        if materialize and step in FITTED and len(stages) > 1:
+            from riskframe.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(cur.sparkSession)
+            cur = cur.checkpoint(eager=True)
         if step == "dropna":
             cur = dropna_any(cur)
         elif step == "impute_median":
