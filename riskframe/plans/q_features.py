@@ -1 +1,173 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: feature preparation (M1-M8, M10, L2 folds, K5)."""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from riskframe.operators import features as M
+from riskframe.plans.analytic import analytic_dataset
+from riskframe.plans.oracle_base import RANGES, r, with_wide
+from riskframe.plans.registry import query, rounded
+from riskframe.spec import tpch_binding
+
+SPEC = tpch_binding()
+SUBS = ["sub_click", "sub_view", "sub_purchase", "sub_signup"]
+NUM_CAND = ["c_acctbal", "los_days", "lab_a", "lab_n", "lab_r"] + SUBS + ["sub_total"]
+# routing observed on the driver tables (checked by the feature_routing query)
+IMPUTABLE = ["c_acctbal", "los_days", "lab_a", "lab_n", "lab_r"]
+PASSTHRU = SUBS + ["sub_total"]
+LEVELS = {"segment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "None"],
+          "o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+          "o_orderstatus": ["F", "O", "P"]}
+FLAGS = {"acctbal_over_7500": "c_acctbal >= 7500", "los_over_7": "los_days > 7",
+         "los_over_14": "los_days > 14", "lab_a_low": "lab_a < 20000", "lab_n_low": "lab_n < 10000"}
+BINARY = (["err_flag"] + list(FLAGS) + [f"{c}_missing" for c in ["lab_a", "lab_n", "lab_r"]]
+          + [f"{c}_missing" for c in PASSTHRU])
+
+
+# ------------------------------------------------------------------ SQL building blocks
+def _engineered_ctes() -> list[str]:
+    val = ", ".join(f"CASE WHEN {c} BETWEEN {lo} AND {hi} THEN {c} END AS {c}" for c, lo, hi in RANGES)
+    v = (f"v AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderstatus, segment, flag, "
+         f"err_flag, {val} FROM wide)")
+    top = ("top AS (SELECT o_orderpriority AS p FROM v WHERE o_orderpriority IS NOT NULL "
+           "GROUP BY 1 ORDER BY count(*) DESC, p ASC LIMIT 5)")
+    total = ("CASE WHEN coalesce(" + ", ".join(SUBS) + ") IS NOT NULL THEN "
+             + " + ".join(f"coalesce({c}, 0)" for c in SUBS) + " END")
+    miss = ", ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END AS {c}_missing"
+                     for c in ["lab_a", "lab_n", "lab_r"] + SUBS)
+    flags = ", ".join(f"coalesce(CAST({e} AS INTEGER), 0) AS {n}" for n, e in FLAGS.items())
+    e = (f"e AS (SELECT * EXCLUDE (o_orderpriority), CASE WHEN o_orderpriority IN (SELECT p FROM top) "
+         f"THEN o_orderpriority ELSE 'Other' END AS o_orderpriority, {total} AS sub_total, "
+         f"{miss}, {flags} FROM v)")
+    e2 = "e2 AS (SELECT *, CASE WHEN sub_total IS NULL THEN 1 ELSE 0 END AS sub_total_missing FROM e)"
+    s = ("s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY flag ORDER BY "
+         "md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) <= round(0.2 * count(*) OVER "
+         "(PARTITION BY flag)) THEN 'test' ELSE 'train' END AS split FROM e2)")
+    med = ("med AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in IMPUTABLE)
+           + " FROM s WHERE split = 'train')")
+    st = ("st AS (SELECT " + ", ".join(
+        f"avg(coalesce({c}, m_{c})) AS mu_{c}, CASE WHEN stddev_pop(coalesce({c}, m_{c})) > 0 "
+        f"THEN stddev_pop(coalesce({c}, m_{c})) ELSE 1.0 END AS sd_{c}" for c in IMPUTABLE)
+        + " FROM s, med WHERE split = 'train')")
+    return [v, top, e, e2, s, med, st]
+
+
+def _prepared_select() -> str:
+    num = [f"{r(f'(coalesce({c}, m_{c}) - mu_{c}) / sd_{c}')} AS {c}" for c in IMPUTABLE]
+    cat = [f"CASE WHEN coalesce({c}, 'None') = '{v}' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS \"{c}_{v}\""
+           for c, lv in LEVELS.items() for v in lv]
+    pas = [f"{r(c)} AS {c}" for c in PASSTHRU]
+    binr = [f"CAST({c} AS DOUBLE) AS {c}" for c in BINARY]
+    w = ("CASE WHEN flag = 1 THEN (SELECT CAST(count(*) FILTER (WHERE flag = 0) AS DOUBLE) / "
+         "count(*) FILTER (WHERE flag = 1) FROM s WHERE split = 'train') ELSE 1.0 END")
+    return ("SELECT o_orderkey, flag, split, " + ", ".join(num + cat + pas + binr)
+            + f", {r(w)} AS weight FROM s, med, st")
+
+
+# ------------------------------------------------------------------ Spark side
+def _engineered(spark, base):
+    w, num, cat, binary = M.engineer(analytic_dataset(spark, base), SPEC)
+    return w, num, cat, binary
+
+
+@lru_cache(maxsize=4)
+def _prepared_cached(spark, base):
+    return M.prepare_data(analytic_dataset(spark, base), SPEC)
+
+
+def prepared(spark, base) -> M.Prepared:
+    """Prepared table for ``base`` (checkpointed; reused within a session)."""
+    return _prepared_cached(spark, base)
+
+
+# ------------------------------------------------------------------ M1
+@query("feature_routing", with_wide(
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {r(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)')} AS null_ratio, "
+        f"CASE WHEN avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) <= 0.5 THEN 'impute' "
+        f"ELSE 'passthrough' END AS route FROM e" for c in NUM_CAND) + ")",
+    *_engineered_ctes()[:3]))
+def q_feature_routing(spark, base):
+    w, num, _, _ = _engineered(spark, base)
+    return rounded(M.feature_routing(w, num, SPEC.routing_max_null))
+
+
+# ------------------------------------------------------------------ M8
+@query("stratified_split", with_wide("""
+SELECT o_orderkey, flag,
+       CASE WHEN row_number() OVER (PARTITION BY flag ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey)
+                 <= round(0.2 * count(*) OVER (PARTITION BY flag)) THEN 'test' ELSE 'train' END AS split
+FROM wide"""))
+def q_stratified_split(spark, base):
+    w = analytic_dataset(spark, base).select("o_orderkey", "flag")
+    return M.stratified_split(w, "flag", "o_orderkey", SPEC.test_share, SPEC.seed)
+
+
+@query("hash_split", with_wide("""
+SELECT o_orderkey, CASE WHEN substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 8) < '33333333'
+                   THEN 'test' ELSE 'train' END AS split FROM wide"""))
+def q_hash_split(spark, base):
+    w = analytic_dataset(spark, base).select("o_orderkey")
+    return M.hash_split(w, "o_orderkey", SPEC.test_share, SPEC.seed)
+
+
+@query("stratified_folds", with_wide("""
+SELECT o_orderkey, flag,
+       CAST((row_number() OVER (PARTITION BY flag ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1) % 5 AS INTEGER) AS fold
+FROM wide"""))
+def q_stratified_folds(spark, base):
+    w = analytic_dataset(spark, base).select("o_orderkey", "flag")
+    return M.stratified_folds(w, "flag", "o_orderkey", 5, SPEC.seed)
+
+
+# ------------------------------------------------------------------ M10
+@query("class_weights", with_wide(f"""
+SELECT o_orderkey, flag, {r("CASE WHEN flag = 1 THEN (SELECT CAST(count(*) FILTER (WHERE flag = 0) AS DOUBLE) / count(*) FILTER (WHERE flag = 1) FROM wide) ELSE 1.0 END")} AS weight
+FROM wide"""))
+def q_class_weights(spark, base):
+    w = analytic_dataset(spark, base).select("o_orderkey", "flag")
+    return rounded(M.class_weights(w, "flag"))
+
+
+# ------------------------------------------------------------------ K5 / M2-M5
+def _params_sql():
+    num = [f"SELECT 'num' AS kind, '{c}' AS feature, {i} AS position, CAST(NULL AS VARCHAR) AS level, "
+           f"{r(f'm_{c}')} AS fill, {r(f'mu_{c}')} AS mean, {r(f'sd_{c}')} AS scale FROM med, st"
+           for i, c in enumerate(IMPUTABLE)]
+    cat = [f"SELECT 'cat', '{c}', {i}, '{v}', NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"
+           for c, lv in LEVELS.items() for i, v in enumerate(lv)]
+    pas = [f"SELECT 'passthru', '{c}', {i}, NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"
+           for i, c in enumerate(PASSTHRU)]
+    binr = [f"SELECT 'binary', '{c}', {i}, NULL, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"
+            for i, c in enumerate(BINARY)]
+    return with_wide(" UNION ALL ".join(num + cat + pas + binr), *_engineered_ctes())
+
+
+@query("preproc_params", _params_sql())
+def q_preproc_params(spark, base):
+    return rounded(prepared(spark, base).preprocessor.params_table())
+
+
+# ------------------------------------------------------------------ M7 (and M2-M6 applied)
+@query("prepare_data", with_wide(_prepared_select(), *_engineered_ctes()))
+def q_prepare_data(spark, base):
+    return rounded(prepared(spark, base).table)
+
+
+@query("preproc_apply", with_wide(
+    _prepared_select().replace("SELECT o_orderkey, flag, split, ", "SELECT o_orderkey, flag, split, ", 1)
+    + " WHERE split = 'test'", *_engineered_ctes()))
+def q_preproc_apply(spark, base):
+    p = prepared(spark, base)
+    return rounded(p.table.where(F.col("split") == "test"))
+
+
+@query("assemble")
+def q_assemble(spark, base):
+    p = prepared(spark, base)
+    v = M.assemble(p.table, p.feature_names)
+    return v.select("o_orderkey", "flag", vector_to_array("features").alias("features"))
