@@ -56,5 +56,7 @@ def with_wide(body: str, *ctes: str) -> str:
 
 
 def r(expr: str, digits: int = 6) -> str:
-    """Round like ``registry.rounded`` (and fold -0.0)."""
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    """Round like ``registry.round_half_up`` (and fold -0.0)."""
+    x = f"CAST({expr} AS DOUBLE)"
+    s = f"1e{digits}"
+    return f"(CASE WHEN abs({x}) < 1e12 THEN floor({x} * {s} + 0.5) / {s} ELSE {x} END + 0.0)"
