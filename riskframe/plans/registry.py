@@ -17,6 +17,8 @@ ORACLE: dict[str, str] = {}
 
 DIGITS = 6
 
+from riskframe.functions.scalar import round_half_up  # noqa: E402
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn`` under ``name`` with an optional oracle SQL string."""
@@ -28,16 +30,6 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def round_half_up(c, digits: int = DIGITS):
-    """``floor(x * 10^d + 0.5) / 10^d``: plain IEEE arithmetic, so two
-    engines that hold the same double produce the same rounded double (SQL
-    ``round`` differs between engines on exact ties).  Magnitudes >= 1e12
-    are left as they are."""
-    x = c.cast("double")
-    scale = float(10 ** digits)
-    return F.when(F.abs(x) < 1e12, F.floor(x * scale + 0.5) / scale).otherwise(x) + F.lit(0.0)
-
-
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round double columns (and -0.0 -> 0.0) so two engines hash alike."""
     cols = []

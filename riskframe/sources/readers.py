@@ -30,20 +30,19 @@ def read_table(spark: SparkSession, base: str, name: str,
     return df.select(*columns) if columns else df
 
 
+TS_READ = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+
+
 def _try_csv(spark: SparkSession, path: str, schema, header: bool, infer: bool,
              timestamp_format: str | None) -> DataFrame:
-    reader = spark.read.option("header", header).option("mode", "FAILFAST")
-    if timestamp_format:
-        reader = reader.option("timestampNTZFormat", timestamp_format) \
-                       .option("timestampFormat", timestamp_format)
+    fmt = timestamp_format or TS_READ
+    reader = (spark.read.option("header", header).option("mode", "FAILFAST")
+              .option("timestampNTZFormat", fmt).option("timestampFormat", fmt))
     if schema is not None:
         reader = reader.schema(schema)
     else:
         reader = reader.option("inferSchema", infer)
-    df = reader.csv(path)
-    if schema is None and not infer:
-        return df
-    return df
+    return reader.csv(path)
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,

@@ -16,10 +16,18 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     w.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """K2: header, NULL written as the empty field."""
-    (df.write.mode("overwrite").option("header", True)
-     .option("nullValue", "").option("emptyValue", "\"\"").csv(path))
+TS_WRITE = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def write_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """K2: header, NULL written as the empty field, timestamps in one fixed
+    text format (read back by ``readers.TS_READ``)."""
+    w = (df.write.mode("overwrite").option("header", True)
+         .option("nullValue", "").option("emptyValue", "\"\"")
+         .option("timestampFormat", TS_WRITE).option("timestampNTZFormat", TS_WRITE))
+    if compression:
+        w = w.option("compression", compression)
+    w.csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
