@@ -130,6 +130,79 @@ def tree_shap(tree: Tree, x, phi, scale: float = 1.0) -> None:
     rec(0, [], 1.0, 1.0, -1)
 
 
+# ---------------------------------------------------------------- TreeSHAP, vectorized
+# The recursion visits every node for every row; only the 0/1 "one
+# fractions" (and the path weights derived from them) depend on the row.
+# So one walk of the tree explains a whole batch: the per-row quantities are
+# numpy vectors, the structural ones (feature, zero fraction) are scalars.
+def _extend_v(path, pz, po, pi, n):
+    depth = len(path)
+    path.append([pi, pz, po, np.full(n, 1.0 if depth == 0 else 0.0)])
+    for i in range(depth - 1, -1, -1):
+        path[i + 1][3] = path[i + 1][3] + po * path[i][3] * ((i + 1) / (depth + 1))
+        path[i][3] = pz * path[i][3] * ((depth - i) / (depth + 1))
+
+
+def _unwind_v(path, i):
+    last = len(path) - 1
+    o, z = path[i][2], path[i][1]
+    nz = o != 0
+    o_safe = np.where(nz, o, 1.0)
+    nxt = path[last][3]
+    for j in range(last - 1, -1, -1):
+        tmp = path[j][3]
+        a = nxt * (last + 1) / ((j + 1) * o_safe)
+        b = tmp * (last + 1) / (z * (last - j))
+        nxt = np.where(nz, tmp - a * z * ((last - j) / (last + 1)), nxt)
+        path[j][3] = np.where(nz, a, b)
+    for j in range(i, last):
+        path[j][0], path[j][1], path[j][2] = path[j + 1][0], path[j + 1][1], path[j + 1][2]
+    path.pop()
+
+
+def _unwound_sum_v(path, i):
+    last = len(path) - 1
+    o, z = path[i][2], path[i][1]
+    nz = o != 0
+    o_safe = np.where(nz, o, 1.0)
+    nxt = path[last][3]
+    total = np.zeros_like(nxt)
+    for j in range(last - 1, -1, -1):
+        tmp = nxt * (last + 1) / ((j + 1) * o_safe)
+        total = total + np.where(nz, tmp, path[j][3] / z / ((last - j) / (last + 1)))
+        nxt = np.where(nz, path[j][3] - tmp * z * ((last - j) / (last + 1)), nxt)
+    return total
+
+
+def tree_shap_batch(tree: Tree, X: np.ndarray, phi: np.ndarray, scale: float = 1.0) -> None:
+    """Vectorized ``tree_shap`` over the rows of ``X`` (n x features);
+    adds into ``phi`` (n x features)."""
+    n = X.shape[0]
+
+    def rec(j, path, pz, po, pi):
+        path = [list(e) for e in path]
+        _extend_v(path, pz, po, pi, n)
+        if tree.left[j] < 0:
+            for i in range(1, len(path)):
+                w = _unwound_sum_v(path, i)
+                phi[:, path[i][0]] += scale * tree.value[j] * w * (path[i][2] - path[i][1])
+            return
+        f = tree.feature[j]
+        go_left = X[:, f] <= tree.threshold[j]
+        iz, io = 1.0, np.ones(n)
+        for k in range(1, len(path)):
+            if path[k][0] == f:
+                iz, io = path[k][1], path[k][2]
+                _unwind_v(path, k)
+                break
+        c = tree.cover[j]
+        le, ri = tree.left[j], tree.right[j]
+        rec(le, path, iz * tree.cover[le] / c, io * go_left, f)
+        rec(ri, path, iz * tree.cover[ri] / c, io * ~go_left, f)
+
+    rec(0, [], 1.0, np.ones(n), -1)
+
+
 def base_value(trees, weights) -> float:
     return float(sum(w * t.expected() for t, w in zip(trees, weights)))
 
@@ -147,17 +220,17 @@ def attribution(df: DataFrame, key: str, feature_cols, trees, weights,
     key_type = df.schema[key].dataType.simpleString()
 
     def explain(batches):
+        k = len(names)
         for pdf in batches:
-            keys, feats, vals = [], [], []
-            for k, x in zip(pdf["__key"], pdf["__x"]):
-                phi = np.zeros(len(names))
-                xv = np.asarray(x, dtype=float)
-                for t, w in zip(trees, weights):
-                    tree_shap(t, xv, phi, w)
-                keys.extend([k] * len(names))
-                feats.extend(names)
-                vals.extend(phi.tolist())
-            yield pd.DataFrame({key: keys, "feature": feats, "contribution": vals})
+            if pdf.empty:
+                continue
+            X = np.stack(pdf["__x"].to_numpy()).astype(float)
+            phi = np.zeros((X.shape[0], k))
+            for t, w in zip(trees, weights):
+                tree_shap_batch(t, X, phi, w)
+            yield pd.DataFrame({key: np.repeat(pdf["__key"].to_numpy(), k),
+                                "feature": np.tile(np.array(names, dtype=object), X.shape[0]),
+                                "contribution": phi.reshape(-1)})
 
     return src.mapInPandas(explain, f"{key} {key_type}, feature string, contribution double")
 

@@ -19,6 +19,8 @@ Plan shape (one lazy DataFrame):
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +103,15 @@ def open_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
 def analytic_dataset(spark: SparkSession, base: str) -> DataFrame:
     """The flagship query on the driver tables under ``base``."""
     return build_analytic_dataset(open_tables(spark, base))
+
+
+@lru_cache(maxsize=8)
+def wide_table(spark: SparkSession, base: str) -> DataFrame:
+    """The analytic table materialised once per session and source: a
+    reliable checkpoint under ``spark.checkpoint.dir`` (the original tool
+    also writes this table once and lets every consumer read it).  Profiles,
+    cleaning, preparation, evaluation and reports read this instead of
+    re-running the six-source join for every scalar subquery."""
+    from riskframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return analytic_dataset(spark, base).checkpoint(eager=True)

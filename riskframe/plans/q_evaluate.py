@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.operators import evaluate as E
-from riskframe.plans.analytic import analytic_dataset
+from riskframe.plans.analytic import wide_table
 from riskframe.plans.oracle_base import SCORE_SQL, r, with_wide
 from riskframe.plans.registry import query, rounded
 
@@ -19,7 +19,7 @@ def fixed_score(df):
 
 
 def scored(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     return w.select("o_orderkey", "flag", fixed_score(w).alias("score"))
 
 

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.operators import features as M
-from riskframe.plans.analytic import analytic_dataset
+from riskframe.plans.analytic import wide_table
 from riskframe.plans.oracle_base import RANGES, r, with_wide
 from riskframe.plans.registry import query, rounded
 from riskframe.spec import tpch_binding
@@ -70,13 +70,13 @@ def _prepared_select() -> str:
 
 # ------------------------------------------------------------------ Spark side
 def _engineered(spark, base):
-    w, num, cat, binary = M.engineer(analytic_dataset(spark, base), SPEC)
+    w, num, cat, binary = M.engineer(wide_table(spark, base), SPEC)
     return w, num, cat, binary
 
 
 @lru_cache(maxsize=4)
 def _prepared_cached(spark, base):
-    return M.prepare_data(analytic_dataset(spark, base), SPEC)
+    return M.prepare_data(wide_table(spark, base), SPEC)
 
 
 def prepared(spark, base) -> M.Prepared:
@@ -103,7 +103,7 @@ SELECT o_orderkey, flag,
                  <= round(0.2 * count(*) OVER (PARTITION BY flag)) THEN 'test' ELSE 'train' END AS split
 FROM wide"""))
 def q_stratified_split(spark, base):
-    w = analytic_dataset(spark, base).select("o_orderkey", "flag")
+    w = wide_table(spark, base).select("o_orderkey", "flag")
     return M.stratified_split(w, "flag", "o_orderkey", SPEC.test_share, SPEC.seed)
 
 
@@ -111,7 +111,7 @@ def q_stratified_split(spark, base):
 SELECT o_orderkey, CASE WHEN substr(md5('42:' || CAST(o_orderkey AS VARCHAR)), 1, 8) < '33333333'
                    THEN 'test' ELSE 'train' END AS split FROM wide"""))
 def q_hash_split(spark, base):
-    w = analytic_dataset(spark, base).select("o_orderkey")
+    w = wide_table(spark, base).select("o_orderkey")
     return M.hash_split(w, "o_orderkey", SPEC.test_share, SPEC.seed)
 
 
@@ -120,7 +120,7 @@ SELECT o_orderkey, flag,
        CAST((row_number() OVER (PARTITION BY flag ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1) % 5 AS INTEGER) AS fold
 FROM wide"""))
 def q_stratified_folds(spark, base):
-    w = analytic_dataset(spark, base).select("o_orderkey", "flag")
+    w = wide_table(spark, base).select("o_orderkey", "flag")
     return M.stratified_folds(w, "flag", "o_orderkey", 5, SPEC.seed)
 
 
@@ -129,7 +129,7 @@ def q_stratified_folds(spark, base):
 SELECT o_orderkey, flag, {r("CASE WHEN flag = 1 THEN (SELECT CAST(count(*) FILTER (WHERE flag = 0) AS DOUBLE) / count(*) FILTER (WHERE flag = 1) FROM wide) ELSE 1.0 END")} AS weight
 FROM wide"""))
 def q_class_weights(spark, base):
-    w = analytic_dataset(spark, base).select("o_orderkey", "flag")
+    w = wide_table(spark, base).select("o_orderkey", "flag")
     return rounded(M.class_weights(w, "flag"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskframe.operators import explain as X
 from riskframe.operators import features as M
 from riskframe.operators import model as L
-from riskframe.plans.analytic import analytic_dataset
+from riskframe.plans.analytic import wide_table
 from riskframe.plans.oracle_base import r, with_wide
 from riskframe.plans.q_features import SPEC, prepared
 from riskframe.plans.registry import query, round_half_up, rounded
@@ -80,7 +80,7 @@ def q_score_sparse(spark, base):
     preprocessor fills absent numeric inputs with training medians and
     absent pass-through inputs with NULL; the width check guards the model."""
     p, model = trained(spark, base)
-    w, _, _, _ = M.engineer(analytic_dataset(spark, base), SPEC)
+    w, _, _, _ = M.engineer(wide_table(spark, base), SPEC)
     sparse = w.drop("sub_click", "sub_view", "sub_purchase", "sub_signup", "sub_total")
     x = p.preprocessor.transform(sparse, keep=[SPEC.entity_key])
     L.check_width(x, p.feature_names)
@@ -153,7 +153,7 @@ BASE = -2.6
 
 def fixed_contributions(spark, base):
     """(x - train mean) * coefficient per numeric column, NULL x -> 0, long."""
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     split = M.stratified_split(w, SPEC.label, SPEC.entity_key, SPEC.test_share, SPEC.seed)
     from riskframe.operators.quality import stats
     means = stats(split.where(F.col("split") == "train"), {c: F.avg(c) for c in COEF})

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from riskframe.operators import profile as P
-from riskframe.plans.analytic import (analytic_dataset, label_keys, open_tables,
+from riskframe.plans.analytic import (wide_table, label_keys, open_tables,
                                       per_order_lines, per_user_events, build_analytic_dataset)
 from riskframe.plans.oracle_base import NUMERIC, WIDE_CTE, r, with_wide
 from riskframe.plans.registry import query, rounded
@@ -32,7 +32,7 @@ def _union(parts):
 @query("value_counts", with_wide("""
 SELECT segment, count(*) AS count FROM wide WHERE segment IS NOT NULL GROUP BY segment"""))
 def q_value_counts(spark, base):
-    return P.value_counts(analytic_dataset(spark, base), "segment")
+    return P.value_counts(wide_table(spark, base), "segment")
 
 
 # ------------------------------------------------------------------ A4
@@ -41,7 +41,7 @@ SELECT flag, count(*) AS count, {r('round(count(*) * 100.0 / (SELECT count(*) FR
        CASE flag WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' END AS class
 FROM wide GROUP BY flag"""))
 def q_class_distribution(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     return rounded(P.class_distribution(w, "flag", {0: "negative", 1: "positive"}))
 
 
@@ -50,14 +50,14 @@ def q_class_distribution(spark, base):
 SELECT o_orderstatus, {r('round(avg(flag) * 100.0, 2)')} AS rate, count(*) AS count
 FROM wide WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus"""))
 def q_prevalence_by_group(spark, base):
-    return rounded(P.prevalence_by_group(analytic_dataset(spark, base), "o_orderstatus", "flag"))
+    return rounded(P.prevalence_by_group(wide_table(spark, base), "o_orderstatus", "flag"))
 
 
 @query("prevalence_by_segment", with_wide(f"""
 SELECT segment, {r('round(avg(flag) * 100.0, 2)')} AS rate, count(*) AS count
 FROM wide WHERE segment IS NOT NULL GROUP BY segment"""))
 def q_prevalence_by_segment(spark, base):
-    return rounded(P.prevalence_by_group(analytic_dataset(spark, base), "segment", "flag"))
+    return rounded(P.prevalence_by_group(wide_table(spark, base), "segment", "flag"))
 
 
 # ------------------------------------------------------------------ A6
@@ -71,7 +71,7 @@ def _group_compare_sql():
 
 @query("group_compare", _group_compare_sql())
 def q_group_compare(spark, base):
-    return rounded(P.group_compare(analytic_dataset(spark, base), "flag", CMP_COLS))
+    return rounded(P.group_compare(wide_table(spark, base), "flag", CMP_COLS))
 
 
 # ------------------------------------------------------------------ A7
@@ -86,7 +86,7 @@ def _describe_sql(cols, src="wide"):
 
 @query("describe_numeric", with_wide(_describe_sql(NUMERIC)))
 def q_describe_numeric(spark, base):
-    return rounded(P.describe_numeric(analytic_dataset(spark, base), NUMERIC))
+    return rounded(P.describe_numeric(wide_table(spark, base), NUMERIC))
 
 
 @query("describe_events", f"SELECT * FROM ({_describe_sql(['value'], 'events')})")
@@ -113,7 +113,7 @@ def _describe_all_sql():
 
 @query("describe_all", _describe_all_sql())
 def q_describe_all(spark, base):
-    return rounded(P.describe_all(analytic_dataset(spark, base)))
+    return rounded(P.describe_all(wide_table(spark, base)))
 
 
 # ------------------------------------------------------------------ A9
@@ -132,7 +132,7 @@ def _profile_sql():
 
 @query("column_profile", _profile_sql())
 def q_column_profile(spark, base):
-    return rounded(P.column_profile(analytic_dataset(spark, base)))
+    return rounded(P.column_profile(wide_table(spark, base)))
 
 
 # ------------------------------------------------------------------ A10
@@ -145,7 +145,7 @@ def _missing_sql():
 
 @query("missingness", _missing_sql())
 def q_missingness(spark, base):
-    return rounded(P.missingness(analytic_dataset(spark, base)))
+    return rounded(P.missingness(wide_table(spark, base)))
 
 
 # ------------------------------------------------------------------ A11
@@ -162,7 +162,7 @@ def _corr_sql():
 
 @query("correlation_matrix", _corr_sql())
 def q_correlation_matrix(spark, base):
-    return rounded(P.correlation_matrix(analytic_dataset(spark, base), CORR_COLS))
+    return rounded(P.correlation_matrix(wide_table(spark, base), CORR_COLS))
 
 
 # ------------------------------------------------------------------ A12
@@ -182,7 +182,7 @@ def q_iqr_outliers(spark, base):
 
 @query("iqr_outliers_wide", with_wide(_iqr_sql(NUMERIC, "wide")))
 def q_iqr_outliers_wide(spark, base):
-    return rounded(P.iqr_outliers(analytic_dataset(spark, base), NUMERIC))
+    return rounded(P.iqr_outliers(wide_table(spark, base), NUMERIC))
 
 
 # ------------------------------------------------------------------ A13
@@ -208,13 +208,13 @@ def q_histogram_by_class(spark, base):
 
 @query("los_histogram", f"WITH {WIDE_CTE}," + _hist_sql("wide", "los_days", "flag", 60, "los_days <= 60"))
 def q_los_histogram(spark, base):
-    w = analytic_dataset(spark, base).where(F.col("los_days") <= 60)
+    w = wide_table(spark, base).where(F.col("los_days") <= 60)
     return rounded(P.histogram_by_class(w, "los_days", "flag", 60))
 
 
 @query("age_histogram", f"WITH {WIDE_CTE}," + _hist_sql("wide", "c_acctbal", "flag", 40))
 def q_age_histogram(spark, base):
-    return rounded(P.histogram_by_class(analytic_dataset(spark, base), "c_acctbal", "flag", 40))
+    return rounded(P.histogram_by_class(wide_table(spark, base), "c_acctbal", "flag", 40))
 
 
 # ------------------------------------------------------------------ A14
@@ -236,7 +236,7 @@ FROM (SELECT b.measure, b.flag, b.n, b.mn, b.q1, b.med, b.q3, b.mx,
 
 @query("boxplot_by_class", _box_sql())
 def q_boxplot_by_class(spark, base):
-    return rounded(P.boxplot_by_class(analytic_dataset(spark, base), SUBS, "flag", prefix="sub_"))
+    return rounded(P.boxplot_by_class(wide_table(spark, base), SUBS, "flag", prefix="sub_"))
 
 
 # ------------------------------------------------------------------ A15 A17 A18
@@ -244,14 +244,14 @@ def q_boxplot_by_class(spark, base):
 SELECT count(*) AS rows, 15 AS features, CAST(sum(flag) AS BIGINT) AS positives,
        {r('avg(flag)')} AS prevalence FROM wide"""))
 def q_dataset_summary(spark, base):
-    return rounded(P.dataset_summary(analytic_dataset(spark, base), "flag"))
+    return rounded(P.dataset_summary(wide_table(spark, base), "flag"))
 
 
 @query("class_prevalence", with_wide(f"""
 SELECT flag, count(*) AS count, {r('(SELECT avg(flag) FROM wide)')} AS prevalence
 FROM wide GROUP BY flag"""))
 def q_class_prevalence(spark, base):
-    return rounded(P.class_prevalence(analytic_dataset(spark, base), "flag"))
+    return rounded(P.class_prevalence(wide_table(spark, base), "flag"))
 
 
 @query("step_log", f"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from riskframe.operators import quality as Q
-from riskframe.plans.analytic import analytic_dataset
+from riskframe.plans.analytic import wide_table
 from riskframe.plans.oracle_base import NUMERIC, RANGES, r, with_wide
 from riskframe.plans.registry import query, rounded
 from riskframe.sources.readers import read_table
@@ -35,7 +35,7 @@ def _num_out(src_cols: dict[str, str]) -> str:
 @query("validate_ranges", with_wide(
     f"SELECT o_orderkey, {_num_out({c: c for c in NUMERIC})} FROM validated", _validated_sql()))
 def q_validate_ranges(spark, base):
-    w = Q.validate_ranges(analytic_dataset(spark, base), SPEC.valid_ranges)
+    w = Q.validate_ranges(wide_table(spark, base), SPEC.valid_ranges)
     return rounded(w.select("o_orderkey", *NUMERIC))
 
 
@@ -48,7 +48,7 @@ def _clip_expr(c):
 @query("clip_ranges", with_wide(
     f"SELECT o_orderkey, {_num_out({c: _clip_expr(c) for c in NUMERIC})} FROM wide"))
 def q_clip_ranges(spark, base):
-    w = Q.clip_ranges(analytic_dataset(spark, base), SPEC.clip_ranges)
+    w = Q.clip_ranges(wide_table(spark, base), SPEC.clip_ranges)
     return rounded(w.select("o_orderkey", *NUMERIC))
 
 
@@ -58,7 +58,7 @@ def q_clip_ranges(spark, base):
         f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END AS {c}_missing" for c in ["lab_a", "lab_n", "lab_r"])
     + " FROM validated", _validated_sql()))
 def q_missing_flags(spark, base):
-    w = Q.validate_ranges(analytic_dataset(spark, base), SPEC.valid_ranges)
+    w = Q.validate_ranges(wide_table(spark, base), SPEC.valid_ranges)
     w = Q.missing_flags(w, SPEC.indicator_columns)
     return w.select("o_orderkey", *[f"{c}_missing" for c in SPEC.indicator_columns])
 
@@ -68,7 +68,7 @@ def q_missing_flags(spark, base):
     f"SELECT o_orderkey, {r('CASE WHEN coalesce(' + ', '.join(SUBS) + ') IS NOT NULL THEN ' + ' + '.join(f'coalesce({c}, 0)' for c in SUBS) + ' END')} AS sub_total FROM validated",
     _validated_sql()))
 def q_row_sum(spark, base):
-    w = Q.validate_ranges(analytic_dataset(spark, base), SPEC.valid_ranges)
+    w = Q.validate_ranges(wide_table(spark, base), SPEC.valid_ranges)
     return rounded(Q.add_row_sum(w, SPEC.score_parts, SPEC.score_total)
                    .select("o_orderkey", SPEC.score_total))
 
@@ -84,7 +84,7 @@ _FLAG_SQL = {"acctbal_over_7500": "c_acctbal >= 7500", "los_over_7": "los_days >
                                       for n, e in _FLAG_SQL.items())
     + " FROM validated", _validated_sql()))
 def q_threshold_flags(spark, base):
-    w = Q.validate_ranges(analytic_dataset(spark, base), SPEC.valid_ranges)
+    w = Q.validate_ranges(wide_table(spark, base), SPEC.valid_ranges)
     w = Q.threshold_flags(w, SPEC.threshold_flags)
     return w.select("o_orderkey", *SPEC.engineered_binary)
 
@@ -117,21 +117,21 @@ def _oor_sql():
 
 @query("out_of_range", _oor_sql())
 def q_out_of_range(spark, base):
-    return rounded(Q.out_of_range(analytic_dataset(spark, base), SPEC.valid_ranges))
+    return rounded(Q.out_of_range(wide_table(spark, base), SPEC.valid_ranges))
 
 
 # ------------------------------------------------------------------ C1 C2
 @query("impute_median", with_wide(
     f"SELECT o_orderkey, {_num_out({c: f'coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM wide))' for c in NUMERIC})} FROM wide"))
 def q_impute_median(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     return rounded(Q.impute_median(w, NUMERIC).select("o_orderkey", *NUMERIC))
 
 
 @query("impute_mean", with_wide(
     f"SELECT o_orderkey, {_num_out({c: f'coalesce({c}, (SELECT avg({c}) FROM wide))' for c in NUMERIC})} FROM wide"))
 def q_impute_mean(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     return rounded(Q.impute_mean(w, NUMERIC).select("o_orderkey", *NUMERIC))
 
 
@@ -145,7 +145,7 @@ def _mode_sql(c, src="wide"):
     "SELECT o_orderkey, " + ", ".join(f"coalesce({c}, {_mode_sql(c)}) AS {c}" for c in CAT)
     + " FROM wide"))
 def q_impute_mode(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     return Q.impute_mode(w, CAT).select("o_orderkey", *CAT)
 
 
@@ -163,14 +163,14 @@ def _z(c, src="wide"):
 @query("minmax_scale", with_wide(
     f"SELECT o_orderkey, {_num_out({c: _minmax(c) for c in NUMERIC})} FROM wide"))
 def q_minmax_scale(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     return rounded(Q.minmax_scale(w, NUMERIC).select("o_orderkey", *NUMERIC))
 
 
 @query("zscore", with_wide(
     f"SELECT o_orderkey, {_num_out({c: _z(c) for c in NUMERIC})} FROM wide"))
 def q_zscore(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     return rounded(Q.zscore(w, NUMERIC).select("o_orderkey", *NUMERIC))
 
 
@@ -182,7 +182,7 @@ def _one_hot_cols(levels=LEVELS):
 
 @query("one_hot", with_wide(f"SELECT o_orderkey, {_one_hot_cols()} FROM wide"))
 def q_one_hot(spark, base):
-    w = analytic_dataset(spark, base).select("o_orderkey", *CAT)
+    w = wide_table(spark, base).select("o_orderkey", *CAT)
     return Q.one_hot(w, CAT)
 
 
@@ -192,7 +192,7 @@ SELECT o_orderkey, {_num_out({c: c for c in NUMERIC})}, o_orderpriority, o_order
        flag, err_flag, o_custkey
 FROM wide WHERE {' AND '.join(f'{c} IS NOT NULL' for c in NUMERIC + CAT)}"""))
 def q_clean_dropna(spark, base):
-    return rounded(Q.dropna_any(analytic_dataset(spark, base)))
+    return rounded(Q.dropna_any(wide_table(spark, base)))
 
 
 # ------------------------------------------------------------------ C10
@@ -218,7 +218,7 @@ def _chain_sql():
 
 @query("clean_chain", _chain_sql())
 def q_clean_chain(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     out, _ = Q.clean(w, CHAIN, exclude=["o_custkey", "o_orderkey", "flag"],
                      clip_ranges_=SPEC.clip_ranges)
     return rounded(out)
@@ -232,5 +232,5 @@ SELECT * FROM (VALUES (0, 'input', (SELECT count(*) FROM wide), 16),
     + " AND ".join(f"{c} IS NOT NULL" for c in NUMERIC + CAT) + """)), 16))
   t(seq, step, "rows", "columns")"""))
 def q_clean_log(spark, base):
-    _, log = Q.clean(analytic_dataset(spark, base), ["dropna", "dedup"])
+    _, log = Q.clean(wide_table(spark, base), ["dropna", "dedup"])
     return log

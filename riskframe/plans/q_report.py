@@ -8,7 +8,7 @@ from riskframe.functions import rules as R
 from riskframe.functions.scalar import row_sum
 from riskframe.operators import evaluate as E
 from riskframe.operators import report as G
-from riskframe.plans.analytic import WIDE_COLUMNS, analytic_dataset
+from riskframe.plans.analytic import WIDE_COLUMNS, wide_table
 from riskframe.plans.oracle_base import SCORE_SQL, r, with_wide
 from riskframe.plans.q_evaluate import AU, OPT, SC, SCC, TAB, _cc, _div, fixed_score, optimal, scored
 from riskframe.plans.q_model import trained
@@ -50,7 +50,7 @@ def q_risk_tier(spark, base):
     f"SELECT o_orderkey, {_rules_sql(SPEC.warnings)} AS warnings FROM "
     f"(SELECT *, {_total_sql()} AS sub_total FROM wide)"))
 def q_risk_warnings(spark, base):
-    w = _with_total(analytic_dataset(spark, base))
+    w = _with_total(wide_table(spark, base))
     return w.select("o_orderkey", F.array_join(R.rule_messages(SPEC.warnings), "; ").alias("warnings"))
 
 
@@ -59,7 +59,7 @@ def q_risk_warnings(spark, base):
     f"'{SPEC.default_recommendation}' ELSE {_rules_sql(SPEC.recommendations)} END AS recommendations "
     "FROM wide"))
 def q_recommendations(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     recs = R.recommendations(SPEC.recommendations, SPEC.default_recommendation)
     return w.select("o_orderkey", F.array_join(recs, "; ").alias("recommendations"))
 
@@ -71,7 +71,7 @@ SELECT o_orderkey, {r('p')} AS score,
 FROM (SELECT *, {SCORE_SQL} AS p, {_total_sql()} AS sub_total FROM wide)"""))
 def q_scored_rules(spark, base):
     """F10 + F11 on one scored table (what batch scoring emits per entity)."""
-    w = _with_total(analytic_dataset(spark, base))
+    w = _with_total(wide_table(spark, base))
     out = R.with_rules(w.withColumn("score", fixed_score(w)), SPEC, prob="score")
     return rounded(out.select("o_orderkey", "score", "risk_tier",
                               F.array_join("warnings", "; ").alias("warnings")))
@@ -135,7 +135,7 @@ UNION ALL {cols}""")
 
 @query("report_dataset", _dataset_sql())
 def q_report_dataset(spark, base):
-    return G.dataset_report(analytic_dataset(spark, base), "flag")
+    return G.dataset_report(wide_table(spark, base), "flag")
 
 
 # ------------------------------------------------------------------ G3
@@ -164,4 +164,4 @@ UNION ALL {res}""", *_METRIC_CTES)
 
 @query("report_full", _full_sql())
 def q_report_full(spark, base):
-    return G.full_report(analytic_dataset(spark, base), "flag", _metrics(spark, base), SPEC)
+    return G.full_report(wide_table(spark, base), "flag", _metrics(spark, base), SPEC)

@@ -10,7 +10,7 @@ from riskframe.operators import quality as Q
 from riskframe.operators.shape import (distinct_keys, eav_pivot_min, flag_join, left_join,
                                        lookup_items, melt)
 from riskframe.plans.analytic import (LAB_CODES, SUB_CODES, analytic_dataset, label_keys,
-                                      per_order_lines)
+                                      per_order_lines, wide_table)
 from riskframe.plans.oracle_base import r, with_wide
 from riskframe.plans.registry import query, rounded
 from riskframe.sources.readers import read_table, union_sources
@@ -127,7 +127,7 @@ def q_cohort_filter(spark, base):
 @query("cohort_los", with_wide(f"""
 SELECT o_orderkey, flag, {r('los_days')} AS los_days FROM wide WHERE los_days <= 60"""))
 def q_cohort_los(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     return rounded(w.where(F.col("los_days") <= 60).select("o_orderkey", "flag", "los_days"))
 
 
@@ -136,7 +136,7 @@ SELECT o_orderkey, flag, regexp_replace(variable, '^sub_', '') AS variable, {r('
 FROM (UNPIVOT (SELECT o_orderkey, flag, sub_click, sub_view, sub_purchase, sub_signup FROM wide)
       ON sub_click, sub_view, sub_purchase, sub_signup INTO NAME variable VALUE value)"""))
 def q_melt(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     long = melt(w, ["o_orderkey", "flag"], list(SUB_CODES.values()))
     long = long.where(F.col("value").isNotNull())
     return rounded(long.withColumn("variable", strip_prefix("variable", "sub_")))
@@ -164,7 +164,7 @@ def q_project_rename(spark, base):
 SELECT o_orderkey, {r('lab_a')} AS lab_a, {r('lab_n')} AS lab_n FROM wide
 WHERE lab_a IS NOT NULL AND lab_n IS NOT NULL"""))
 def q_drop_null_subset(spark, base):
-    w = analytic_dataset(spark, base).select("o_orderkey", "lab_a", "lab_n")
+    w = wide_table(spark, base).select("o_orderkey", "lab_a", "lab_n")
     return rounded(Q.drop_null_subset(w, ["lab_a", "lab_n"]))
 
 
@@ -172,7 +172,7 @@ def q_drop_null_subset(spark, base):
 SELECT o_orderkey, flag, CASE flag WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' END AS outcome
 FROM wide"""))
 def q_map_labels(spark, base):
-    w = analytic_dataset(spark, base)
+    w = wide_table(spark, base)
     return w.select("o_orderkey", "flag",
                     map_values("flag", {0: "negative", 1: "positive"}).alias("outcome"))
 
