@@ -31,6 +31,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "16g")
+               # per-expression Python call-site capture doubles plan-building time
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
