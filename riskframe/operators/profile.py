@@ -26,6 +26,15 @@ def _q(c, p, approx):
     return F.percentile(F.col(c).cast("double"), p)
 
 
+def _qs(c, probs, approx):
+    """All quantiles of one column from ONE aggregate state (an array)."""
+    x = F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    if approx:
+        return F.percentile_approx(x, arr, 10000)
+    return F.percentile(x, arr)
+
+
 def _agg_long(df: DataFrame, names: list[str], per_col) -> DataFrame:
     """Evaluate ``per_col(c) -> {stat: Column}`` for every column in one (or a
     few chunked) aggregates and return ``(column, stat...)`` rows."""
@@ -99,15 +108,16 @@ def group_compare(df: DataFrame, label: str, cols=None, a=0, b=1) -> DataFrame:
 def describe_numeric(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
     """Count, mean, std (n-1), min, 25 %, 50 %, 75 %, max per column."""
     cols = cols if cols is not None else numeric_columns(df)
-    return _agg_long(df, cols, lambda c: {
+    long = _agg_long(df, cols, lambda c: {
         "count": F.count(c),
         "mean": F.avg(c),
         "std": F.stddev_samp(c),
         "min": F.min(c).cast("double"),
-        "q25": _q(c, 0.25, approx),
-        "q50": _q(c, 0.50, approx),
-        "q75": _q(c, 0.75, approx),
+        "qs": _qs(c, (0.25, 0.5, 0.75), approx),
         "max": F.max(c).cast("double")})
+    return long.select("column", "count", "mean", "std", "min",
+                       *[F.col("qs")[i].cast("double").alias(n) for i, n in enumerate(("q25", "q50", "q75"))],
+                       "max")
 
 
 def describe_categorical(df: DataFrame, cols=None) -> DataFrame:
@@ -193,14 +203,10 @@ def iqr_outliers(df: DataFrame, cols=None, approx: bool = False, k: float = 1.5)
     NULLs not counted; sorted by count descending.  Pass 1 computes the
     quartiles (scalar subqueries), pass 2 the conditional counts."""
     cols = cols if cols is not None else numeric_columns(df)
-    aggs = {}
-    for c in cols:
-        aggs[f"{c}__q1"] = _q(c, 0.25, approx)
-        aggs[f"{c}__q3"] = _q(c, 0.75, approx)
-    st = stats(df, aggs)
+    st = stats(df, {c: _qs(c, (0.25, 0.75), approx) for c in cols})
     bounds = {}
     for c in cols:
-        q1, q3 = st[f"{c}__q1"], st[f"{c}__q3"]
+        q1, q3 = st[c][0].cast("double"), st[c][1].cast("double")
         bounds[c] = (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     flags = df.select(*[((F.col(c) < bounds[c][0]) | (F.col(c) > bounds[c][1]))
                         .cast("int").alias(c) for c in cols])
@@ -251,10 +257,10 @@ def boxplot_by_class(df: DataFrame, cols, label: str, prefix: str | None = None,
         long = long.withColumn("measure", F.regexp_replace("measure", "^" + prefix, ""))
     box = long.groupBy("measure", label).agg(
         F.count(F.lit(1)).alias("n"), F.min("value").alias("min"),
-        (F.percentile_approx("value", 0.25, 10000) if approx else F.percentile("value", 0.25)).alias("q1"),
-        (F.percentile_approx("value", 0.5, 10000) if approx else F.percentile("value", 0.5)).alias("median"),
-        (F.percentile_approx("value", 0.75, 10000) if approx else F.percentile("value", 0.75)).alias("q3"),
-        F.max("value").alias("max"))
+        _qs("value", (0.25, 0.5, 0.75), approx).alias("qs"), F.max("value").alias("max"))
+    box = box.select("measure", label, "n", "min",
+                     *[F.col("qs")[i].cast("double").alias(n) for i, n in enumerate(("q1", "median", "q3"))],
+                     "max")
     j = long.join(box, ["measure", label])
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("value").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
