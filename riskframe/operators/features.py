@@ -280,13 +280,11 @@ def prepare_data(df: DataFrame, spec: EngineSpec, materialize: bool = True,
     """M7: engineer -> route (on all rows, before the split) -> stratified
     split -> fit on train -> transform both -> class weight.
 
-    ``materialize`` checkpoints the engineered table once (it feeds the
-    routing pass, the split, the fit and the transform)."""
+    ``materialize`` writes the split engineered table once (parquet under
+    ``spark.checkpoint.dir``): it feeds the fit and the transform of both
+    parts."""
+    from riskframe.session import materialize as write_once
     w, num, cat, binary = engineer(df, spec)
-    if materialize:
-        from riskframe.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(w.sparkSession)
-        w = w.checkpoint(eager=True)
     imputable, passthru = route_lists(w, num, spec.routing_max_null)
     for c in passthru:
         ind = f"{c}_missing"
@@ -296,7 +294,7 @@ def prepare_data(df: DataFrame, spec: EngineSpec, materialize: bool = True,
             binary.append(ind)
     split = stratified_split(w, spec.label, spec.entity_key, spec.test_share, spec.seed)
     if materialize:
-        split = split.checkpoint(eager=True)
+        split = write_once(split, "prepared-split")
     train = split.where(F.col("split") == "train")
     pre = fit_preprocessor(train, imputable, cat, passthru, binary, null_as_category)
     out = pre.transform(split, keep=[spec.entity_key, spec.label, "split"])

@@ -98,9 +98,12 @@ def tune(train: DataFrame, feature_names, label: str = "flag", fold_col: str = "
     maps = sample_grid(est, n_iter, seed, grid)
     va = VectorAssembler(inputCols=list(feature_names), outputCol="features", handleInvalid="keep")
     src = va.transform(fill_sentinel(train, feature_names)).withColumn(label, F.col(label).cast("double"))
+    # every candidate x fold fit re-reads this input: write it once
+    from riskframe.session import materialize
+    src = materialize(src.select("features", label, fold_col, *([weight] if weight else [])), "cv-input")
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC")
-    k = train.agg(F.max(fold_col)).first()[0] + 1  # number of folds (one small aggregate)
+    k = src.agg(F.max(fold_col)).first()[0] + 1  # number of folds (one small aggregate)
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col, numFolds=int(k),
                         parallelism=parallelism, seed=seed)
     m = cv.fit(src)

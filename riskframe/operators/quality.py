@@ -238,9 +238,9 @@ def clean(df: DataFrame, steps, exclude=(), clip_ranges_=(),
     Numeric / categorical column sets are frozen once, before the first
     step (so one-hot columns are not rescaled).  Steps that fit statistics
     read the previous stage; with ``materialize`` (default) that stage is
-    checkpointed to ``spark.checkpoint.dir`` first, so each pass reads a
-    written table instead of re-running the whole lineage (and a lost
-    executor never forces a recompute from the sources).  Returns the cleaned frame
+    written once as parquet under ``spark.checkpoint.dir`` first, so each
+    pass reads a written table instead of re-running the whole lineage (and
+    a lost executor never forces a recompute from the sources).  Returns the cleaned frame
     and a lazy step log ``(seq, step, rows, columns)``: the row counts of
     every stage are aggregates of the staged frames, evaluated in one job
     when the log is read.
@@ -251,9 +251,8 @@ def clean(df: DataFrame, steps, exclude=(), clip_ranges_=(),
     cur = df
     for step in steps:
         if materialize and step in FITTED and len(stages) > 1:
-            from riskframe.session import ensure_checkpoint_dir
-            ensure_checkpoint_dir(cur.sparkSession)
-            cur = cur.checkpoint(eager=True)
+            from riskframe.session import materialize as write_once
+            cur = write_once(cur, f"clean-{step}")
         if step == "dropna":
             cur = dropna_any(cur)
         elif step == "impute_median":

@@ -107,11 +107,10 @@ def analytic_dataset(spark: SparkSession, base: str) -> DataFrame:
 
 @lru_cache(maxsize=8)
 def wide_table(spark: SparkSession, base: str) -> DataFrame:
-    """The analytic table materialised once per session and source: a
-    reliable checkpoint under ``spark.checkpoint.dir`` (the original tool
-    also writes this table once and lets every consumer read it).  Profiles,
-    cleaning, preparation, evaluation and reports read this instead of
-    re-running the six-source join for every scalar subquery."""
-    from riskframe.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return analytic_dataset(spark, base).checkpoint(eager=True)
+    """The analytic table materialised once per session and source: written
+    as parquet under ``spark.checkpoint.dir`` (the original tool also writes
+    this table once and lets every consumer read it).  Profiles, cleaning,
+    preparation, evaluation and reports read it instead of re-running the
+    six-source join for every scalar subquery."""
+    from riskframe.session import materialize
+    return materialize(analytic_dataset(spark, base), "wide")

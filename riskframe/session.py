@@ -63,3 +63,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     on a cluster), for tables written to cut lineage or round-trip tests."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` once as parquet under the shared
+    checkpoint folder and reading it back.
+
+    One pass (an eager ``Dataset.checkpoint`` evaluates its plan twice
+    unless persisted), columnar on disk (later scans prune columns and push
+    filters), and it survives executor loss because the files live in the
+    cluster's shared folder, never in a machine-local one."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
