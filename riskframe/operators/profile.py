@@ -261,7 +261,9 @@ def boxplot_by_class(df: DataFrame, cols, label: str, prefix: str | None = None,
     box = box.select("measure", label, "n", "min",
                      *[F.col("qs")[i].cast("double").alias(n) for i, n in enumerate(("q1", "median", "q3"))],
                      "max")
-    j = long.join(box, ["measure", label])
+    # box has one row per (measure, class): bounded by the schema, not the
+    # data, so broadcasting it is safe and avoids a join on a handful of keys
+    j = long.join(F.broadcast(box.select("measure", label, "q1", "q3")), ["measure", label])
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("value").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     whisk = j.groupBy("measure", label).agg(

@@ -137,3 +137,23 @@ def test_duration_days_negative_and_null(spark):
                                "a string, b string").select(
         F.to_timestamp_ntz("a").alias("a"), F.to_timestamp_ntz("b").alias("b"))
     assert [r.d for r in df.select(S.duration_days("a", "b").alias("d")).collect()] == [-0.5, None]
+
+
+def test_tolerant_scan_skips_corrupt_file(spark, tmp_path):
+    good = str(tmp_path / "t")
+    spark.range(10).write.parquet(good)
+    with open(f"{good}/part-zzzz-corrupt.parquet", "wb") as fh:
+        fh.write(b"not a parquet file")
+    readers.tolerant(spark, True)
+    try:
+        assert spark.read.parquet(good).count() == 10
+    finally:
+        readers.tolerant(spark, False)
+
+
+def test_column_sets_and_keep_if_present(spark):
+    df = spark.createDataFrame([(1, 2.0, "a", 0)], "id long, x double, g string, y int")
+    assert Q.numeric_columns(df) == ["id", "x", "y"]
+    assert Q.numeric_columns(df, exclude=["id", "y"]) == ["x"]
+    assert Q.categorical_columns(df) == ["g"]
+    assert Q.present(df, ["x", "absent", "g"]) == ["x", "g"]
