@@ -176,7 +176,7 @@ def _contrib_ctes():
 
 
 @query("top_factors", with_wide(f"""
-SELECT o_orderkey, feature, {r('contribution')} AS contribution, rank,
+SELECT o_orderkey, feature, {r('contribution')} AS contribution, CAST(rank AS INTEGER) AS rank,
        CASE WHEN contribution > 0 THEN 'increases risk' ELSE 'decreases risk' END AS direction
 FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(contribution) DESC, feature) AS rank
       FROM ct) WHERE rank <= 5""", *_contrib_ctes()))
@@ -192,7 +192,8 @@ def q_global_attribution(spark, base):
 
 
 @query("waterfall", with_wide(f"""
-SELECT o_orderkey, feature, {r('contribution')} AS contribution, step, {r('cumulative')} AS cumulative FROM (
+SELECT o_orderkey, feature, {r('contribution')} AS contribution, CAST(step AS INTEGER) AS step,
+       {r('cumulative')} AS cumulative FROM (
   SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(contribution) DESC, feature) AS step,
          {BASE!r} + sum(contribution) OVER (PARTITION BY o_orderkey ORDER BY abs(contribution) DESC, feature
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative
