@@ -299,6 +299,8 @@ def prepare_data(df: DataFrame, spec: EngineSpec, materialize: bool = True,
     pre = fit_preprocessor(train, imputable, cat, passthru, binary, null_as_category)
     out = pre.transform(split, keep=[spec.entity_key, spec.label, "split"])
     out = class_weights_from(out, train, spec.label)
+    if materialize:   # read by training, tuning, scoring and attribution
+        out = write_once(out, "prepared")
     return Prepared(out, pre, imputable, passthru)
 
 

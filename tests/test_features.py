@@ -59,3 +59,26 @@ def test_preprocessor_roundtrip(spark, tmp_path):
     pre.save(str(tmp_path / "pre"))
     again = M.Preprocessor.load(spark, str(tmp_path / "pre"))
     assert [tuple(r) for r in again.transform(train).collect()] == [tuple(r) for r in out]
+
+
+def test_clinical_spec_engineering(spark):
+    """The original clinical schema runs through the same operators."""
+    from riskframe.spec import clinical_spec
+    spec = clinical_spec()
+    cols = ("hadm_id long, subject_id long, pi_flag int, age double, los_days double, albumin double, "
+            "hemoglobin double, creatinine double, white_blood_cells double, platelet_count double, "
+            "braden_sensory_perception double, braden_moisture double, braden_activity double, "
+            "braden_mobility double, braden_nutrition double, braden_friction_shear double, "
+            "gender string, race string, insurance string, icu_flag int")
+    rows = [(1, 1, 1, 80.0, 10.0, 2.0, 9.0, 1.0, 8.0, 200.0, 2.0, 2.0, 1.0, 2.0, 3.0, 1.0, "F", "W", None, 1),
+            (2, 2, 0, 40.0, 400.0, None, 12.0, 1.0, 8.0, 250.0, None, None, None, None, None, None,
+             "M", "B", "Medicare", 0)]
+    df = spark.createDataFrame(rows, cols)
+    w, num, cat, binary = M.engineer(df, spec)
+    r = {x.hadm_id: x for x in w.collect()}
+    assert r[1].braden_total == 11.0 and r[2].braden_total is None
+    assert r[1].age_over_75 == 1 and r[2].los_days is None          # 400 days is outside [0, 365]
+    assert r[1].albumin_low == 1 and r[2].albumin_missing == 1
+    assert num[-1] == "braden_total" and cat == ["gender", "race", "insurance"]
+    assert binary[:6] == ["icu_flag", "age_over_75", "los_over_7", "los_over_14", "albumin_low",
+                          "hemoglobin_low"]
