@@ -49,7 +49,7 @@ def main() -> None:
     cold = "--cold" in sys.argv
     names = [a for a in sys.argv[1:] if a != "--cold"] or HEADLINE
 
-    from riskframe.plans import analytic, q_features, q_model
+    from riskframe.plans import analytic, q_evaluate, q_features, q_model
     from riskframe.plans.registry import load_all
     from riskframe.session import local_session
 
@@ -65,6 +65,7 @@ def main() -> None:
             q_features._prepared_cached.cache_clear()
             q_model.trained.cache_clear()
             q_model.forest.cache_clear()
+            q_evaluate.metrics_table.cache_clear()
         t0 = time.perf_counter()
         if name == "wide_table":
             analytic.wide_table(spark, sf_dir)

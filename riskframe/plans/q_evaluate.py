@@ -3,6 +3,8 @@ so every metric is checked by SQL without a trained model."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from riskframe.operators import evaluate as E
@@ -89,9 +91,16 @@ def q_threshold_table(spark, base):
     f"{r('(SELECT threshold FROM opt)')} AS threshold FROM cc, au",
     SC, TAB, OPT, SCC, AU, _cc("(SELECT threshold FROM opt)")))
 def q_evaluate(spark, base):
-    s = scored(spark, base)
+    return rounded(metrics_table(spark, base))
+
+
+@lru_cache(maxsize=4)
+def metrics_table(spark, base):
+    """L4 + L5 at the chosen threshold, written once per session like the
+    original pipeline's metrics file; reports and the JSON sink read it."""
+    from riskframe.session import materialize
     t = optimal(spark, base).select("threshold").scalar()
-    return rounded(E.evaluate(s, "score", "flag", t))
+    return materialize(E.evaluate(scored(spark, base), "score", "flag", t), "metrics")
 
 
 @query("auroc", with_wide(f"SELECT {r('auroc')} AS auroc FROM au", SC, SCC, AU))

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import rules as R
 from riskframe.functions.scalar import row_sum
-from riskframe.operators import evaluate as E
 from riskframe.operators import report as G
 from riskframe.plans.analytic import WIDE_COLUMNS, wide_table
 from riskframe.plans.oracle_base import SCORE_SQL, r, with_wide
-from riskframe.plans.q_evaluate import AU, OPT, SC, SCC, TAB, _cc, _div, fixed_score, optimal, scored
+from riskframe.plans.q_evaluate import (AU, OPT, SC, SCC, TAB, _cc, _div, fixed_score,
+                                        metrics_table, scored)
 from riskframe.plans.q_model import trained
 from riskframe.plans.registry import query, rounded
 from riskframe.spec import tpch_binding
@@ -78,9 +78,7 @@ def q_scored_rules(spark, base):
 
 
 # ------------------------------------------------------------------ G1
-def _metrics(spark, base):
-    t = optimal(spark, base).select("threshold").scalar()
-    return E.evaluate(scored(spark, base), "score", "flag", t)
+_metrics = metrics_table
 
 
 def _fmt(x, d=4):

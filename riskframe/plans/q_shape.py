@@ -10,7 +10,7 @@ from riskframe.operators import quality as Q
 from riskframe.operators.shape import (distinct_keys, eav_pivot_min, flag_join, left_join,
                                        lookup_items, melt)
 from riskframe.plans.analytic import (LAB_CODES, SUB_CODES, analytic_dataset, label_keys,
-                                      per_order_lines, wide_table)
+                                      wide_table)
 from riskframe.plans.oracle_base import r, with_wide
 from riskframe.plans.registry import query, rounded
 from riskframe.sources.readers import read_table, union_sources
