@@ -54,8 +54,9 @@ def main():
     df = queries["analytic_dataset"](spark, base)
     df._jdf.queryExecution().toRdd().count()
     plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
     exch = dict((pid, key.split("#")[0]) for key, pid in re.findall(
-        r"Exchange hashpartitioning\(([^,]*), \d+\), ENSURE_REQUIREMENTS, \[plan_id=(\d+)\]", plan))
+        r"Exchange hashpartitioning\(([^,]*), \d+\), ENSURE_REQUIREMENTS, \[plan_id=(\d+)\]", final))
     out += ["## analytic_dataset without broadcast (the at-scale shape)", "",
             f"shuffle exchanges: {len(exch)}, on keys: {', '.join(sorted(exch.values()))}. "
             "The three order-key joins share one partitioning and the two customer-key joins "
