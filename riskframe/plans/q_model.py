@@ -35,15 +35,17 @@ def forest(spark, base):
     return trees, weights
 
 
-def _test_rows(spark, base):
+def _all_rows(spark, base):
+    """Every prepared entity (train and test): explanations and the
+    round-trip check cover the whole table, not a held-out sample."""
     p, _ = trained(spark, base)
-    return p.table.where(F.col("split") == "test")
+    return p.table
 
 
 def model_attribution(spark, base):
     p, _ = trained(spark, base)
     trees, weights = forest(spark, base)
-    return X.attribution(_test_rows(spark, base), SPEC.entity_key, p.feature_names, trees, weights)
+    return X.attribution(_all_rows(spark, base), SPEC.entity_key, p.feature_names, trees, weights)
 
 
 # ------------------------------------------------------------------ L1 L2 L3
@@ -93,7 +95,7 @@ def q_model_roundtrip(spark, base):
     path = scratch_path(spark, "model")
     L.save_model(model, path)
     again = L.load_model(path)
-    rows = _test_rows(spark, base)
+    rows = _all_rows(spark, base)
     a = L.score(rows, model, p.feature_names, keep=[SPEC.entity_key], column="p_before")
     b = L.score(rows, again, p.feature_names, keep=[SPEC.entity_key], column="p_after")
     return a.drop("margin").join(b.drop("margin"), SPEC.entity_key) \
@@ -118,7 +120,7 @@ def q_attribution_check(spark, base):
     p, model = trained(spark, base)
     trees, weights = forest(spark, base)
     b = X.base_value(trees, weights)
-    s = L.score(_test_rows(spark, base), model, p.feature_names, keep=[SPEC.entity_key])
+    s = L.score(_all_rows(spark, base), model, p.feature_names, keep=[SPEC.entity_key])
     tot = model_attribution(spark, base).groupBy(SPEC.entity_key) \
         .agg(F.sum("contribution").alias("total"))
     return s.join(tot, SPEC.entity_key).select(
