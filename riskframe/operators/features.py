@@ -197,14 +197,20 @@ class Preprocessor:
 
 def fit_preprocessor(train: DataFrame, num, cat, passthru, binary,
                      null_as_category: bool = True, max_levels: int = 1000,
-                     approx: bool = False) -> Preprocessor:
+                     approx: bool = False, method: str = "bounded") -> Preprocessor:
     """M2-M5 fit on the training rows: exact medians, then mean and
     population sd of the imputed columns (sd 0 -> scale 1); levels sorted."""
     stats = None
     if num:
-        q = (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000)) if approx \
-            else (lambda c: F.percentile(F.col(c).cast("double"), 0.5))
-        med = Q.stats(train, {c: q(c) for c in num})
+        if not approx and method == "bounded":
+            from riskframe.operators.quantiles import exact_quantiles
+            got = exact_quantiles(train, num, (0.5,))
+            med = {c: (F.lit(got[c][0]) if got[c][0] is not None else F.lit(None)).cast("double")
+                   for c in num}
+        else:
+            q = (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000)) if approx \
+                else (lambda c: F.percentile(F.col(c).cast("double"), 0.5))
+            med = Q.stats(train, {c: q(c) for c in num})
         imputed = train.select(*[F.coalesce(F.col(c).cast("double"), med[c]).alias(c) for c in num])
         aggs = []
         for c in num:

@@ -26,6 +26,10 @@ def _q(c, p, approx):
     return F.percentile(F.col(c).cast("double"), p)
 
 
+def _lit_array(vals):
+    return F.array(*[F.lit(None).cast("double") if v is None else F.lit(float(v)) for v in vals])
+
+
 def _qs(c, probs, approx):
     """All quantiles of one column from ONE aggregate state (an array)."""
     x = F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
@@ -105,15 +109,25 @@ def group_compare(df: DataFrame, label: str, cols=None, a=0, b=1) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A7 A8 A9 A10
-def describe_numeric(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
-    """Count, mean, std (n-1), min, 25 %, 50 %, 75 %, max per column."""
+def describe_numeric(df: DataFrame, cols=None, approx: bool = False,
+                     method: str = "bounded") -> DataFrame:
+    """Count, mean, std (n-1), min, 25 %, 50 %, 75 %, max per column.
+    Quartiles: ``method='bounded'`` (exact, bounded state, see
+    ``quantiles``), ``'inmemory'`` (Spark ``percentile``) or ``approx``."""
     cols = cols if cols is not None else numeric_columns(df)
+    probs = (0.25, 0.5, 0.75)
+    if not approx and method == "bounded":
+        from riskframe.operators.quantiles import exact_quantiles
+        exact = exact_quantiles(df, cols, probs)
+        qcol = lambda c: _lit_array(exact[c])
+    else:
+        qcol = lambda c: _qs(c, probs, approx)
     long = _agg_long(df, cols, lambda c: {
         "count": F.count(c),
         "mean": F.avg(c),
         "std": F.stddev_samp(c),
         "min": F.min(c).cast("double"),
-        "qs": _qs(c, (0.25, 0.5, 0.75), approx),
+        "qs": qcol(c),
         "max": F.max(c).cast("double")})
     return long.select("column", "count", "mean", "std", "min",
                        *[F.col("qs")[i].cast("double").alias(n) for i, n in enumerate(("q25", "q50", "q75"))],
@@ -198,12 +212,18 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A12
-def iqr_outliers(df: DataFrame, cols=None, approx: bool = False, k: float = 1.5) -> DataFrame:
+def iqr_outliers(df: DataFrame, cols=None, approx: bool = False, k: float = 1.5,
+                 method: str = "bounded") -> DataFrame:
     """Bounds q1 - k*IQR, q3 + k*IQR and the count strictly outside;
     NULLs not counted; sorted by count descending.  Pass 1 computes the
     quartiles (scalar subqueries), pass 2 the conditional counts."""
     cols = cols if cols is not None else numeric_columns(df)
-    st = stats(df, {c: _qs(c, (0.25, 0.75), approx) for c in cols})
+    if not approx and method == "bounded":
+        from riskframe.operators.quantiles import exact_quantiles
+        exact = exact_quantiles(df, cols, (0.25, 0.75))
+        st = {c: _lit_array(exact[c]) for c in cols}
+    else:
+        st = stats(df, {c: _qs(c, (0.25, 0.75), approx) for c in cols})
     bounds = {}
     for c in cols:
         q1, q3 = st[c][0].cast("double"), st[c][1].cast("double")
@@ -249,15 +269,25 @@ def histogram_by_class(df: DataFrame, column: str, label: str, bins: int,
 
 
 def boxplot_by_class(df: DataFrame, cols, label: str, prefix: str | None = None,
-                     approx: bool = False) -> DataFrame:
+                     approx: bool = False, method: str = "bounded") -> DataFrame:
     """Per (measure, class): min, q1, median, q3, max and whiskers (the
     most extreme values within 1.5 IQR of the box)."""
     long = df.unpivot([label], list(cols), "measure", "value").where(F.col("value").isNotNull())
     if prefix:
         long = long.withColumn("measure", F.regexp_replace("measure", "^" + prefix, ""))
-    box = long.groupBy("measure", label).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("min"),
-        _qs("value", (0.25, 0.5, 0.75), approx).alias("qs"), F.max("value").alias("max"))
+    if not approx and method == "bounded":
+        # exact quantiles per (measure, class): keys are bounded by the schema
+        from riskframe.operators.quantiles import exact_quantiles_long
+        keyed = long.withColumn("__key", F.to_json(F.struct("measure", label)))
+        exact = exact_quantiles_long(keyed, "__key", "value", (0.25, 0.5, 0.75))
+        qmap = F.create_map(*[x for k, v in exact.items() for x in (F.lit(k), _lit_array(v))])
+        box = long.groupBy("measure", label).agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"))
+        box = box.withColumn("qs", qmap[F.to_json(F.struct("measure", label))])
+    else:
+        box = long.groupBy("measure", label).agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("min"),
+            _qs("value", (0.25, 0.5, 0.75), approx).alias("qs"), F.max("value").alias("max"))
     box = box.select("measure", label, "n", "min",
                      *[F.col("qs")[i].cast("double").alias(n) for i, n in enumerate(("q1", "median", "q3"))],
                      "max")

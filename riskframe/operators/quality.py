@@ -109,13 +109,22 @@ def out_of_range(df: DataFrame, ranges) -> DataFrame:
 
 
 # ---------------------------------------------------------------- C1-C6
-def impute_median(df: DataFrame, cols=None, exclude=(), approx: bool = False) -> DataFrame:
-    """NULL -> exact median (``approx=True`` uses percentile_approx for
-    very wide / very large inputs)."""
+def impute_median(df: DataFrame, cols=None, exclude=(), approx: bool = False,
+                  method: str = "bounded") -> DataFrame:
+    """NULL -> exact median.  ``method='bounded'`` selects it exactly
+    with bounded state (``quantiles``); ``'inmemory'`` uses Spark's
+    ``percentile``; ``approx=True`` uses ``percentile_approx``."""
     cols = cols if cols is not None else numeric_columns(df, exclude)
-    agg = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx \
-        else (lambda c: F.percentile(c, 0.5))
-    st = stats(df, {c: agg(c) for c in cols})
+    if not cols:
+        return df
+    if not approx and method == "bounded":
+        from riskframe.operators.quantiles import exact_quantiles
+        med = exact_quantiles(df, cols, (0.5,))
+        st = {c: F.lit(med[c][0]).cast("double") for c in cols}
+    else:
+        agg = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx \
+            else (lambda c: F.percentile(c, 0.5))
+        st = stats(df, {c: agg(c) for c in cols})
     return df.withColumns({c: F.coalesce(F.col(c), st[c].cast(df.schema[c].dataType))
                            for c in cols}) if cols else df
 
