@@ -226,7 +226,8 @@ def fit_preprocessor(train: DataFrame, num, cat, passthru, binary,
             if null_as_category else train
         levels[c] = [str(v) for v in Q.category_levels(src, c, max_levels)]
         if not null_as_category:
-            m = train.agg(F.mode(c, deterministic=True)).first()[0]
+            m = Q.mode_row(train, c).select(c).first()
+            m = m[0] if m is not None else None
             if m is not None:
                 modes[c] = m
     if stats is None:

@@ -137,15 +137,17 @@ def describe_numeric(df: DataFrame, cols=None, approx: bool = False,
 def describe_categorical(df: DataFrame, cols=None) -> DataFrame:
     """A8 (categorical part): count, unique, top (ties -> smallest), freq."""
     cols = cols if cols is not None else categorical_columns(df)
+    from riskframe.operators.quality import mode_row
     long = _agg_long(df, cols, lambda c: {
         "count": F.count(c),
-        "unique": F.count_distinct(c),
-        "top": F.mode(c, deterministic=True)})
-    # freq of the top value: a second pass counting matches of each top value
-    tops = stats(df, {c: F.mode(c, deterministic=True) for c in cols})
-    hits = df.select(*[(F.col(c) == tops[c]).cast("int").alias(c) for c in cols])
-    freq = _agg_long(hits, cols, lambda c: {"freq": F.count(F.when(F.col(c) == 1, 1))})
-    return long.join(freq, "column")
+        "unique": F.count_distinct(c)})
+    # top value and its frequency: a bounded top-1 over distributed counts
+    tops = None
+    for c in cols:
+        t = mode_row(df, c).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("top"),
+                                   F.col("count").alias("freq"))
+        tops = t if tops is None else tops.unionByName(t)
+    return long.join(tops, "column", "left")
 
 
 def describe_all(df: DataFrame, approx: bool = False) -> DataFrame:

@@ -137,11 +137,20 @@ def impute_mean(df: DataFrame, cols=None, exclude=()) -> DataFrame:
                            for c in cols}) if cols else df
 
 
+def mode_row(df: DataFrame, column: str) -> DataFrame:
+    """Most frequent non-null value (ties -> smallest) and its count, as one
+    row.  Counting is a distributed group-by (partial aggregation) and the
+    pick is a top-1 (each task keeps one row), so no task ever holds every
+    distinct value -- unlike the ``mode`` aggregate."""
+    return (df.where(F.col(column).isNotNull()).groupBy(column).count()
+            .orderBy(F.col("count").desc(), F.col(column).asc()).limit(1))
+
+
 def impute_mode(df: DataFrame, cols=None, exclude=()) -> DataFrame:
     """NULL -> most frequent value (ties -> smallest); an all-NULL
     column is left as is."""
     cols = cols if cols is not None else categorical_columns(df, exclude)
-    st = stats(df, {c: F.mode(c, deterministic=True) for c in cols})
+    st = {c: mode_row(df, c).select(c).scalar() for c in cols}
     return df.withColumns({c: F.coalesce(F.col(c), st[c]) for c in cols}) if cols else df
 
 
