@@ -71,14 +71,16 @@ def _finish(src: DataFrame, rank_map: dict, keys: list) -> dict:
     return {(r[0], r[1]): r[2] for r in hit.select(need["__k"], "__r", "__v").collect()}
 
 
-def _select(src: DataFrame, rank_map: dict, buckets: int, max_final: int, depth: int = 0) -> dict:
+def _select(src: DataFrame, rank_map: dict, buckets: int, max_final: int, depth: int = 0,
+            distinct: dict | None = None) -> dict:
     """Exact order statistics: ``rank_map`` = {key: set(0-based ranks)} ->
     {(key, rank): value}; ``src`` has ``__k`` (key) and ``__v`` (value)."""
     if not rank_map:
         return {}
     src = src.where(F.col("__k").isin(list(rank_map)))
-    distinct = {r["__k"]: r["d"] for r in src.groupBy("__k").agg(
-        F.approx_count_distinct("__v").alias("d")).collect()}
+    if distinct is None:
+        distinct = {r["__k"]: r["d"] for r in src.groupBy("__k").agg(
+            F.approx_count_distinct("__v").alias("d")).collect()}
     finish = [k for k in rank_map if distinct.get(k, 0) <= max_final]
     result = _finish(src, rank_map, finish) if finish else {}
     rest = [k for k in rank_map if k not in finish]
@@ -136,14 +138,17 @@ def exact_quantiles_long(long: DataFrame, key: str, value: str, probs,
     has no values)."""
     src = long.select(F.col(key).cast("string").alias("__k"), F.col(value).cast("double").alias("__v")) \
         .where(F.col("__v").isNotNull())
-    ns = {r["__k"]: r["n"] for r in src.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = src.groupBy("__k").agg(F.count(F.lit(1)).alias("n"),
+                                   F.approx_count_distinct("__v").alias("d")).collect()
+    ns = {r["__k"]: r["n"] for r in first}
+    distinct = {r["__k"]: r["d"] for r in first}
     rank_map = {}
     plan = {}
     for k, n in ns.items():
         plan[k] = _ranks(n, probs)
         for _, lo, hi in plan[k]:
             rank_map.setdefault(k, set()).update({lo, hi})
-    got = _select(src, rank_map, buckets, max_final)
+    got = _select(src, rank_map, buckets, max_final, distinct=distinct)
     out = {}
     for k, items in plan.items():
         qs = []
