@@ -30,7 +30,9 @@ def main():
     out = ["# PLANS", "",
            f"Final adaptive plans at `{base}` on `local[4]` (generated by `tools/plan_report.py`).",
            "Broadcasts here are AQE's runtime choice under `autoBroadcastJoinThreshold` unless the",
-           "code marks a side whose size is bounded by the schema (top-n, offsets, box table).", ""]
+           "code marks a side whose size is bounded by the schema (top-n, offsets, box table).",
+           "Job counts are those of the query itself; exact bounded quantiles (describe, IQR,",
+           "medians) run their few selection passes while the DataFrame is built.", ""]
     sc = spark.sparkContext
     for name in KEY:
         df = queries[name](spark, base)
