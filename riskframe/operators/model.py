@@ -34,11 +34,13 @@ def gbt(label: str = "flag", weight: str | None = "weight", max_iter: int = 20,
         max_depth: int = 4, step_size: float = 0.1, subsampling_rate: float = 0.8,
         feature_subset: str = "0.8", min_instances: int = 5, seed: int = 42) -> GBTClassifier:
     """L1 estimator (depth, learning rate, row / column subsampling, minimum
-    node size, class weight, seed)."""
+    node size, class weight, seed).  Boosting state is checkpointed every 10
+    iterations into the session's checkpoint folder, so a lost executor
+    never replays the whole boosting lineage."""
     est = GBTClassifier(featuresCol="features", labelCol=label, maxIter=max_iter,
                         maxDepth=max_depth, stepSize=step_size, subsamplingRate=subsampling_rate,
                         featureSubsetStrategy=feature_subset, minInstancesPerNode=min_instances,
-                        seed=seed, maxBins=64)
+                        seed=seed, maxBins=64, checkpointInterval=10)
     if weight:
         est = est.setWeightCol(weight)
     return est
@@ -47,6 +49,8 @@ def gbt(label: str = "flag", weight: str | None = "weight", max_iter: int = 20,
 def train_gbt(train: DataFrame, feature_names, label: str = "flag",
               weight: str | None = "weight", **params) -> PipelineModel:
     """L1: assemble (NULL -> sentinel) + GBT; returns a PipelineModel."""
+    from riskframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(train.sparkSession)     # the cluster's folder; set only when unset
     va = VectorAssembler(inputCols=list(feature_names), outputCol="features", handleInvalid="keep")
     pipe = Pipeline(stages=[va, gbt(label, weight, **params)])
     src = fill_sentinel(train, feature_names).withColumn(label, F.col(label).cast("double"))
