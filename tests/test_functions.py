@@ -157,3 +157,13 @@ def test_column_sets_and_keep_if_present(spark):
     assert Q.numeric_columns(df, exclude=["id", "y"]) == ["x"]
     assert Q.categorical_columns(df) == ["g"]
     assert Q.present(df, ["x", "absent", "g"]) == ["x", "g"]
+
+
+def test_typed_csv_keeps_leading_zeros_and_infer_does_not(spark, tmp_path):
+    path = str(tmp_path / "dx.csv")
+    with open(path, "w") as fh:
+        fh.write("hadm_id,icd_code,icd_version\n1,0070,9\n2,L891,10\n")
+    typed = readers.scan_csv(spark, path, schema="hadm_id long, icd_code string, icd_version int")
+    assert sorted(r.icd_code for r in typed.collect()) == ["0070", "L891"]
+    inferred = readers.read_any(spark, path)
+    assert dict(inferred.dtypes)["icd_version"] == "int"
