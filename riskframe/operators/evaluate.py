@@ -84,7 +84,12 @@ def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def evaluate(df: DataFrame, score: str, label: str, threshold) -> DataFrame:
     """Auroc, sensitivity, specificity, precision (0 when undefined), f1,
-    brier_score, threshold -- one row."""
+    brier_score, threshold -- one row.
+
+    ``threshold`` may be a number or a one-row scalar subquery (e.g. from
+    ``optimal_threshold``).  Spark only accepts the subquery inside the
+    aggregates when its input is deterministic: score a model once, write
+    the scores (``session.materialize``) and evaluate the written table."""
     t = threshold if not isinstance(threshold, (int, float)) else F.lit(float(threshold))
     cc = confusion_counts(df, score, label, t)
     # one-row aggregates referenced as scalar subqueries (no join needed)
