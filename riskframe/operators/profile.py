@@ -150,9 +150,9 @@ def describe_categorical(df: DataFrame, cols=None) -> DataFrame:
     return long.join(tops, "column", "left")
 
 
-def describe_all(df: DataFrame, approx: bool = False) -> DataFrame:
+def describe_all(df: DataFrame, approx: bool = False, method: str = "bounded") -> DataFrame:
     """Numeric describe + categorical describe in one long table."""
-    num = describe_numeric(df, approx=approx).select(
+    num = describe_numeric(df, approx=approx, method=method).select(
         "column", "count", F.lit(None).cast("long").alias("unique"),
         F.lit(None).cast("string").alias("top"), F.lit(None).cast("long").alias("freq"),
         "mean", "std", "min", "q25", "q50", "q75", "max")

@@ -66,3 +66,17 @@ def test_clean_log_counts(spark):
     out, log = Q.clean(df, ["dropna", "dedup"])
     assert [(r.step, r.rows) for r in log.orderBy("seq").collect()] == [("input", 3), ("dropna", 2), ("dedup", 1)]
     assert out.count() == 1
+
+
+def test_observed_counts_without_extra_job(spark):
+    df = spark.range(100).where(F.col("id") % 3 == 0)
+    obs_df, obs = P.with_observed_counts(df, "kept")
+    obs_df.write.format("noop").mode("overwrite").save()
+    assert obs.get["rows"] == 34
+
+
+def test_describe_methods_agree(spark):
+    df = spark.range(500).select((F.col("id") % 37 * 1.5).alias("x"))
+    a = P.describe_numeric(df, ["x"], method="bounded").first()
+    b = P.describe_numeric(df, ["x"], method="inmemory").first()
+    assert (a.q25, a.q50, a.q75) == (b.q25, b.q50, b.q75)
