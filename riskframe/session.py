@@ -7,7 +7,6 @@ the platform and only ``checkpoint_dir`` is consulted.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,8 +24,12 @@ SCALE_CONF = {
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "riskframe") -> SparkSession:
-    """A local session for tests / bench: UI off, AQE on, UTC."""
+                  app: str = "riskframe",
+                  checkpoint_dir: str = "/tmp/riskframe-checkpoints") -> SparkSession:
+    """A local session for tests / bench: UI off, AQE on, UTC.
+
+    ``checkpoint_dir`` is used only when neither Spark's defaults nor the
+    context name a folder (one machine, so a local path is shared)."""
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
@@ -38,24 +41,28 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        spark.sparkContext.setCheckpointDir(checkpoint_dir)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder of this session.
 
-    The cluster's setting always wins.  Only when it is unset (local tests)
-    is a fresh scratch folder created and registered.
-    """
+    A folder the platform already gave the context is kept; otherwise the
+    session's ``spark.checkpoint.dir`` is registered.  Without either there
+    is no folder that all executors share, so this raises instead of falling
+    back to a machine-local one."""
+    have = spark.sparkContext.getCheckpointDir()
+    if have:
+        return have
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        spark.sparkContext.setCheckpointDir(conf)
-        return conf
-    local = tempfile.mkdtemp(prefix="riskframe-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not conf:
+        raise RuntimeError("no shared checkpoint folder: start Spark with "
+                           "spark.checkpoint.dir=<folder all executors share>, or call "
+                           "SparkContext.setCheckpointDir first")
+    spark.sparkContext.setCheckpointDir(conf)
+    return conf
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
