@@ -13,7 +13,6 @@ from riskframe.session import materialize
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Orders under which a document's smallest line hashes are its signature.
 SIGNATURE_KEYS = (0, 0x2AAAAAAAAAAAAAA, 0x666666666666666)
@@ -39,12 +38,6 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def normal_line(line: Column) -> Column:
-    """A-Z lower-cased, white space runs to one space, ends trimmed, digit runs to 0."""
-    spaced = F.trim(F.regexp_replace(F.translate(line, UPPER, LOWER), WORD_BREAK, " "))
-    return F.regexp_replace(spaced, "[0-9]+", "0")
-
-
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once under ``spark.checkpoint.dir`` and read again: cuts
     lineage, survives a lost executor, and gives the optimiser a true size, so
@@ -57,36 +50,50 @@ def _in_order(hashes: Column, key: int) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(key))))
 
 
-def doc_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str | None = None) -> DataFrame:
-    """One row per line that has a word: ``doc, host, th, pos, idx, line, words,
-    lh, sigs``.
+def doc_table(docs: DataFrame, name: str, id_col: str, text_col: str, host_col: str | None = None,
+              doc_cols: dict[str, Column] | None = None, line_fields=None) -> DataFrame:
+    """One pass over the texts, written once: a row per document with ``doc,
+    host, th, ls, s0..s2`` and ``doc_cols``.
 
     ``th`` is a hash of the whole text; ``(doc, th)`` identifies a document even
-    when ids repeat.  ``pos`` is the line's place in the text, ``idx`` its place
-    among the lines with words, ``lh`` the hash of its normalised form.
-    ``sigs`` holds, for each of three hash orders, the smallest ``lh`` among the
-    *other* lines of the document: near copies nearly always agree in it while
-    unrelated documents that share only this line do not, so counting distinct
-    signatures counts documents without counting a group of copies twice."""
+    when ids repeat.  ``ls`` lists the lines that have a word: ``pos`` (place in
+    the text), ``words``, ``lh`` (hash of the normalised line: lower case, white
+    space runs to one space, ends trimmed, digit runs to 0) and whatever
+    ``line_fields(tokens)`` adds from the white-space tokens of the line.
+    ``s0..s2`` hold the two smallest line hashes under three hash orders."""
     host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
-    text = F.col(text_col)
-    raw = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"),
-                      lambda l, i: F.struct(i.alias("pos"), l.alias("line")))
-    kept = F.filter(raw, lambda r: r["line"].rlike(WORD))
-    hashed = F.transform(kept, lambda r: F.struct(
-        r["pos"], r["line"], F.size(words_of(r["line"])).alias("words"),
-        hash60(normal_line(r["line"])).alias("lh")))
-    base = docs.select(F.col(id_col).alias("doc"), host.alias("host"),
-                       hash60(F.coalesce(text, F.lit(""))).alias("th"), hashed.alias("ls"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def line(raw: Column, i: Column) -> Column:
+        def fields(tokens):
+            plain = F.array_join(tokens, " ")
+            norm = F.lower(F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[0-9]+", "0")).otherwise(plain))
+            return F.struct(i.alias("pos"), F.size(tokens).alias("words"), hash60(norm).alias("lh"),
+                            *(line_fields(tokens, plain) if line_fields else ()))
+        return let(words_of(raw), lambda tokens: fields(tokens))
+
+    lines = F.filter(F.transform(F.split(text, "\n"), line), lambda r: r["words"] > 0)
+    base = docs.select(F.col(id_col).alias("doc"), host.alias("host"), hash60(text).alias("th"),
+                       *(c.alias(n) for n, c in (doc_cols or {}).items()), lines.alias("ls"))
     own = F.array_distinct(F.transform("ls", lambda r: r["lh"]))
-    base = base.withColumns({f"s{k}": F.slice(_in_order(own, key), 1, 2)
-                             for k, key in enumerate(SIGNATURE_KEYS)})
-    out = base.select("doc", "host", "th", *(f"s{k}" for k in range(len(SIGNATURE_KEYS))),
-                      F.posexplode("ls").alias("idx", "r"))
+    return shared_table(base.withColumns({f"s{k}": F.slice(_in_order(own, key), 1, 2)
+                                          for k, key in enumerate(SIGNATURE_KEYS)}), name)
+
+
+def doc_lines(table: DataFrame) -> DataFrame:
+    """One row per line of a ``doc_table``: ``doc, host, th, idx, pos, words, lh,
+    ..., g0..g2``.
+
+    ``g*`` holds, for each hash order, the smallest hash among the *other* lines
+    of the document: near copies nearly always agree in it while unrelated
+    documents that share only this line do not, so counting distinct signatures
+    counts documents without counting a group of copies many times."""
+    out = table.select("doc", "host", "th", *(f"s{k}" for k in range(len(SIGNATURE_KEYS))),
+                       F.posexplode("ls").alias("idx", "r"))
     sigs = [F.when(F.get(F.col(f"s{k}"), F.lit(0)) == F.col("r.lh").bitwiseXOR(F.lit(key)),
                    F.get(F.col(f"s{k}"), F.lit(1))).otherwise(F.get(F.col(f"s{k}"), F.lit(0))).alias(f"g{k}")
             for k, key in enumerate(SIGNATURE_KEYS)]
-    return out.select("doc", "host", "th", "idx", "r.pos", "r.line", "r.words", "r.lh", *sigs)
+    return out.select("doc", "host", "th", "idx", "r.*", *sigs)
 
 
 def independent_documents(rows: DataFrame, keys: list[str]) -> DataFrame:

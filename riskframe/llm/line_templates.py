@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import (SIGNATURE_KEYS, WORD_BREAK, doc_lines, independent_documents,
+from riskframe.llm.common import (SIGNATURE_KEYS, doc_lines, doc_table, independent_documents, let,
                                   shared_table)
 from riskframe.llm.quality_rules import drop_lines
 
@@ -49,20 +49,27 @@ def template_lines(docs: DataFrame, rules: TemplateRules, id_col: str, text_col:
 
     Three-part keys (leaf, part, hash of that part) are 64-bit hashes; the
     token count stays as ``n``."""
-    lines = doc_lines(docs, id_col, text_col)
-    mask = F.regexp_replace(F.trim(F.regexp_replace("line", WORD_BREAK, " ")), r"[^ ]*[0-9][^ ]*", FIELD)
-    masked = (lines.filter(F.col("words") >= rules.min_tokens).withColumn("masked", mask)
-              .withColumn("tokens", F.split("masked", " ")))
-    n, d = F.size("tokens"), rules.depth
-    lead = [F.get("tokens", F.lit(i)) for i in range(d)]
-    half = ((n - d) / 2).cast("int")
-    part = lambda k, value: F.xxhash64(n, *lead, F.lit(k), value)
-    halves = F.array(part(1, F.array_join(F.slice("tokens", F.lit(d + 1), half), " ")),
-                     part(2, F.array_join(F.slice("tokens", d + 1 + half, n - d - half), " ")))
-    whole = F.array(part(0, F.col("masked")))
-    keys = F.when(n >= rules.split_tokens, F.concat(whole, halves)).otherwise(whole)
-    return masked.select("doc", "th", "pos", n.alias("n"), "tokens",
-                         *(f"g{k}" for k in range(len(SIGNATURE_KEYS))), F.explode(keys).alias("key"))
+    d = rules.depth
+
+    def fields(tokens, plain):
+        n = F.size(tokens)
+        masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+
+        def keys(line):
+            toks, half = line["toks"], ((n - d) / 2).cast("int")
+            part = lambda k, v: F.xxhash64(n, *(F.get(toks, F.lit(i)) for i in range(d)), F.lit(k), v)
+            whole = part(0, line["masked"])
+            return F.when(n >= rules.split_tokens, F.array(
+                whole, part(1, F.array_join(F.slice(toks, F.lit(d + 1), half), " ")),
+                part(2, F.array_join(F.slice(toks, d + 1 + half, n - d - half), " ")))).otherwise(F.array(whole))
+
+        line = F.struct(masked.alias("masked"), F.split(masked, " ").alias("toks"))
+        return (masked.alias("masked"),
+                F.when(n >= rules.min_tokens, let(line, lambda x: keys(x))).alias("keys"))
+
+    return doc_lines(doc_table(docs, "template-lines", id_col, text_col, line_fields=fields)).select(
+        "doc", "th", "pos", F.col("words").alias("n"), F.split("masked", " ").alias("tokens"),
+        *(f"g{k}" for k in range(len(SIGNATURE_KEYS))), F.explode("keys").alias("key"))
 
 
 def recurring_templates(rows: DataFrame, rules: TemplateRules) -> DataFrame:

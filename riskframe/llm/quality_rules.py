@@ -13,11 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import (WORD, doc_lines, hash60, independent_documents, let,
-                                  shared_table, words_of)
+from riskframe.llm.common import (WORD, doc_lines, doc_table, hash60, independent_documents,
+                                  let, shared_table, words_of)
 
-SYMBOLS = "#*$%&|<>"
-BREAKS = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
 
@@ -64,17 +63,16 @@ def repeat_words(words: Column) -> Column:
                .otherwise(F.lit(0)))
 
 
-def base_columns(text: Column, rules: QualityRules) -> dict[str, Column]:
-    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``
-    of one text (NULL and empty: zeros, failed)."""
+def base_columns(text: Column) -> dict[str, Column]:
+    """``counts`` (``n_words, word_chars, n_repeat_words``), ``n_symbols`` and
+    ``n_dup_lines`` of one text (NULL and empty: zeros)."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda l: l.rlike(WORD))
-    counts = let(words_of(text), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words")))
     return {
-        "counts": counts,
-        "word_chars": F.length(F.translate(text, BREAKS, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "counts": let(words_of(text), lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            repeat_words(w).cast("long").alias("n_repeat_words"))),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": let(lines, lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long")),
     }
 
@@ -91,9 +89,13 @@ def frequent_lines(lines: DataFrame, rules: QualityRules) -> DataFrame:
             .select("host", "lh"))
 
 
-def _flagged(docs, rules, id_col, text_col, host_col):
+def _table(docs, id_col, text_col, host_col):
+    return doc_table(docs, "quality", id_col, text_col, host_col, base_columns(F.col(text_col)))
+
+
+def _flagged(table: DataFrame, rules: QualityRules) -> DataFrame:
     """Line rows with ``gone``: whether the line is removed on its host."""
-    lines = doc_lines(docs, id_col, text_col, host_col)
+    lines = doc_lines(table)
     bad = shared_table(frequent_lines(lines, rules), "frequent-lines").withColumn("gone", F.lit(True))
     slim = lines.select("doc", "th", F.coalesce("host", F.lit("\0")).alias("host"), "idx", "pos", "words", "lh")
     return slim.join(bad, ["host", "lh"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
@@ -109,12 +111,13 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), id_col:
     own; repeated rows get the same verdict each; extra columns are ignored;
     an empty table gives an empty result.  Only hashes and counts are
     shuffled, never texts."""
-    cols = base_columns(F.col(text_col), rules)
-    base = docs.select(F.col(id_col).alias("doc"), hash60(F.coalesce(F.col(text_col), F.lit(""))).alias("th"),
-                       *(c.alias(n) for n, c in cols.items()))
-    base = base.select("doc", "th", "counts.n_words", "word_chars", "n_symbols", "n_dup_lines",
-                       "counts.n_repeat_words")
-    gone = (_flagged(docs, rules, id_col, text_col, host_col).groupBy("doc", "th")
+    table = _table(docs, id_col, text_col, host_col)
+    return _verdict(table, _flagged(table, rules), rules, id_col)
+
+
+def _verdict(table: DataFrame, flagged: DataFrame, rules: QualityRules, id_col: str) -> DataFrame:
+    base = table.select("doc", "th", "counts.*", "n_symbols", "n_dup_lines")
+    gone = (flagged.groupBy("doc", "th")
             .agg(F.sum(F.when(F.col("gone"), 1).otherwise(0)).alias("l"),
                  F.sum(F.when(F.col("gone"), F.col("words")).otherwise(0)).alias("w"),
                  F.sum(F.when(F.col("idx") == 0, 1).otherwise(0)).alias("rows")))
@@ -154,14 +157,14 @@ def apply_quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), i
                         text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that pass, without their frequent lines; all columns stay.
     A text all of whose lines stay is unchanged."""
-    verdict = shared_table(quality_rules(docs, rules, id_col, text_col, host_col)
-                           .filter(~F.col("kept")).select(F.col(id_col).alias("_doc"), F.col("th").alias("_th"))
-                           .distinct(), "rejected")
+    table = _table(docs, id_col, text_col, host_col)
+    flagged = shared_table(_flagged(table, rules), "flagged-lines")
+    rejected = shared_table(_verdict(table, flagged, rules, id_col).filter(~F.col("kept"))
+                            .select(F.col(id_col).alias("_doc"), F.col("th").alias("_th")).distinct(), "rejected")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = docs.join(verdict, F.col(id_col).eqNullSafe(F.col("_doc")) & (hash60(text) == F.col("_th")),
+    kept = docs.join(rejected, F.col(id_col).eqNullSafe(F.col("_doc")) & (hash60(text) == F.col("_th")),
                      "left_anti")
-    gone = _flagged(docs, rules, id_col, text_col, host_col).filter("gone").select("doc", "th", "pos")
-    return drop_lines(kept, gone, id_col, text_col)
+    return drop_lines(kept, flagged.filter("gone").select("doc", "th", "pos"), id_col, text_col)
 
 
 #: DuckDB: the same numbers by window functions over exploded words and lines.
@@ -173,9 +176,8 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, unnest(range(0, 5)) AS r(k) GROUP BY doc_id),
 ls AS (SELECT doc_id, coalesce(source, chr(0)) AS host, ('0x' || substr(md5(t), 1, 15))::BIGINT AS th, l,
               len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words,
-              ('0x' || substr(md5(regexp_replace(trim(regexp_replace(translate(l,
-                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')),
-                '[0-9]+', '0', 'g')), 1, 15))::BIGINT AS lh
+              ('0x' || substr(md5(regexp_replace(trim(regexp_replace(lower(l),
+                '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')), 1, 15))::BIGINT AS lh
        FROM d, unnest(string_split(t, chr(10))) AS r(l)),
 lines AS (SELECT * FROM ls WHERE words > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc_id),

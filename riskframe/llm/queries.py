@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import line_templates, mixing, quality_rules, reply_trees
+from riskframe.llm import (bpe_codec, line_templates, mixing, quality_rules, reply_trees,
+                           token_counts)
 from riskframe.sources.readers import read_table
 
 QUERIES: dict = {}
@@ -49,3 +50,20 @@ def op3_reply_trees(spark: SparkSession, base: str) -> DataFrame:
 def op5_source_mix(spark: SparkSession, base: str) -> DataFrame:
     docs = read_table(spark, base, "documents", ["doc_id", "text", "source"])
     return mixing.mix(docs).drop("th")
+
+
+def _byte_bpe() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op8_token_counts(spark: SparkSession, base: str) -> DataFrame:
+    docs = read_table(spark, base, "documents", ["doc_id", "text"])
+    return token_counts.token_counts(docs, _byte_bpe(), limit=1024)
+
+
+@query
+def op9_bpe_codec(spark: SparkSession, base: str) -> DataFrame:
+    docs = read_table(spark, base, "documents", ["doc_id", "text"])
+    return bpe_codec.encode_decode(docs, _byte_bpe())
