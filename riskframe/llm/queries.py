@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import (bpe_codec, line_templates, mixing, quality_rules, reply_trees,
-                           token_counts)
+from riskframe.llm import (bpe_codec, circulant_minhash, html_crf, language_id, line_templates,
+                           mixing, quality_rules, reply_trees, token_counts)
 from riskframe.sources.readers import read_table
 
 QUERIES: dict = {}
@@ -67,3 +67,24 @@ def op8_token_counts(spark: SparkSession, base: str) -> DataFrame:
 def op9_bpe_codec(spark: SparkSession, base: str) -> DataFrame:
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
     return bpe_codec.encode_decode(docs, _byte_bpe())
+
+
+@query
+def op10_circulant_minhash(spark: SparkSession, base: str) -> DataFrame:
+    docs = read_table(spark, base, "documents", ["doc_id", "text"])
+    return circulant_minhash.near_duplicates(docs, circulant_minhash.NearDupRules(words=2))
+
+
+@query
+def op4_language_id(spark: SparkSession, base: str) -> DataFrame:
+    import public_tokenizers
+    docs = read_table(spark, base, "documents", ["doc_id", "text", "lang"])
+    docs = docs.withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2)
+    model = language_id.fit(docs.filter(~F.col("held_out")), public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+@query
+def op7_html_crf(spark: SparkSession, base: str) -> DataFrame:
+    pages = read_table(spark, base, "pages", ["page_id", "url", "html"])
+    return html_crf.main_text(pages, html_crf.fit(pages))

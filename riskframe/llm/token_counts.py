@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile(r"\s \s?| \s|^ | $|\s ")
-CACHE_ENTRIES, BATCH_BYTES = 200_000, 1 << 20
+CACHE_ENTRIES, BATCH_BYTES = 400_000, 1 << 20
 
 
 def segments(text: str) -> list[str]:
@@ -55,37 +54,26 @@ class _Lengths:
         self.split = can_split(self.tok.to_str())
         self.cache: dict[str, int] = {}
 
-    def encode(self, pieces: list[str]) -> None:
-        """Fill the cache for ``pieces``, in encoder batches of about ``BATCH_BYTES``."""
-        batch, size = [], 0
-        for p in sorted(pieces, key=len, reverse=True):
-            batch.append(p)
-            size += len(p) + 1
-            if size >= BATCH_BYTES:
-                self._run(batch)
-                batch, size = [], 0
-        if batch:
-            self._run(batch)
-
-    def _run(self, batch: list[str]) -> None:
-        out = self.tok.encode_batch_fast(batch, add_special_tokens=False)
-        self.cache.update((p, len(e)) for p, e in zip(batch, out))
+    def lengths(self, pieces: list[str]) -> list[int]:
+        """Token counts of ``pieces``, in encoder batches of about ``BATCH_BYTES``."""
+        out: list[int] = []
+        for batch in by_bytes(pieces, BATCH_BYTES):
+            out += map(len, self.tok.encode_batch_fast(batch, add_special_tokens=False))
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        cut = []
-        for t in texts:
-            if self.split:
-                head, *rest = segments(t)
-                cut.append([head, *[" " + r for r in rest]])
-            else:
-                cut.append([t])
-        missing = {p for ps in cut for p in ps if p not in self.cache}
+        """Token counts of ``texts``; the cache is keyed by segment without its
+        leading space, and the first segment of a text is encoded as it is."""
+        if not self.split:
+            return self.lengths(texts)
+        cut = [segments(t) for t in texts]
+        missing = list({p for ps in cut for p in ps[1:]}.difference(self.cache))
         if len(self.cache) + len(missing) > CACHE_ENTRIES:
             self.cache = {}
-            missing = {p for ps in cut for p in ps}
-        self.encode(list(missing))
-        get = self.cache.__getitem__
-        return [sum(map(get, ps)) for ps in cut]
+            missing = list({p for ps in cut for p in ps[1:]})
+        self.cache.update(zip(missing, self.lengths([" " + p for p in missing])))
+        heads, get = self.lengths([ps[0] for ps in cut]), self.cache.__getitem__
+        return [h + sum(map(get, ps[1:])) for h, ps in zip(heads, cut)]
 
 
 def by_bytes(texts: list[str], limit: int) -> Iterator[list[str]]:
