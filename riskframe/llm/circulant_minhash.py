@@ -296,3 +296,21 @@ def keep_one(docs: DataFrame, rules: NearDupRules = NearDupRules(), id_col: str
     gone = shared_table(verdict.filter(~F.col("kept")).select(F.col(id_col).alias("_id")).distinct(), "near-copies")
     left = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
     return left
+
+
+#: DuckDB, for the two-word shingles of the query: every pair that shares a shingle.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+        SELECT doc_id, ws[i:i + 1] AS g FROM w, unnest(range(1, greatest(len(ws), 1))) AS r(i)
+        UNION ALL SELECT doc_id, ws FROM w WHERE len(ws) = 1)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+      GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n q ON q.doc_id = a JOIN n t ON t.doc_id = b WHERE 100 * i >= 80 * (q.n + t.n - i)),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w JOIN c ON c.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""

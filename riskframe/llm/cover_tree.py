@@ -325,3 +325,16 @@ def near_duplicates(vectors: DataFrame, rules: CoverRules = CoverRules(), id_col
     back = lambda c: F.when(c != no_id, c)
     return out.select(back(F.col("eid")).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       back(comp).alias("component_id"), (F.col("eid") == comp).alias("kept"))
+
+
+#: DuckDB: every pair, and reachability over the links.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a
+"""

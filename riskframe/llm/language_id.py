@@ -39,9 +39,9 @@ class LanguageRules:
     expectation-maximisation; ``pooled`` is the weight of the probabilities of
     all languages together.  More languages than ``max_languages`` raise."""
 
-    fit_docs: int = 400
-    fit_words: int = 20_000
-    rounds: int = 3
+    fit_docs: int = 300
+    fit_words: int = 8_000
+    rounds: int = 2
     pooled: float = 0.05
     seed: int = 11
     max_languages: int = 200

@@ -6,12 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import (bpe_codec, circulant_minhash, html_crf, language_id, line_templates,
+from riskframe.llm import (bpe_codec, circulant_minhash, cover_tree, html_crf, language_id, line_templates,
                            mixing, quality_rules, reply_trees, token_counts)
 from riskframe.sources.readers import read_table
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op3_reply_trees": reply_trees.ORACLE_SQL,
+    "op6_cover_tree": cover_tree.ORACLE_SQL,
+    "op10_circulant_minhash": circulant_minhash.ORACLE_SQL,
+}
 
 
 def query(fn):
@@ -52,7 +57,7 @@ def op5_source_mix(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix(docs).drop("th")
 
 
-def _byte_bpe() -> str:
+def byte_bpe() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -60,13 +65,13 @@ def _byte_bpe() -> str:
 @query
 def op8_token_counts(spark: SparkSession, base: str) -> DataFrame:
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
-    return token_counts.token_counts(docs, _byte_bpe(), limit=1024)
+    return token_counts.token_counts(docs, byte_bpe(), limit=1024)
 
 
 @query
 def op9_bpe_codec(spark: SparkSession, base: str) -> DataFrame:
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
-    return bpe_codec.encode_decode(docs, _byte_bpe())
+    return bpe_codec.encode_decode(docs, byte_bpe())
 
 
 @query
@@ -88,3 +93,8 @@ def op4_language_id(spark: SparkSession, base: str) -> DataFrame:
 def op7_html_crf(spark: SparkSession, base: str) -> DataFrame:
     pages = read_table(spark, base, "pages", ["page_id", "url", "html"])
     return html_crf.main_text(pages, html_crf.fit(pages))
+
+
+@query
+def op6_cover_tree(spark: SparkSession, base: str) -> DataFrame:
+    return cover_tree.near_duplicates(read_table(spark, base, "embeddings", ["vec_id", "embedding"]))

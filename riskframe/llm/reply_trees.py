@@ -169,3 +169,18 @@ def linear_messages(conversations: DataFrame) -> DataFrame:
         F.col("conv_id").alias("conv"), F.row_number().over(order).alias("id"), "role", "text") \
         .select("conv", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"),
                 F.lit(0.0).alias("score"), "role", "text")
+
+
+#: DuckDB: the same digests straight from the rows.
+ORACLE_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+       sum(length(t) + len(regexp_extract_all(t, '(<<|<|\[)(\\*)(/?INST(?: [^\[\]<>]*)?\]|/?SYS>>|/?s>)'))
+           + CASE r WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 WHEN 'system' THEN 18
+             ELSE 17 + length(r) END)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
