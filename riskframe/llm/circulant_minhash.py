@@ -7,10 +7,10 @@ are candidates, and a link needs the exact Jaccard similarity of the full
 shingle sets.
 
 Documents with equal sets are one class from the start.  In a shared band the
-smallest member is compared with all others; after that only members of
-different components are compared, in rounds, until no band holds two
-components that were not compared.  So a group of n near copies costs about n
-comparisons a round, and no link between components is left untested.
+members are first compared with a leader, and only members of different
+components after that, leaving out pairs that the triangle inequality of the
+Jaccard distance excludes.  So a group of n near copies costs a few n
+comparisons, and no link between components is left untested.
 """
 
 from __future__ import annotations
@@ -37,17 +37,17 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 class NearDupRules:
     """``words`` per shingle, link from ``percent`` % Jaccard similarity on.
     ``bands`` x ``rows`` coordinates: a pair at 80 % shares no band with
-    probability (1 - 0.8**rows)**bands, 3e-6 by default.  Bands with up to
-    ``small_band`` members of open components are compared in one round;
-    larger ones take ``leaders`` members a round."""
+    probability (1 - 0.8**rows)**bands, 3e-6 by default.  ``leaders`` and
+    ``probes`` steer the order of comparisons (see ``link_classes``), not
+    which links are found."""
 
     words: int = 5
     percent: int = 80
     bands: int = 42
     rows: int = 6
     seed: int = 0x9E3779B97F4A7C15
-    small_band: int = 12
     leaders: int = 4
+    probes: int = 6
     group_bytes: int = 1 << 19
     salt_pairs: int = 2000
 
@@ -180,7 +180,8 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``, decided on the full sets.
+    """``pairs`` (a, b) with ``linked`` and ``gap`` (Jaccard distance), from the
+    full sets.
 
     Pairs of one ``a`` are dealt to several salts, and its set is copied once
     per salt, so a member compared with very many others is not one task."""
@@ -195,63 +196,83 @@ def confirm(pairs: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame
     right = sets.select(F.col("fp").alias("r"), F.col("items").alias("r_items"), F.col("n").alias("r_n"))
     on = (dealt.join(left, (F.col("a") == F.col("l")) & (F.col("salt") == F.col("l_salt")))
           .join(right, F.col("b") == F.col("r")))
-    both = _common("l_items", "r_items")
-    return (on.withColumn("both", both)
-            .select("a", "b", (100 * F.col("both") >= rules.percent * (F.col("l_n") + F.col("r_n") - F.col("both")))
-                    .alias("linked")))
+    on = on.withColumn("both", _common("l_items", "r_items")).withColumn("any", F.col("l_n") + F.col("r_n") - F.col("both"))
+    return on.select("a", "b", (100 * F.col("both") >= rules.percent * F.col("any")).alias("linked"),
+                     (1 - F.col("both") / F.col("any")).alias("gap"))
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, rules: NearDupRules):
-    """The next pairs to compare and the members still to come.
-
-    A band is open while it holds members of two components.  Small open bands
-    are compared as a whole; in larger ones the smallest member of each of
-    the ``leaders`` smallest components is compared with the members of all
-    other components and is then done in this band."""
-    on = (members.join(labels, members.fp == labels.node, "left")
-          .select("key", "fp", "n", F.coalesce("comp", "fp").alias("comp")))
-    parts = on.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct("fp", "n")).alias("first"))
-    open_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("c").alias("size")).filter("parts > 1")
-    open_keys = shared_table(open_keys, "open-bands")
-    live = shared_table(on.join(open_keys, "key").select("key", "fp", "n", "comp", "size"), "open-members")
-    least = lambda x, y: 100 * F.least(x, y) >= rules.percent * F.greatest(x, y)
-    small = live.filter(F.col("size") <= rules.small_band)
-    x = small.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = small.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    direct = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & least(F.col("na"), F.col("nb")))
-    big = live.filter(F.col("size") > rules.small_band)
-    firsts = (parts.join(open_keys.filter(F.col("size") > rules.small_band).select("key"), "key", "left_semi")
-              .groupBy("key").agg(F.slice(F.sort_array(F.collect_list(
-                  F.struct("c", "first", "comp"))), 1, rules.leaders).alias("ls")))
-    return live, direct, big, firsts, least
+def _may_link(x, y, rules: NearDupRules):
+    """Whether sets of these sizes can reach the similarity."""
+    return 100 * F.least(x, y) >= rules.percent * F.greatest(x, y)
 
 
 def link_classes(bands: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
     """``node, comp`` over set fingerprints, from ``bands`` (key, fp, n).
 
-    ``bands`` holds only keys that two or more classes share."""
-    first = bands.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("f"))
-    least = lambda x, y: 100 * F.least(x, y) >= rules.percent * F.greatest(x, y)
-    star = (bands.join(first, "key").filter((F.col("fp") != F.col("f.fp")) & least(F.col("n"), F.col("f.n")))
-            .select(F.col("f.fp").alias("a"), F.col("fp").alias("b")).distinct())
-    tested = shared_table(confirm(shared_table(star, "star-pairs"), sets, rules), "confirmed")
-    members = bands
-    while True:
+    ``bands`` holds only keys that two or more classes share.  First every
+    member of a band is compared with the band's leader; the leaders of a
+    large group agree over a quarter of its bands each, so a member meets
+    about ``leaders`` of them.  In bands that still hold several components,
+    ``probes`` members of the largest one are compared with those outside it.
+    At last every pair across components is compared, but for pairs that
+    the leader excludes: Jaccard distance is a metric, so two members whose
+    distances to the leader differ by more than the limit do not link."""
+    order = [F.struct(F.xxhash64(F.lit(k), "fp").alias("h"), "fp", "n") for k in range(rules.leaders)]
+    turn = F.pmod("key", F.lit(rules.leaders))
+    first = bands.groupBy("key").agg(*(F.min(o).alias(f"m{k}") for k, o in enumerate(order)))
+    chosen = F.coalesce(*(F.when(turn == k, F.col(f"m{k}")) for k in range(rules.leaders)))
+    first = first.select("key", chosen.alias("l"))
+    star = shared_table(bands.join(first, "key").select("key", "fp", "n", F.col("l.fp").alias("lead"), F.col("l.n").alias("ln")),
+                        "band-leaders")
+    pairs = star.filter((F.col("fp") != F.col("lead")) & _may_link(F.col("n"), F.col("ln"), rules)) \
+        .select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
+    tested = shared_table(confirm(shared_table(pairs, "star-pairs"), sets, rules), "confirmed")
+    # distance to the leader: exact where compared, else the least that the sizes allow
+    known = tested.select(F.col("a").alias("k_a"), F.col("b").alias("k_b"), "gap")
+    least = 1 - F.least("n", "ln") / F.greatest("n", "ln")
+    members = shared_table(
+        star.join(known, (F.col("lead") == F.col("k_a")) & (F.col("fp") == F.col("k_b")), "left").select(
+            "key", "fp", "n", F.when(F.col("fp") == F.col("lead"), 0.0).otherwise(F.coalesce("gap", least)).alias("lo"),
+            F.when(F.col("fp") == F.col("lead"), 0.0).otherwise(F.coalesce("gap", F.lit(1.0))).alias("hi")), "members")
+    for probes in (rules.probes, None):
         labels = connected_components(tested.filter("linked").select("a", "b"))
-        live, direct, big, firsts, least = _open_pairs(members, labels, rules)
-        if live.isEmpty():
+        pairs = shared_table(_cross_pairs(members, labels, tested, probes, rules), "pairs")
+        if pairs.isEmpty() and probes is None:
             return labels
-        lead = shared_table(firsts.select("key", F.explode("ls").alias("l")).select(
-            "key", F.col("l.first.fp").alias("a"), F.col("l.first.n").alias("na"), F.col("l.comp").alias("ca")), "leaders")
-        led = (big.join(lead, "key").filter((F.col("comp") != F.col("ca")) & least(F.col("n"), F.col("na")))
-               .select("a", F.col("fp").alias("b")))
-        pairs = direct.select("a", "b").unionByName(led).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = shared_table(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
         tested = shared_table(tested.unionByName(confirm(pairs, sets, rules)), "confirmed")
-        members = shared_table(big.select("key", "fp", "n").join(
-            lead.select("key", F.col("a").alias("fp")), ["key", "fp"], "left_anti"), "members")
+    return connected_components(tested.filter("linked").select("a", "b"))
+
+
+def _cross_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, probes: int | None,
+                 rules: NearDupRules) -> DataFrame:
+    """Pairs of a band in different components that were not compared: with
+    ``probes``, only pairs of some members of the band's largest component."""
+    on = (members.join(labels, members.fp == labels.node, "left")
+          .select("key", "fp", "n", "lo", "hi", F.coalesce("comp", "fp").alias("comp")))
+    parts = on.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    largest = (parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "comp")).alias("top"))
+               .filter("parts > 1").select("key", F.col("top.comp").alias("top")))
+    live = shared_table(on.join(shared_table(largest, "open-bands"), "key"), "open-members")
+    x = live.filter(F.col("comp") != F.col("top")).select(
+        "key", F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"),
+        F.col("comp").alias("xc"))
+    y = live
+    if probes is not None:
+        best = live.filter(F.col("comp") == F.col("top")).groupBy("key").agg(
+            *(F.min(F.struct(F.xxhash64(F.lit(-1 - k), "fp").alias("h"), "fp")).alias(f"p{k}") for k in range(probes)))
+        picked = best.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.fp") for k in range(probes))))).alias("fp"))
+        y = live.join(picked, ["key", "fp"], "left_semi")
+    y = y.select("key", F.col("fp").alias("y"), F.col("n").alias("yn"), F.col("lo").alias("ylo"),
+                 F.col("hi").alias("yhi"), F.col("comp").alias("yc"), F.col("top").alias("yt"))
+    far = F.lit(1 - rules.percent / 100 + 1e-9)
+    # outsiders among themselves come once, in order
+    pairs = x.join(y, "key").filter(
+        (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("yt")) | (F.col("x") < F.col("y")))
+        & _may_link(F.col("xn"), F.col("yn"), rules)
+        & (F.col("xlo") - F.col("yhi") <= far) & (F.col("ylo") - F.col("xhi") <= far))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(done, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules(), id_col: str = "doc_id",
