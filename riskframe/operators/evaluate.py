@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.quality import stats
+from riskframe.operators.quantiles import ranged
 
 
 def _safe_div(a, b, default=0.0):
@@ -32,33 +33,22 @@ def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
 def prefix_sums(df: DataFrame, order: str, cols: list[str], descending: bool = False,
                 inclusive: bool = True, buckets: int | None = None) -> DataFrame:
     """Running totals of ``cols`` in numeric ``order`` (unique values), as
-    ``cum_<c>``, in two phases and without any un-partitioned window over
-    the input:
-
-    1. cut points = ``percentile_approx`` of the order key (one scalar
-       subquery, ``buckets - 1`` values, default <= 128); bucket = number of
-       cut points below the key, a deterministic, monotone function of the
-       row (equal keys share a bucket);
-    2. totals per bucket -> offsets of the preceding buckets (one row per
-       bucket, broadcast) + a running sum inside each bucket.
-    """
-    n = buckets or min(128, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ``cum_<c>``: the rows are range-partitioned by the order key and written
+    once, totals per range give the offsets of the ranges before (one row per
+    range), and a window runs inside each range only.  ``buckets`` fixes the
+    number of ranges; by default it follows the data."""
     key = -F.col(order) if descending else F.col(order)
-    d = df.withColumn("__k", key.cast("double"))
-    probs = [i / n for i in range(1, n)]
-    cuts = d.agg(F.percentile_approx("__k", probs, 10000).alias("c")).select("c").scalar()
-    # (subqueries are not allowed inside higher-order functions: unrolled)
-    d = d.withColumn("__b", sum((cuts[i] < F.col("__k")).cast("int") for i in range(n - 1)))
-    totals = d.groupBy("__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
-    prev = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # <= n rows
-    offs = totals.select("__b", *[F.coalesce(F.sum(f"__t_{c}").over(prev), F.lit(0))
+    d = ranged(df.withColumn("__k", key.cast("double")), ["__k"], "prefix", buckets)
+    totals = d.groupBy("__p").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
+    prev = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offs = totals.select("__p", *[F.coalesce(F.sum(f"__t_{c}").over(prev), F.lit(0))
                                   .alias(f"__o_{c}") for c in cols])
-    frame = (Window.partitionBy("__b").orderBy("__k")
+    frame = (Window.partitionBy("__p").orderBy("__k")
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    out = d.join(F.broadcast(offs), "__b")
+    out = d.join(offs, "__p")
     for c in cols:
         out = out.withColumn(f"cum_{c}", F.col(f"__o_{c}") + F.coalesce(F.sum(c).over(frame), F.lit(0)))
-    return out.drop("__b", "__k", *[f"__o_{c}" for c in cols])
+    return out.drop("__p", "__k", *[f"__o_{c}" for c in cols])
 
 
 # ---------------------------------------------------------------- L5 parts

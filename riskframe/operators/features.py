@@ -220,6 +220,8 @@ def fit_preprocessor(train: DataFrame, num, cat, passthru, binary,
             med[c].alias(f"fill__{c}"), F.col(f"__mean__{c}").alias(f"mean__{c}"),
             F.when(F.col(f"__sd__{c}") > 0, F.col(f"__sd__{c}")).otherwise(F.lit(1.0))
             .alias(f"scale__{c}"))])
+        # one row, fitted now: scoring must not read the training table again
+        stats = train.sparkSession.createDataFrame([tuple(stats.first())], stats.schema)
     levels, modes = {}, {}
     for c in cat:
         src = train.select(F.coalesce(F.col(c), F.lit(NULL_LEVEL)).alias(c)) \

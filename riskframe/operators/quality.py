@@ -125,16 +125,22 @@ def impute_median(df: DataFrame, cols=None, exclude=(), approx: bool = False,
         agg = (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx \
             else (lambda c: F.percentile(c, 0.5))
         st = stats(df, {c: agg(c) for c in cols})
-    return df.withColumns({c: F.coalesce(F.col(c), st[c].cast(df.schema[c].dataType))
-                           for c in cols}) if cols else df
+    return df.withColumns({c: _filled(df, c, st[c]) for c in cols})
+
+
+def _filled(df: DataFrame, c: str, value):
+    """NULL -> ``value``; an integral column becomes double, as its mean or
+    median need not be integral."""
+    kind = df.schema[c].dataType
+    kind = T.DoubleType() if isinstance(kind, T.IntegralType) else kind
+    return F.coalesce(F.col(c).cast(kind), value.cast(kind))
 
 
 def impute_mean(df: DataFrame, cols=None, exclude=()) -> DataFrame:
     """NULL -> mean."""
     cols = cols if cols is not None else numeric_columns(df, exclude)
     st = stats(df, {c: F.avg(c) for c in cols})
-    return df.withColumns({c: F.coalesce(F.col(c), st[c].cast(df.schema[c].dataType))
-                           for c in cols}) if cols else df
+    return df.withColumns({c: _filled(df, c, st[c]) for c in cols}) if cols else df
 
 
 def mode_row(df: DataFrame, column: str) -> DataFrame:

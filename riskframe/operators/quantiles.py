@@ -1,23 +1,11 @@
-"""Exact quantiles with bounded state (linear interpolation, as pandas,
-DuckDB ``quantile_cont`` and Spark ``percentile``).
-
-Spark's exact ``percentile`` keeps a map of every distinct value of a group
-and merges it in one task: unbounded for a continuous column.  Here exact
-selection narrows in passes whose state is bounded:
-
-1. per key: ``n`` and ``percentile_approx`` cut points (state bounded by the
-   accuracy argument) -> bucket = number of cut points below the value;
-2. counts per (key, bucket) -- partial aggregation keeps it at most
-   keys x buckets rows -- locate the bucket holding each needed rank and
-   the rank inside it;
-3. a needed bucket that still has more than ``max_final`` distinct values is
-   split again with its own cut points (each level divides by ~``buckets``);
-4. for the final buckets the (value, count) pairs -- at most ``max_final``
-   per bucket, however many rows share a value -- give the exact order
-   statistic.
-
-The driver only sees bounded metadata (cut points, bucket counts, one final
-slice of at most ``max_final`` distinct values per needed rank).
+"""Exact ranks at any size: one primitive for quantiles and running totals.
+
+Values are counted per distinct (key, value), range-partitioned by it and
+written once with the number of their partition.  Totals per partition give
+every partition's offset; only the partitions that hold a needed rank are
+ordered, each on its own.  No task sees more than its range, the number of
+ranges follows Spark's shuffle partitions, and only totals per range and the
+picked values reach the driver.
 """
 
 from __future__ import annotations
@@ -28,13 +16,14 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.session import materialize
 
-def _bucket_expr(cuts):
-    # number of cut points strictly below the value (values equal to a cut
-    # stay in the lower bucket); cut lists are small literals
-    if not cuts:
-        return F.lit(0)
-    return sum((F.col("__v") > F.lit(float(c))).cast("int") for c in cuts)
+
+def ranged(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """``df`` range-partitioned by ``order`` and written once, with its range
+    number ``__p`` (equal rows share a range; ranges ascend)."""
+    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return materialize(dealt.withColumn("__p", F.spark_partition_id()), name)
 
 
 def _ranks(n: int, probs):
@@ -45,126 +34,61 @@ def _ranks(n: int, probs):
     return out
 
 
-def _range_cond(k, lo, hi):
-    c = F.col("__k") == F.lit(k)
-    if lo is not None:
-        c = c & (F.col("__v") > F.lit(lo))
-    if hi is not None:
-        c = c & (F.col("__v") <= F.lit(hi))
-    return c
-
-
-def _finish(src: DataFrame, rank_map: dict, keys: list) -> dict:
-    """Order statistics of keys whose distinct values are few: running
-    counts over the (value, count) pairs of each key (a window per key over
-    at most ``max_final`` rows), joined to the tiny table of needed ranks;
-    only the selected values reach the driver."""
-    spark = src.sparkSession
-    pairs = src.where(F.col("__k").isin(keys)).groupBy("__k", "__v").count()
-    w = Window.partitionBy("__k").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    pairs = pairs.withColumn("__end", F.sum("count").over(w)) \
-        .withColumn("__start", F.col("__end") - F.col("count"))
-    need = spark.createDataFrame([(k, int(r)) for k in keys for r in rank_map[k]],
-                                 "__k string, __r long")
-    hit = pairs.join(F.broadcast(need), (pairs["__k"] == need["__k"])
-                     & (F.col("__r") >= F.col("__start")) & (F.col("__r") < F.col("__end")))
-    return {(r[0], r[1]): r[2] for r in hit.select(need["__k"], "__r", "__v").collect()}
-
-
-def _select(src: DataFrame, rank_map: dict, buckets: int, max_final: int, depth: int = 0,
-            distinct: dict | None = None) -> dict:
-    """Exact order statistics: ``rank_map`` = {key: set(0-based ranks)} ->
-    {(key, rank): value}; ``src`` has ``__k`` (key) and ``__v`` (value)."""
-    if not rank_map:
+def order_statistics(long: DataFrame, need) -> dict:
+    """``{(key, rank): value}`` for ``long`` (``__k``, ``__v`` not NULL).
+
+    ``need(counts)`` gets ``{key: rows}`` and returns ``{key: 0-based ranks}``."""
+    pairs = ranged(long.groupBy("__k", "__v").agg(F.count(F.lit(1)).alias("__n")), ["__k", "__v"], "ranks")
+    totals: dict[str, list] = {}
+    for r in pairs.groupBy("__k", "__p").agg(F.sum("__n").alias("n")).collect():
+        totals.setdefault(r["__k"], []).append((r["__p"], r["n"]))
+    wanted, offset = [], {}
+    ranks = need({k: sum(n for _, n in t) for k, t in totals.items()})
+    for k, rs in ranks.items():
+        parts, ends, acc = sorted(totals[k]), [], 0
+        for _, n in parts:
+            acc += n
+            ends.append(acc)
+        for rank in rs:
+            i = bisect_right(ends, rank)
+            before = ends[i - 1] if i else 0
+            wanted.append((k, parts[i][0], rank - before))
+            offset[(k, parts[i][0])] = before
+    if not wanted:
         return {}
-    src = src.where(F.col("__k").isin(list(rank_map)))
-    if distinct is None:
-        distinct = {r["__k"]: r["d"] for r in src.groupBy("__k").agg(
-            F.approx_count_distinct("__v").alias("d")).collect()}
-    finish = [k for k in rank_map if distinct.get(k, 0) <= max_final]
-    result = _finish(src, rank_map, finish) if finish else {}
-    rest = [k for k in rank_map if k not in finish]
-    if not rest:
-        return result
-    if depth > 8:
-        raise RuntimeError("quantile narrowing did not converge")
-    probs = [i / buckets for i in range(1, buckets)]
-    rsrc = src.where(F.col("__k").isin(rest))
-    cuts = {r["__k"]: sorted(set(float(x) for x in r["c"])) for r in rsrc.groupBy("__k").agg(
-        F.percentile_approx("__v", probs, 10 * buckets).alias("c")).collect()}
-    bexpr = None
-    for k in rest:
-        e = _bucket_expr(cuts[k])
-        bexpr = F.when(F.col("__k") == F.lit(k), e) if bexpr is None \
-            else bexpr.when(F.col("__k") == F.lit(k), e)
-    counts = {}
-    for r in rsrc.withColumn("__b", bexpr).groupBy("__k", "__b").count().collect():
-        counts.setdefault(r["__k"], {})[r["__b"]] = r["count"]
-    sub_map, sub_range = {}, {}
-    for k in rest:
-        kc, order = cuts[k], sorted(counts[k])
-        cum, acc = [], 0
-        for b in order:
-            acc += counts[k][b]
-            cum.append(acc)
-        for rk in rank_map[k]:
-            i = bisect_right(cum, rk)
-            b = order[i]
-            before = cum[i - 1] if i > 0 else 0
-            lo = kc[b - 1] if b > 0 else None
-            hi = kc[b] if b < len(kc) else None
-            sub_k = f"{k}\u0000{b}"
-            sub_map.setdefault(sub_k, set()).add(rk - before)
-            sub_range[sub_k] = (k, lo, hi, before)
-    # one projection tags the rows of every needed (key, bucket) range
-    tag = None
-    for sub_k, (k, lo, hi, _) in sub_range.items():
-        c = _range_cond(k, lo, hi)
-        tag = F.when(c, F.lit(sub_k)) if tag is None else tag.when(c, F.lit(sub_k))
-    narrowed = rsrc.select(tag.alias("__k"), "__v").where(F.col("__k").isNotNull())
-    inner = _select(narrowed, sub_map, buckets, max_final, depth + 1)
-    for sub_k, ranks in sub_map.items():
-        k, _, _, before = sub_range[sub_k]
-        for r in ranks:
-            result[(k, r + before)] = inner[(sub_k, r)]
-    return result
-
-
-def exact_quantiles_long(long: DataFrame, key: str, value: str, probs,
-                         buckets: int = 1024, max_final: int = 1_000_000) -> dict:
-    """Exact quantiles of ``value`` per ``key`` (keys: a bounded set, e.g.
-    column names or (measure, class) labels).  Returns
-    {key: [q(p) for p in probs]} with NULL values ignored (None when a key
-    has no values)."""
+    rows = long.sparkSession.createDataFrame(wanted, "k string, p int, r long")
+    some = pairs.where(F.col("__p").isin(sorted({p for _, p, _ in wanted})))
+    w = Window.partitionBy("__k", "__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    some = some.withColumn("__end", F.sum("__n").over(w))
+    hit = some.join(rows, (F.col("__k") == F.col("k")) & (F.col("__p") == F.col("p"))
+                    & (F.col("r") < F.col("__end")) & (F.col("r") >= F.col("__end") - F.col("__n")))
+    return {(r["k"], r["r"] + offset[(r["k"], r["p"])]): r["__v"] for r in hit.select("k", "p", "r", "__v").collect()}
+
+
+def exact_quantiles_long(long: DataFrame, key: str, value: str, probs) -> dict:
+    """Exact quantiles of ``value`` per ``key`` (column names, class labels):
+    ``{key: [q(p) for p in probs]}`` with linear interpolation as pandas,
+    DuckDB ``quantile_cont`` and Spark ``percentile``.  NULLs are ignored; a
+    key without values is missing."""
     src = long.select(F.col(key).cast("string").alias("__k"), F.col(value).cast("double").alias("__v")) \
         .where(F.col("__v").isNotNull())
-    first = src.groupBy("__k").agg(F.count(F.lit(1)).alias("n"),
-                                   F.approx_count_distinct("__v").alias("d")).collect()
-    ns = {r["__k"]: r["n"] for r in first}
-    distinct = {r["__k"]: r["d"] for r in first}
-    rank_map = {}
-    plan = {}
-    for k, n in ns.items():
-        plan[k] = _ranks(n, probs)
-        for _, lo, hi in plan[k]:
-            rank_map.setdefault(k, set()).update({lo, hi})
-    got = _select(src, rank_map, buckets, max_final, distinct=distinct)
-    out = {}
-    for k, items in plan.items():
-        qs = []
-        for pos, lo, hi in items:
-            a, b = got[(k, lo)], got[(k, hi)]
-            # Spark ``percentile`` interpolation (same rounding path)
-            qs.append(a if hi == lo else (hi - pos) * a + (pos - lo) * b)
-        out[k] = qs
-    return out
+    plan: dict[str, list] = {}
+
+    def need(counts):
+        plan.update({k: _ranks(n, probs) for k, n in counts.items()})
+        return {k: sorted({r for _, lo, hi in items for r in (lo, hi)}) for k, items in plan.items()}
+
+    got = order_statistics(src, need)
+    # Spark ``percentile`` interpolation (same rounding path)
+    return {k: [got[(k, lo)] if hi == lo else (hi - pos) * got[(k, lo)] + (pos - lo) * got[(k, hi)]
+                for pos, lo, hi in items] for k, items in plan.items()}
 
 
-def exact_quantiles(df: DataFrame, cols, probs, **kw) -> dict:
+def exact_quantiles(df: DataFrame, cols, probs) -> dict:
     """Exact quantiles per column: {column: [q(p) for p in probs]}."""
     cols = list(cols)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")) \
         .select("s.k", "s.v")
-    got = exact_quantiles_long(long, "k", "v", probs, **kw)
+    got = exact_quantiles_long(long, "k", "v", probs)
     return {c: got.get(c, [None] * len(probs)) for c in cols}

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.scalar import duration_days, versioned_code_predicate
 from riskframe.operators.shape import distinct_keys, eav_pivot_min
+from riskframe.session import materialize
 from riskframe.sources.readers import read_table
 
 LAB_CODES = {"A": "lab_a", "N": "lab_n", "R": "lab_r"}
@@ -70,22 +71,29 @@ def per_user_events(events: DataFrame) -> DataFrame:
                          "user_id", "event_type", "value", SUB_CODES, extra_aggs=[err])
 
 
+def people_side(tables: dict[str, DataFrame], min_acctbal: float = 0.0) -> DataFrame:
+    """One row per customer of the cohort: attributes and event aggregates."""
+    cust = (tables["customer"]
+            .where((F.col("c_acctbal") >= min_acctbal) & ~F.isnan("c_acctbal"))   # P10 cohort
+            .select("c_custkey", F.nullif(F.col("c_mktsegment"), F.lit("HOUSEHOLD")).alias("segment"),
+                    "c_acctbal"))
+    return cust.join(per_user_events(tables["events"]), F.col("c_custkey") == F.col("user_id"), "left").drop("user_id")
+
+
 def build_analytic_dataset(tables: dict[str, DataFrame], min_acctbal: float = 0.0) -> DataFrame:
     """J4 over already-opened tables (``orders customer lineitem part events``)."""
     orders = tables["orders"].select("o_orderkey", "o_custkey", "o_orderdate",
                                      "o_orderpriority", "o_orderstatus")
     lines = per_order_lines(tables["lineitem"])
     labels = label_keys(tables["lineitem"], tables["part"]).withColumn("flag_hit", F.lit(1))
-    cust = (tables["customer"].where(F.col("c_acctbal") >= min_acctbal)   # P10 cohort
-            .select("c_custkey", F.nullif(F.col("c_mktsegment"), F.lit("HOUSEHOLD")).alias("segment"),
-                    "c_acctbal"))
-    users = per_user_events(tables["events"])
+    # both sides have one row per customer: joined first and written once, so that
+    # the join from orders stands alone and a hot customer's rows can be split
+    people = materialize(people_side(tables, min_acctbal), "customers")
 
     wide = (orders
             .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
             .join(labels, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
-            .join(cust, F.col("o_custkey") == F.col("c_custkey"), "inner").drop("c_custkey")
-            .join(users, F.col("o_custkey") == F.col("user_id"), "left").drop("user_id"))
+            .join(people, F.col("o_custkey") == F.col("c_custkey"), "inner").drop("c_custkey"))
     return wide.select(
         "o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus",
         duration_days("o_orderdate", "discharge").alias("los_days"),
@@ -97,7 +105,7 @@ def build_analytic_dataset(tables: dict[str, DataFrame], min_acctbal: float = 0.
 
 def open_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     names = ("orders", "customer", "lineitem", "part", "events")
-    return {n: read_table(spark, base, n) for n in names}
+    return {n: read_table(spark, base, n, nan=n == "customer") for n in names}
 
 
 def analytic_dataset(spark: SparkSession, base: str) -> DataFrame:
@@ -112,5 +120,4 @@ def wide_table(spark: SparkSession, base: str) -> DataFrame:
     this table once and lets every consumer read it).  Profiles, cleaning,
     preparation, evaluation and reports read it instead of re-running the
     six-source join for every scalar subquery."""
-    from riskframe.session import materialize
     return materialize(analytic_dataset(spark, base), "wide")

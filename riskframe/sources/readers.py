@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,14 @@ def nan_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def read_table(spark: SparkSession, base: str, name: str,
-               columns: list[str] | None = None) -> DataFrame:
-    """Parquet scan of ``base/name.parquet``; ``columns`` prunes the read schema."""
+               columns: list[str] | None = None, nan: bool = False) -> DataFrame:
+    """Parquet scan of ``base/name.parquet``; ``columns`` prunes the read schema.
+
+    NaN becomes NULL.  ``nan=True`` leaves it, for callers that filter on a
+    floating column (so that the filter reaches the scan) and test it there."""
     df = spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return df if nan else nan_to_null(df)
 
 
 TS_READ = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
@@ -87,7 +93,7 @@ def optional_source(spark: SparkSession, path: str, fmt: str = "parquet",
             return scan_csv(spark, path, **opts)
         df = spark.read.format(fmt).options(**opts).load(path)
         df.schema
-        return df
+        return nan_to_null(df)
     except (AnalysisException, FileNotFoundError) as exc:
         if isinstance(exc, AnalysisException) and "PATH_NOT_FOUND" not in str(exc) \
                 and "Path does not exist" not in str(exc):
@@ -97,17 +103,41 @@ def optional_source(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def read_json_records(spark: SparkSession, path: str,
                       schema: T.StructType | str | None = None) -> DataFrame:
-    """Records-JSON / metrics-JSON reader (S10); bare NaN tokens -> NULL."""
-    reader = spark.read.option("multiLine", True).option("allowNonNumericNumbers", True)
+    """Records-JSON / metrics-JSON reader (S10); bare NaN tokens -> NULL.
+
+    JSON lines are read line by line; a file that holds one array or one
+    record over several lines is told by its first line."""
+    head = spark.read.text(path).where(F.trim("value") != "").first()
+    reader = spark.read.option("multiLine", head is not None and not _is_record(head["value"])) \
+        .option("allowNonNumericNumbers", True)
     if schema is not None:
         reader = reader.schema(schema)
     return nan_to_null(reader.json(path))
 
 
-def tolerant(spark: SparkSession, enabled: bool = True) -> None:
-    """Skip truncated / corrupt files instead of failing (session-wide).
-    The default engine behaviour is fail-fast."""
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", str(enabled).lower())
+def _is_record(line: str) -> bool:
+    """Whether a line is one whole JSON object."""
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
+
+
+def tolerant(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
+    """A scan that skips truncated / corrupt files.  Only this read is
+    tolerant; ``skipped_files`` tells what it left out.  Without it a scan
+    fails fast."""
+    reader = spark.read.format(fmt).option("ignoreCorruptFiles", "true")
+    if schema is not None:
+        reader = reader.schema(schema)
+    return nan_to_null(reader.load(path))
+
+
+def skipped_files(df: DataFrame) -> DataFrame:
+    """Listed files of a scan that gave no row: skipped or empty ones."""
+    spark = df.sparkSession
+    listed = spark.createDataFrame([(f,) for f in df.inputFiles()], "file string")
+    return listed.join(df.select(F.input_file_name().alias("file")).distinct(), "file", "left_anti")
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:

@@ -31,6 +31,11 @@ class Rule:
     message: str
 
 
+def rule(column: str, op: str, value: float, message: str | None = None) -> Rule:
+    """A rule whose message, unless the caller words it, states its condition."""
+    return Rule(column, op, value, message or f"{column} {op} {value:g}")
+
+
 @dataclass(frozen=True)
 class EngineSpec:
     entity_key: str
@@ -58,7 +63,7 @@ class EngineSpec:
     balance_k: int = 5
     warnings: tuple[Rule, ...] = ()
     recommendations: tuple[Rule, ...] = ()
-    default_recommendation: str = "Continue standard prevention protocols"
+    default_recommendation: str = "no rule applies"
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     @property
@@ -93,14 +98,14 @@ def tpch_binding() -> EngineSpec:
              ThresholdFlag("los_over_14", "los_days", ">", 14.0),
              ThresholdFlag("lab_a_low", "lab_a", "<", 20000.0),
              ThresholdFlag("lab_n_low", "lab_n", "<", 10000.0))
-    warnings = (Rule("lab_a", "<", 2000.0, "lab_a is critically low (< 2000)"),
-                Rule("lab_n", "<", 1500.0, "lab_n is critically low (< 1500)"),
-                Rule("sub_total", "<=", 12.0, "sub_total is at most 12 (high risk)"))
-    recs = (Rule("lab_a", "<", 20000.0, "Review lab_a: low value"),
-            Rule("sub_view", "<=", 2.0, "Increase follow-up: low sub_view"),
-            Rule("sub_click", "<=", 2.0, "Apply moisture protocol: low sub_click"),
-            Rule("los_days", ">", 7.0, "Extended duration raises risk: keep bundle active"),
-            Rule("err_flag", "==", 1.0, "Error history raises risk: verify surface"))
+    warnings = (rule("lab_a", "<", 2000.0),
+                rule("lab_n", "<", 1500.0),
+                rule("sub_total", "<=", 12.0))
+    recs = (rule("lab_a", "<", 20000.0),
+            rule("sub_view", "<=", 2.0),
+            rule("sub_click", "<=", 2.0),
+            rule("los_days", ">", 7.0),
+            rule("err_flag", "==", 1.0))
     return EngineSpec(
         entity_key="o_orderkey",
         subject_key="o_custkey",
@@ -139,14 +144,14 @@ def clinical_spec() -> EngineSpec:
              ThresholdFlag("los_over_14", "los_days", ">", 14.0),
              ThresholdFlag("albumin_low", "albumin", "<", 3.0),
              ThresholdFlag("hemoglobin_low", "hemoglobin", "<", 10.0))
-    warnings = (Rule("albumin", "<", 2.5, "Albumin is critically low (< 2.5 g/dL)"),
-                Rule("hemoglobin", "<", 7.0, "Hemoglobin is critically low (< 7.0 g/dL)"),
-                Rule("braden_total", "<=", 12.0, "Braden total score is at most 12 (high risk per Braden Scale)"))
-    recs = (Rule("albumin", "<", 3.0, "Consider nutrition consultation — low albumin indicates malnutrition risk"),
-            Rule("braden_mobility", "<=", 2.0, "Increase repositioning frequency — patient has limited mobility"),
-            Rule("braden_moisture", "<=", 2.0, "Implement moisture management protocol"),
-            Rule("los_days", ">", 7.0, "Extended stay increases PI risk — ensure prevention bundle is active"),
-            Rule("icu_flag", "==", 1.0, "ICU patients have elevated PI risk — verify pressure redistribution surface"))
+    warnings = (rule("albumin", "<", 2.5),
+                rule("hemoglobin", "<", 7.0),
+                rule("braden_total", "<=", 12.0))
+    recs = (rule("albumin", "<", 3.0),
+            rule("braden_mobility", "<=", 2.0),
+            rule("braden_moisture", "<=", 2.0),
+            rule("los_days", ">", 7.0),
+            rule("icu_flag", "==", 1.0))
     return EngineSpec(
         entity_key="hadm_id",
         subject_key="subject_id",

@@ -117,8 +117,8 @@ def test_rules_and_recommendations(spark):
     assert len(w[0]) == 3 and w[1] == []
     recs = [r.r for r in df.select(R.recommendations(spec.recommendations,
                                                      spec.default_recommendation).alias("r")).collect()]
-    assert recs[0] == ["Review lab_a: low value"]
-    assert recs[1] == ["Error history raises risk: verify surface"]
+    assert recs[0] == ["lab_a < 20000"]
+    assert recs[1] == ["err_flag == 1"]
 
 
 def test_absent_optional_source(spark, tmp_path):
@@ -144,11 +144,45 @@ def test_tolerant_scan_skips_corrupt_file(spark, tmp_path):
     spark.range(10).write.parquet(good)
     with open(f"{good}/part-zzzz-corrupt.parquet", "wb") as fh:
         fh.write(b"not a parquet file")
-    readers.tolerant(spark, True)
-    try:
-        assert spark.read.parquet(good).count() == 10
-    finally:
-        readers.tolerant(spark, False)
+    some = readers.tolerant(spark, good)
+    assert some.count() == 10
+    assert any("corrupt" in r.file for r in readers.skipped_files(some).collect())
+    assert spark.conf.get("spark.sql.files.ignoreCorruptFiles") == "false"
+
+
+def test_json_records_keep_every_line_and_arrays(spark, tmp_path):
+    spark.range(1500).selectExpr("id", "id * 0.5 AS x").coalesce(1).write.json(str(tmp_path / "lines"))
+    assert readers.read_json_records(spark, str(tmp_path / "lines")).count() == 1500
+    (tmp_path / "array.json").write_text('[{"a": 1},\n {"a": NaN}]')
+    assert [r.a for r in readers.read_json_records(spark, str(tmp_path / "array.json")).collect()] == [1.0, None]
+    (tmp_path / "one.json").write_text('{\n "a": 1\n}')
+    assert readers.read_json_records(spark, str(tmp_path / "one.json")).count() == 1
+
+
+def test_sources_turn_nan_into_null(spark, tmp_path):
+    spark.createDataFrame([(float("nan"),), (1.0,)], "x double").write.parquet(str(tmp_path / "t.parquet"))
+    assert readers.read_table(spark, str(tmp_path), "t").agg(F.max("x")).first()[0] == 1.0
+    assert readers.optional_source(spark, str(tmp_path / "t.parquet")).agg(F.max("x")).first()[0] == 1.0
+
+
+def test_integer_columns_are_imputed_as_double(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,), (4,)], "x int")
+    assert sorted(r.x for r in Q.impute_mean(df, ["x"]).collect())[2] == pytest.approx(7 / 3)
+    two = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    assert sorted(r.x for r in Q.impute_median(two, ["x"]).collect()) == [1.0, 1.5, 2.0]
+
+
+def test_checkpoint_folder_is_required_and_kept():
+    from types import SimpleNamespace as N
+
+    from riskframe.session import ensure_checkpoint_dir
+    made = []
+    ctx = lambda have: N(getCheckpointDir=lambda: have, setCheckpointDir=made.append)
+    conf = lambda v: N(get=lambda k, d=None: v)
+    assert ensure_checkpoint_dir(N(sparkContext=ctx("/shared/a"), conf=conf("/shared/b"))) == "/shared/a" and not made
+    assert ensure_checkpoint_dir(N(sparkContext=ctx(None), conf=conf("/shared/b"))) == "/shared/b" and made == ["/shared/b"]
+    with pytest.raises(RuntimeError, match="shared checkpoint folder"):
+        ensure_checkpoint_dir(N(sparkContext=ctx(None), conf=conf(None)))
 
 
 def test_column_sets_and_keep_if_present(spark):
