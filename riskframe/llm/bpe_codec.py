@@ -26,7 +26,7 @@ from riskframe.llm.token_counts import by_bytes, can_split, segments
 
 #: The published byte-level pattern of this tokenizer family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_ENTRIES, GROUP_CHARS = 400_000, 1 << 20
+CACHE_ENTRIES, GROUP_CHARS, MARKS = 400_000, 1 << 20, frozenset(".,;:!?")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -172,7 +172,8 @@ class CachedCodec:
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def _ids(self, stretch: str) -> tuple[int, ...]:
-        parts = [stretch] if self.cut is None else self.cut(stretch)
+        marked = any(name in stretch for name in self.codec.special)
+        parts = self.cut(stretch) if marked else [stretch]
         ids: list[int] = []
         for k, part in enumerate(parts):
             if k % 2:
@@ -182,6 +183,19 @@ class CachedCodec:
                     ids += self.codec.encode_piece(piece.encode("utf-8", "surrogatepass"))
         return tuple(ids)
 
+    def _after_space(self, seg: str) -> tuple[int, ...]:
+        """Ids of ``' ' + seg``.  A run of letters is one piece of the pattern,
+        and so is one mark after it; the pattern decides all other cases."""
+        if seg.isalpha():
+            return tuple(self.codec.encode_piece((" " + seg).encode()))
+        core, mark = seg[:-1], seg[-1:]
+        if mark in MARKS and core.isalpha():
+            got = self.cache.get(core)
+            if got is None:
+                got = self.cache[core] = self._after_space(core)
+            return got + (self.codec.vocab[mark.encode()],)
+        return self._ids(" " + seg)
+
     def encode(self, text: str) -> list[int]:
         """Ids of ``text``.  The cache is keyed by stretch without its leading
         space; the first stretch of a text, which has none, is not cached."""
@@ -193,7 +207,7 @@ class CachedCodec:
         for seg in rest:
             got = cache.get(seg)
             if got is None:
-                got = self._ids(" " + seg)
+                got = self._after_space(seg)
                 if len(seg) <= 64:
                     cache[seg] = got
             ids += got
