@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.token_counts import by_bytes, can_split, segments
+from riskframe.llm.token_counts import by_bytes, can_split, segments, worker_state
 
 #: The published byte-level pattern of this tokenizer family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -67,6 +67,7 @@ class Codec:
                 self.order[ab], self.parts[ab] = rank, (a, b)
         self.trie = self._reversed_automaton()
         self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.alone: dict[int, bool] = {}
 
     def _reversed_automaton(self):
         """States of the reversed vocabulary: byte -> next state, -1 -> token."""
@@ -104,7 +105,7 @@ class Codec:
                 # at equal ranks the left occurrence merges first: the seam may still take the right's own rank
                 limit, b = min(limit, rb + 1), parts[b][0]
         if len(self.pair_ok) > 400_000:
-            self.pair_ok = {}
+            self.pair_ok.clear()
         self.pair_ok[key] = ok
         return ok
 
@@ -112,7 +113,7 @@ class Codec:
         """Ids of one pattern piece."""
         last: list[int] = [-1] * (len(data) + 1)
         start: list[int] = [0] * (len(data) + 1)
-        trie, compatible = self.trie, self.compatible
+        trie, compatible, pair_ok = self.trie, self.compatible, self.pair_ok
         for end in range(1, len(data) + 1):
             state, at, found = trie, end, -1
             while at > 0:
@@ -121,11 +122,15 @@ class Codec:
                     break
                 at -= 1
                 token = state.get(-1)
-                if token is not None and (at == 0 or compatible(last[at], token)):
-                    # the valid last token is unique; only a whole-prefix token needs its own check
-                    if at > 0 or self.whole(token):
-                        found, start[end] = token, at
-                        break
+                if token is None:
+                    continue
+                # the valid last token is unique: the first that fits the prefix before it
+                fits = pair_ok.get((last[at], token)) if at else self.whole(token)
+                if fits is None:
+                    fits = compatible(last[at], token)
+                if fits:
+                    found, start[end] = token, at
+                    break
             last[end] = found
         ids, end = [], len(data)
         while end:
@@ -136,8 +141,11 @@ class Codec:
 
     def whole(self, token: int) -> bool:
         """Whether BPE of the token's own bytes is the token alone."""
-        parts = self.parts.get(token)
-        return parts is None or self._compatible_below(parts[0], parts[1], self.order[token])
+        known = self.alone.get(token)
+        if known is None:
+            parts = self.parts.get(token)
+            known = self.alone[token] = parts is None or self._compatible_below(*parts, self.order[token])
+        return known
 
     def _compatible_below(self, a: int, b: int, rank: int) -> bool:
         """As ``compatible``, leaving aside the merge of ``rank`` itself."""
@@ -228,7 +236,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         schema += ", ids array<int>, decoded string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = CachedCodec(tokenizer_path)
+        codec = worker_state("codec", tokenizer_path, lambda: CachedCodec(tokenizer_path))
         names: dict[int, str] = {i: str(i) for i in codec.codec.bytes_of}
         for frame in batches:
             texts = ["" if t is None else t for t in frame["t"]]

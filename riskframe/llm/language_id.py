@@ -14,6 +14,7 @@ by one character.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.llm.token_counts import worker_state
+
 WORDS = re.compile(r"[^\W\d_]+")
 START = "▁"
 MAX_WORD, MAX_PIECE = 40, 16
@@ -159,6 +162,7 @@ class LanguageModel:
 
     def __init__(self, languages: list[str], pieces: list[str], prob: np.ndarray):
         self.languages, self.pieces, self.prob = languages, pieces, prob
+        self.key = uuid.uuid4().hex
 
     def open(self) -> LanguageModel:
         self.table, self.rows = PieceTable(self.pieces), _rows(self.prob)
@@ -246,7 +250,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.open()
+        m = worker_state("languages", model.key, model.open)
         for frame in batches:
             texts = ["" if t is None else t for t in frame["_text"]]
             pred: list[str] = []

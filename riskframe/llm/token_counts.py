@@ -25,6 +25,17 @@ BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 CACHE_ENTRIES, BATCH_BYTES = 400_000, 1 << 20
 
 
+def worker_state(kind: str, key: str, make):
+    """``make()``, kept for the life of the Python worker: tasks that follow
+    in the same worker find their caches filled.  One object per kind stays."""
+    import sys
+    import types
+    box = sys.modules.setdefault("_worker_state", types.ModuleType("_worker_state")).__dict__
+    if box.get(kind, (None,))[0] != key:
+        box[kind] = (key, make())
+    return box[kind][1]
+
+
 def segments(text: str) -> list[str]:
     """``text`` cut before every safe space (the space is dropped from the
     segments: every segment after the first stands for ``' ' + segment``)."""
@@ -96,7 +107,7 @@ def n_tokens_of(tokenizer_path: str):
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        lengths = _Lengths(tokenizer_path)
+        lengths = worker_state("token lengths", tokenizer_path, lambda: _Lengths(tokenizer_path))
         for s in batches:
             out: list[int] = []
             for group in by_bytes(["" if t is None else t for t in s], 4 * BATCH_BYTES):
