@@ -47,7 +47,7 @@ class NearDupRules:
     rows: int = 6
     seed: int = 0x9E3779B97F4A7C15
     leaders: int = 4
-    probes: int = 6
+    probes: int = 8
     group_bytes: int = 1 << 19
     salt_pairs: int = 2000
 
@@ -234,28 +234,32 @@ def link_classes(bands: DataFrame, sets: DataFrame, rules: NearDupRules) -> Data
         star.join(known, (F.col("lead") == F.col("k_a")) & (F.col("fp") == F.col("k_b")), "left").select(
             "key", "fp", "n", F.when(F.col("fp") == F.col("lead"), 0.0).otherwise(F.coalesce("gap", least)).alias("lo"),
             F.when(F.col("fp") == F.col("lead"), 0.0).otherwise(F.coalesce("gap", F.lit(1.0))).alias("hi")), "members")
+    keys = shared_table(bands.groupBy("fp").agg(F.collect_list("key").alias("keys"))
+                        .select(F.col("fp").alias("k_fp"), "keys"), "member-bands")
     for probes in (rules.probes, None):
         labels = connected_components(tested.filter("linked").select("a", "b"))
-        pairs = shared_table(_cross_pairs(members, labels, tested, probes, rules), "pairs")
+        pairs = shared_table(_cross_pairs(members, labels, tested, keys, probes, rules), "pairs")
         if pairs.isEmpty() and probes is None:
             return labels
         tested = shared_table(tested.unionByName(confirm(pairs, sets, rules)), "confirmed")
     return connected_components(tested.filter("linked").select("a", "b"))
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, probes: int | None,
+def _cross_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, keys: DataFrame, probes: int | None,
                  rules: NearDupRules) -> DataFrame:
     """Pairs of a band in different components that were not compared: with
-    ``probes``, only pairs of some members of the band's largest component."""
+    ``probes``, only pairs of some members of the band's largest component;
+    without, all, each in the first band that its members share."""
     on = (members.join(labels, members.fp == labels.node, "left")
           .select("key", "fp", "n", "lo", "hi", F.coalesce("comp", "fp").alias("comp")))
     parts = on.groupBy("key", "comp").agg(F.count("*").alias("c"))
     largest = (parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("c", "comp")).alias("top"))
                .filter("parts > 1").select("key", F.col("top.comp").alias("top")))
-    live = shared_table(on.join(shared_table(largest, "open-bands"), "key"), "open-members")
+    live = on.join(shared_table(largest, "open-bands"), "key")
+    live = shared_table(live.join(keys, F.col("fp") == F.col("k_fp")).drop("k_fp"), "open-members")
     x = live.filter(F.col("comp") != F.col("top")).select(
         "key", F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"),
-        F.col("comp").alias("xc"))
+        F.col("comp").alias("xc"), F.col("keys").alias("xk"))
     y = live
     if probes is not None:
         best = live.filter(F.col("comp") == F.col("top")).groupBy("key").agg(
@@ -263,13 +267,14 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, probe
         picked = best.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.fp") for k in range(probes))))).alias("fp"))
         y = live.join(picked, ["key", "fp"], "left_semi")
     y = y.select("key", F.col("fp").alias("y"), F.col("n").alias("yn"), F.col("lo").alias("ylo"),
-                 F.col("hi").alias("yhi"), F.col("comp").alias("yc"), F.col("top").alias("yt"))
+                 F.col("hi").alias("yhi"), F.col("comp").alias("yc"), F.col("top").alias("yt"), F.col("keys").alias("yk"))
     far = F.lit(1 - rules.percent / 100 + 1e-9)
     # outsiders among themselves come once, in order
+    once = F.lit(True) if probes else F.array_min(F.array_intersect("xk", "yk")) == F.col("key")
     pairs = x.join(y, "key").filter(
         (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("yt")) | (F.col("x") < F.col("y")))
         & _may_link(F.col("xn"), F.col("yn"), rules)
-        & (F.col("xlo") - F.col("yhi") <= far) & (F.col("ylo") - F.col("xhi") <= far))
+        & (F.col("xlo") - F.col("yhi") <= far) & (F.col("ylo") - F.col("xhi") <= far) & once)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
