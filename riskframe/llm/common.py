@@ -59,18 +59,24 @@ def doc_table(docs: DataFrame, name: str, id_col: str, text_col: str, host_col:
     when ids repeat.  ``ls`` lists the lines that have a word: ``pos`` (place in
     the text), ``words``, ``lh`` (hash of the normalised line: lower case, white
     space runs to one space, ends trimmed, digit runs to 0) and whatever
-    ``line_fields(tokens)`` adds from the white-space tokens of the line.
+    ``line_fields(tokens, plain, digits)`` adds: the line's tokens, them joined
+    by one space, and whether there is a digit.
     ``s0..s2`` hold the two smallest line hashes under three hash orders."""
     host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def line(raw: Column, i: Column) -> Column:
-        def fields(tokens):
-            plain = F.array_join(tokens, " ")
-            norm = F.lower(F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[0-9]+", "0")).otherwise(plain))
+        def fields(x):
+            tokens, plain, digits = x["tokens"], x["plain"], x["digits"]
+            norm = F.lower(F.when(digits, F.regexp_replace(plain, "[0-9]+", "0")).otherwise(plain))
             return F.struct(i.alias("pos"), F.size(tokens).alias("words"), hash60(norm).alias("lh"),
-                            *(line_fields(tokens, plain) if line_fields else ()))
-        return let(words_of(raw), lambda tokens: fields(tokens))
+                            *(line_fields(tokens, plain, digits) if line_fields else ()))
+
+        # bound one after the other, so that each is computed once
+        return let(words_of(raw), lambda w: let(
+            F.struct(w.alias("tokens"), F.array_join(w, " ").alias("plain")), lambda x: let(
+                F.struct(x["tokens"].alias("tokens"), x["plain"].alias("plain"),
+                         x["plain"].rlike("[0-9]").alias("digits")), lambda y: fields(y))))
 
     lines = F.filter(F.transform(F.split(text, "\n"), line), lambda r: r["words"] > 0)
     base = docs.select(F.col(id_col).alias("doc"), host.alias("host"), hash60(text).alias("th"),

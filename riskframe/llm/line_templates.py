@@ -51,9 +51,9 @@ def template_lines(docs: DataFrame, rules: TemplateRules, id_col: str, text_col:
     token count stays as ``n``."""
     d = rules.depth
 
-    def fields(tokens, plain):
+    def fields(tokens, plain, digits):
         n = F.size(tokens)
-        masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+        masked = F.when(digits, F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
         def keys(line):
             toks, half = line["toks"], ((n - d) / 2).cast("int")
@@ -63,7 +63,7 @@ def template_lines(docs: DataFrame, rules: TemplateRules, id_col: str, text_col:
                 whole, part(1, F.array_join(F.slice(toks, F.lit(d + 1), half), " ")),
                 part(2, F.array_join(F.slice(toks, d + 1 + half, n - d - half), " ")))).otherwise(F.array(whole))
 
-        line = F.struct(masked.alias("masked"), F.split(masked, " ").alias("toks"))
+        line = F.struct(masked.alias("masked"), F.when(digits, F.split(masked, " ")).otherwise(tokens).alias("toks"))
         return (masked.alias("masked"),
                 F.when(n >= rules.min_tokens, let(line, lambda x: keys(x))).alias("keys"))
 
