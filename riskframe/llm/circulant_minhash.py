@@ -206,8 +206,9 @@ def _may_link(x, y, rules: NearDupRules):
     return 100 * F.least(x, y) >= rules.percent * F.greatest(x, y)
 
 
-def link_classes(bands: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
-    """``node, comp`` over set fingerprints, from ``bands`` (key, fp, n).
+def link_classes(bands: DataFrame, keys: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
+    """``node, comp`` over set fingerprints, from ``bands`` (key, fp, n) and
+    ``keys`` (fp, keys: all its bands).
 
     ``bands`` holds only keys that two or more classes share.  First every
     member of a band is compared with the band's leader; the leaders of a
@@ -234,15 +235,19 @@ def link_classes(bands: DataFrame, sets: DataFrame, rules: NearDupRules) -> Data
         star.join(known, (F.col("lead") == F.col("k_a")) & (F.col("fp") == F.col("k_b")), "left").select(
             "key", "fp", "n", F.when(F.col("fp") == F.col("lead"), 0.0).otherwise(F.coalesce("gap", least)).alias("lo"),
             F.when(F.col("fp") == F.col("lead"), 0.0).otherwise(F.coalesce("gap", F.lit(1.0))).alias("hi")), "members")
-    keys = shared_table(bands.groupBy("fp").agg(F.collect_list("key").alias("keys"))
-                        .select(F.col("fp").alias("k_fp"), "keys"), "member-bands")
+    keys = keys.select(F.col("fp").alias("k_fp"), "keys")
+    labels = connected_components(tested.filter("linked").select("a", "b"))
     for probes in (rules.probes, None):
-        labels = connected_components(tested.filter("linked").select("a", "b"))
         pairs = shared_table(_cross_pairs(members, labels, tested, keys, probes, rules), "pairs")
-        if pairs.isEmpty() and probes is None:
-            return labels
-        tested = shared_table(tested.unionByName(confirm(pairs, sets, rules)), "confirmed")
-    return connected_components(tested.filter("linked").select("a", "b"))
+        if pairs.isEmpty():
+            continue
+        more = shared_table(confirm(pairs, sets, rules), "confirmed")
+        tested = tested.unionByName(more)
+        links = more.filter("linked").select("a", "b")
+        if not links.isEmpty():
+            # a component found before is a star of its labels
+            labels = connected_components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(links))
+    return labels
 
 
 def _cross_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, keys: DataFrame, probes: int | None,
@@ -293,15 +298,14 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules(), id_co
     classes = (sketch.filter(F.col("fp").isNotNull()).groupBy("fp")
                .agg(F.min("eid").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands")))
     keyed = shared_table(classes.select("fp", "rep", "n", "bands"), "classes")
-    rows = keyed.select("fp", "n", F.explode("bands").alias("key"))
+    rows = keyed.select("fp", "rep", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     bands = shared_table(rows.join(shared_table(shared, "shared-bands"), "key", "left_semi"), "bands")
-    asked = shared_table(bands.select("fp").distinct(), "candidates")
-    reps = shared_table(keyed.join(asked, "fp", "left_semi").select(F.col("rep").alias("eid")).distinct(), "reps")
+    asked = shared_table(bands.groupBy("fp").agg(F.min("rep").alias("eid"), F.collect_list("key").alias("keys")), "candidates")
     run, schema = _fingerprints(rules, want_bands=False, want_set=True)
-    sets = (base.join(reps, "eid", "left_semi").mapInPandas(run, schema).join(asked, "fp", "left_semi")
+    sets = (base.join(asked, "eid", "left_semi").mapInPandas(run, schema).join(asked, "fp", "left_semi")
             .groupBy("fp").agg(F.first("n").alias("n"), F.first("items").alias("items")))
-    labels = link_classes(bands, shared_table(sets, "sets"), rules)
+    labels = link_classes(bands.drop("rep"), asked, shared_table(sets, "sets"), rules)
     linked = (keyed.select("fp", "rep").join(labels, F.col("fp") == F.col("node"), "left")
               .select("fp", F.coalesce("comp", "fp").alias("comp"), "rep"))
     smallest = linked.groupBy("comp").agg(F.min("rep").alias("component"))

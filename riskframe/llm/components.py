@@ -35,11 +35,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     e = shared_table(e, "edges")
     while True:
-        e = shared_table(_small_star(_large_star(e).distinct()).distinct(), "stars")
+        # a large-star step returns each edge once, so it adds no rows
+        e = shared_table(_small_star(_large_star(e)).distinct(), "stars")
         # done when every node hangs on one node that hangs on no other
-        hubs = e.select(F.col("v").alias("u")).distinct()
-        chained = e.join(hubs, "u", "left_semi").isEmpty()
-        if chained and e.groupBy("u").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("hub")),
+                                          F.struct(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("hub")))).alias("x"))
+        open_ = ends.groupBy("x.node").agg(F.sum("x.hangs").alias("hangs"), F.max("x.hub").alias("hub"))
+        if open_.filter("hangs > 1 or (hangs = 1 and hub = 1)").isEmpty():
             break
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
