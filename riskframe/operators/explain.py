@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -207,11 +207,12 @@ def base_value(trees, weights) -> float:
     return float(sum(w * t.expected() for t, w in zip(trees, weights)))
 
 
-def attribution(df: DataFrame, key: str, feature_cols, trees, weights,
-                sentinel: float | None = -1.0e6) -> DataFrame:
-    """Long ``(key, feature, contribution)`` for every row of ``df``.
-    ``df`` holds the model's input columns (the same NULL -> sentinel fill
-    as at training is applied here)."""
+def attribution_rows(df: DataFrame, key: str, feature_cols, trees, weights,
+                     sentinel: float | None = -1.0e6) -> DataFrame:
+    """``(key, contributions)`` for every row of ``df``; the array holds
+    one ``(feature, contribution)`` per feature, so what is ranked or summed
+    per row needs no shuffle.  ``df`` holds the model's input columns (the
+    same NULL -> sentinel fill as at training is applied here)."""
     names = list(feature_cols)
     src = df.select(F.col(key).alias("__key"),
                     F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(sentinel))
@@ -220,29 +221,46 @@ def attribution(df: DataFrame, key: str, feature_cols, trees, weights,
     key_type = df.schema[key].dataType.simpleString()
 
     def explain(batches):
-        k = len(names)
         for pdf in batches:
             if pdf.empty:
                 continue
             X = np.stack(pdf["__x"].to_numpy()).astype(float)
-            phi = np.zeros((X.shape[0], k))
+            phi = np.zeros((X.shape[0], len(names)))
             for t, w in zip(trees, weights):
                 tree_shap_batch(t, X, phi, w)
-            yield pd.DataFrame({key: np.repeat(pdf["__key"].to_numpy(), k),
-                                "feature": np.tile(np.array(names, dtype=object), X.shape[0]),
-                                "contribution": phi.reshape(-1)})
+            yield pd.DataFrame({key: pdf["__key"], "phi": list(phi)})
+
+    labels = F.array(*[F.lit(c) for c in names])
+    return src.mapInPandas(explain, f"{key} {key_type}, phi array<double>").select(
+        key, F.zip_with(labels, "phi", lambda f, v: F.struct(f.alias("feature"), v.alias("contribution")))
+        .alias("contributions"))
+
+
+def attribution(df: DataFrame, key: str, feature_cols, trees, weights,
+                sentinel: float | None = -1.0e6) -> DataFrame:
+    """L12 in long form: ``(key, feature, contribution)``."""
+    return long_form(attribution_rows(df, key, feature_cols, trees, weights, sentinel), key)
+
 
-    return src.mapInPandas(explain, f"{key} {key_type}, feature string, contribution double")
+def long_form(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, F.inline("contributions"))
 
 
 # ---------------------------------------------------------------- L13-L15
-def top_factors(contrib: DataFrame, key: str, k: int = 5) -> DataFrame:
+def _by_size(contributions: str):
+    """The contributions by descending size, ties by feature name."""
+    return F.sort_array(F.transform(contributions, lambda x: F.struct(
+        (-F.abs(x["contribution"])).alias("size"), x["feature"].alias("feature"),
+        x["contribution"].alias("contribution"))))
+
+
+def top_factors(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
     """The ``k`` largest |contribution| per row (ties: feature name),
-    with direction.  Window per row key: many small partitions."""
-    w = Window.partitionBy(key).orderBy(F.abs("contribution").desc(), F.col("feature"))
-    return (contrib.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .withColumn("direction", F.when(F.col("contribution") > 0, F.lit("increases risk"))
-                        .otherwise(F.lit("decreases risk"))))
+    with direction, from ``(key, contributions)``; no shuffle."""
+    top = rows.select(key, F.posexplode(F.slice(_by_size("contributions"), 1, k)).alias("at", "x"))
+    return top.select(key, "x.feature", "x.contribution", (F.col("at") + 1).alias("rank"),
+                      F.when(F.col("x.contribution") > 0, F.lit("increases risk"))
+                      .otherwise(F.lit("decreases risk")).alias("direction"))
 
 
 def global_attribution(contrib: DataFrame, k: int | None = 5) -> DataFrame:
@@ -252,11 +270,18 @@ def global_attribution(contrib: DataFrame, k: int | None = 5) -> DataFrame:
     return g.limit(k) if k else g
 
 
-def waterfall(contrib: DataFrame, key: str, base) -> DataFrame:
+def waterfall(rows: DataFrame, key: str, base) -> DataFrame:
     """Per row, contributions ordered by |value| (desc) with the running
-    total from the base value to the margin."""
+    total from the base value to the margin, from ``(key, contributions)``;
+    no shuffle."""
     b = base if not isinstance(base, (int, float)) else F.lit(float(base))
-    w = Window.partitionBy(key).orderBy(F.abs("contribution").desc(), F.col("feature"))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return (contrib.withColumn("step", F.row_number().over(w))
-            .withColumn("cumulative", b + F.sum("contribution").over(run)))
+    steps = F.aggregate(
+        _by_size("contributions"),
+        F.struct(F.lit(0.0).alias("total"), F.array().cast(
+            "array<struct<feature:string,contribution:double,total:double>>").alias("steps")),
+        lambda a, x: F.struct((a["total"] + x["contribution"]).alias("total"), F.array_append(a["steps"], F.struct(
+            x["feature"].alias("feature"), x["contribution"].alias("contribution"),
+            (a["total"] + x["contribution"]).alias("total"))).alias("steps")),
+        lambda a: a["steps"])
+    return rows.select(key, F.posexplode(steps).alias("at", "x")).select(
+        key, "x.feature", "x.contribution", (F.col("at") + 1).alias("step"), (b + F.col("x.total")).alias("cumulative"))

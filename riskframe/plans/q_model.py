@@ -42,10 +42,15 @@ def _all_rows(spark, base):
     return p.table
 
 
-def model_attribution(spark, base):
+def model_contributions(spark, base):
+    """One row per entity with the array of its contributions."""
     p, _ = trained(spark, base)
     trees, weights = forest(spark, base)
-    return X.attribution(_all_rows(spark, base), SPEC.entity_key, p.feature_names, trees, weights)
+    return X.attribution_rows(_all_rows(spark, base), SPEC.entity_key, p.feature_names, trees, weights)
+
+
+def model_attribution(spark, base):
+    return X.long_form(model_contributions(spark, base), SPEC.entity_key)
 
 
 # ------------------------------------------------------------------ L1 L2 L3
@@ -130,7 +135,7 @@ def q_attribution_check(spark, base):
 
 @query("top_factors_model")
 def q_top_factors_model(spark, base):
-    return X.top_factors(model_attribution(spark, base), SPEC.entity_key, 5)
+    return X.top_factors(model_contributions(spark, base), SPEC.entity_key, 5)
 
 
 @query("global_attribution_model")
@@ -141,7 +146,7 @@ def q_global_attribution_model(spark, base):
 @query("waterfall_model")
 def q_waterfall_model(spark, base):
     trees, weights = forest(spark, base)
-    return X.waterfall(model_attribution(spark, base), SPEC.entity_key,
+    return X.waterfall(model_contributions(spark, base), SPEC.entity_key,
                        X.base_value(trees, weights))
 
 
@@ -154,16 +159,17 @@ BASE = -2.6
 
 
 def fixed_contributions(spark, base):
-    """(x - train mean) * coefficient per numeric column, NULL x -> 0, long."""
+    """(x - train mean) * coefficient per numeric column, NULL x -> 0: one
+    row per entity with the array of its contributions."""
     w = wide_table(spark, base)
     split = M.stratified_split(w, SPEC.label, SPEC.entity_key, SPEC.test_share, SPEC.seed)
     from riskframe.operators.quality import stats
     means = stats(split.where(F.col("split") == "train"), {c: F.avg(c) for c in COEF})
     # the fixture is defined at 9 decimals, so exact ties stay ties in any engine
-    wide = split.select(SPEC.entity_key, *[
-        round_half_up(F.coalesce((F.col(c) - means[c]) * F.lit(k), F.lit(0.0)), 9).alias(c)
-        for c, k in COEF.items()])
-    return wide.unpivot([SPEC.entity_key], list(COEF), "feature", "contribution")
+    return split.select(SPEC.entity_key, F.array(*[
+        F.struct(F.lit(c).alias("feature"),
+                 round_half_up(F.coalesce((F.col(c) - means[c]) * F.lit(k), F.lit(0.0)), 9).alias("contribution"))
+        for c, k in COEF.items()]).alias("contributions"))
 
 
 def _contrib_ctes():
@@ -190,7 +196,7 @@ def q_top_factors(spark, base):
 SELECT feature, {r('avg(abs(contribution))')} AS mean_abs FROM ct GROUP BY feature
 ORDER BY avg(abs(contribution)) DESC, feature LIMIT 5""", *_contrib_ctes()))
 def q_global_attribution(spark, base):
-    return rounded(X.global_attribution(fixed_contributions(spark, base), 5))
+    return rounded(X.global_attribution(X.long_form(fixed_contributions(spark, base), SPEC.entity_key), 5))
 
 
 @query("waterfall", with_wide(f"""

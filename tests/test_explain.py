@@ -40,3 +40,18 @@ def test_gbt_attribution_is_additive(spark):
     s = L.score(df, model, feats, keep=["k"]).join(tot, "k")
     err = s.select(F.max(F.abs(F.col("margin") - F.col("t") - F.lit(base))).alias("e")).first().e
     assert err < 1e-9
+
+
+def test_ranked_contributions_need_no_shuffle(spark):
+    rows = spark.createDataFrame(
+        [(1, [("a", 0.5), ("b", -2.0), ("c", 0.5)]), (2, [("a", 0.0), ("b", 0.0), ("c", 1.0)])],
+        "k long, contributions array<struct<feature:string,contribution:double>>")
+    top, walk = X.top_factors(rows, "k", 2), X.waterfall(rows, "k", 1.0)
+    for df in (top, walk):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.k, r.feature, r["rank"], r.direction) for r in top.orderBy("k", "rank").collect()] == [
+        (1, "b", 1, "decreases risk"), (1, "a", 2, "increases risk"),
+        (2, "c", 1, "increases risk"), (2, "a", 2, "decreases risk")]
+    assert [(r.feature, r.cumulative) for r in walk.where("k = 1").orderBy("step").collect()] == [
+        ("b", -1.0), ("a", -0.5), ("c", 0.0)]
+    assert X.long_form(rows, "k").count() == 6
