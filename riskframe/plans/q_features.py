@@ -11,6 +11,7 @@ from riskframe.operators import features as M
 from riskframe.plans.analytic import wide_table
 from riskframe.plans.oracle_base import RANGES, r, with_wide
 from riskframe.plans.registry import query, rounded
+from riskframe.session import scratch_path
 from riskframe.spec import tpch_binding
 
 SPEC = tpch_binding()
@@ -56,7 +57,7 @@ def _engineered_ctes() -> list[str]:
     return [v, top, e, e2, s, med, st]
 
 
-def _prepared_select() -> str:
+def _prepared_select(with_split=True) -> str:
     num = [f"{r(f'(coalesce({c}, m_{c}) - mu_{c}) / sd_{c}')} AS {c}" for c in IMPUTABLE]
     cat = [f"CASE WHEN coalesce({c}, 'None') = '{v}' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS \"{c}_{v}\""
            for c, lv in LEVELS.items() for v in lv]
@@ -64,6 +65,8 @@ def _prepared_select() -> str:
     binr = [f"CAST({c} AS DOUBLE) AS {c}" for c in BINARY]
     w = ("CASE WHEN flag = 1 THEN (SELECT CAST(count(*) FILTER (WHERE flag = 0) AS DOUBLE) / "
          "count(*) FILTER (WHERE flag = 1) FROM s WHERE split = 'train') ELSE 1.0 END")
+    if not with_split:
+        return "SELECT o_orderkey, flag, " + ", ".join(num + cat + pas + binr) + " FROM s, med, st"
     return ("SELECT o_orderkey, flag, split, " + ", ".join(num + cat + pas + binr)
             + f", {r(w)} AS weight FROM s, med, st")
 
@@ -158,12 +161,16 @@ def q_prepare_data(spark, base):
     return rounded(prepared(spark, base).table)
 
 
-@query("preproc_apply", with_wide(
-    _prepared_select().replace("SELECT o_orderkey, flag, split, ", "SELECT o_orderkey, flag, split, ", 1)
-    + " WHERE split = 'test'", *_engineered_ctes()))
+@query("preproc_apply", with_wide(_prepared_select(with_split=False), *_engineered_ctes()))
 def q_preproc_apply(spark, base):
+    """The fitted preprocessor saved, loaded and applied to every entity."""
     p = prepared(spark, base)
-    return rounded(p.table.where(F.col("split") == "test"))
+    path = scratch_path(spark, "preprocessor")
+    p.preprocessor.save(path)
+    w, _, _, _ = _engineered(spark, base)
+    w = w.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in p.passthru
+                       if f"{c}_missing" not in w.columns})
+    return rounded(M.Preprocessor.load(spark, path).transform(w, keep=[SPEC.entity_key, SPEC.label]))
 
 
 @query("assemble")

@@ -224,13 +224,20 @@ def q_clean_chain(spark, base):
     return rounded(out)
 
 
-@query("clean_log", with_wide("""
-SELECT * FROM (VALUES (0, 'input', (SELECT count(*) FROM wide), 16),
-                      (1, 'dropna', (SELECT count(*) FROM wide WHERE """
-    + " AND ".join(f"{c} IS NOT NULL" for c in NUMERIC + CAT) + """), 16),
-                      (2, 'dedup', (SELECT count(*) FROM (SELECT DISTINCT * FROM wide WHERE """
-    + " AND ".join(f"{c} IS NOT NULL" for c in NUMERIC + CAT) + """)), 16))
-  t(seq, step, "rows", "columns")"""))
+def _log_sql():
+    hot = " + ".join(f"count(DISTINCT {c})" for c in CAT)
+    rows = ["(0, 'input', (SELECT count(*) FROM wide), 16)"]
+    for i, step in enumerate(Q.STEPS, 1):
+        source = "(SELECT DISTINCT * FROM kept)" if step == "dedup" else "kept"
+        columns = f"(SELECT CAST({16 - len(CAT)} + {hot} AS INTEGER) FROM kept)" if step in ("one_hot", "dedup") else "16"
+        rows.append(f"({i}, '{step}', (SELECT count(*) FROM {source}), {columns})")
+    kept = "kept AS (SELECT * FROM wide WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in NUMERIC + CAT) + ")"
+    return with_wide(f'SELECT * FROM (VALUES {", ".join(rows)}) t(seq, step, "rows", "columns")', kept)
+
+
+@query("clean_log", _log_sql())
 def q_clean_log(spark, base):
-    _, log = Q.clean(wide_table(spark, base), ["dropna", "dedup"])
+    """The log of all nine steps."""
+    _, log = Q.clean(wide_table(spark, base), list(Q.STEPS), exclude=["o_custkey", "o_orderkey", "flag"],
+                     clip_ranges_=SPEC.clip_ranges)
     return log

@@ -212,8 +212,6 @@ def q_union_sources(spark, base):
     return rounded(union_sources(parts))
 
 
-@query("dedup_rows", """
-SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem""")
+@query("dedup_rows", "SELECT DISTINCT * FROM lineitem")
 def q_dedup_rows(spark, base):
-    li = read_table(spark, base, "lineitem", ["l_returnflag", "l_linestatus", "l_linenumber"])
-    return Q.dedup_rows(li)
+    return Q.dedup_rows(read_table(spark, base, "lineitem"))
