@@ -9,8 +9,9 @@ shingle sets.
 Documents with equal sets are one class from the start.  In a shared band the
 members are first compared with a leader, and only members of different
 components after that, leaving out pairs that the triangle inequality of the
-Jaccard distance excludes.  So a group of n near copies costs a few n
-comparisons, and no link between components is left untested.
+Jaccard distance excludes, or that differ from a component's centre in too
+many places that they do not share.  So a group of n near copies costs a few n
+set comparisons, and no link between components is left untested.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 class NearDupRules:
     """``words`` per shingle, link from ``percent`` % Jaccard similarity on.
     ``bands`` x ``rows`` coordinates: a pair at 80 % shares no band with
-    probability (1 - 0.8**rows)**bands, 3e-6 by default.  ``leaders`` and
-    ``probes`` steer the order of comparisons (see ``link_classes``), not
-    which links are found."""
+    probability (1 - 0.8**rows)**bands, 3e-6 by default.  ``leaders``,
+    ``probes``, ``centre_from`` and ``centre_of`` steer the order and number of
+    comparisons (see ``link_classes``), not which links are found."""
 
     words: int = 5
     percent: int = 80
@@ -48,6 +49,8 @@ class NearDupRules:
     seed: int = 0x9E3779B97F4A7C15
     leaders: int = 4
     probes: int = 8
+    centre_from: int = 16
+    centre_of: int = 32
     group_bytes: int = 1 << 19
     salt_pairs: int = 2000
 
@@ -201,6 +204,74 @@ def confirm(pairs: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame
                      (1 - F.col("both") / F.col("any")).alias("gap"))
 
 
+_BITS = 512
+
+
+def _centre(group: pd.DataFrame) -> pd.DataFrame:
+    """The items that more than half of the sets of one component hold."""
+    sets = [np.frombuffer(x, np.uint64) for x in group["items"]]
+    items, times = np.unique(np.concatenate(sets), return_counts=True)
+    return pd.DataFrame({"c_top": [group["top"].iloc[0]], "centre": [items[2 * times > len(sets)].tobytes()]})
+
+
+def _marks(at: np.ndarray) -> tuple[np.ndarray, int]:
+    """``_BITS`` bits as longs, and how many entries fell on a bit already set."""
+    spot = np.zeros(_BITS, dtype=bool)
+    spot[at] = True
+    return np.packbits(spot, bitorder="little").view(np.int64), len(at) - int(spot.sum())
+
+
+def _offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How each set differs from a centre: what it lacks (by place) and what it
+    has besides (by hash)."""
+    names = ["o_fp", "o_top", "held", "size", "lost", "lost_over", "more", "more_over"]
+    for frame in batches:
+        rows = []
+        for fp, top, items, centre in zip(frame["fp"], frame["top"], frame["items"], frame["centre"]):
+            own, mid = np.frombuffer(items, np.uint64), np.frombuffer(centre, np.uint64)
+            held = np.isin(mid, own, assume_unique=True)
+            more = own[~np.isin(own, mid, assume_unique=True)]
+            rows.append((fp, top, int(held.sum()), len(mid), *_marks(np.flatnonzero(~held) % _BITS),
+                         *_marks((more % np.uint64(_BITS)).astype(np.int64))))
+        yield pd.DataFrame(rows, columns=names)
+
+
+def _with_offsets(live: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
+    """``live`` with ``off``: the difference from the centre of the band's
+    largest component, NULL where that has few members in every band.  A
+    centre is made of ``centre_of`` members at most."""
+    inside = live.filter(F.col("comp") == F.col("top"))
+    wide = (inside.groupBy("key", "top").agg(F.count("*").alias("c")).filter(F.col("c") >= rules.centre_from)
+            .select("top").distinct())
+    wide = shared_table(wide, "wide-components")
+    some = (inside.join(wide, "top", "left_semi")
+            .groupBy("top", F.pmod(F.xxhash64("fp"), F.lit(rules.centre_of)).alias("i")).agg(F.min("fp").alias("fp")))
+    centres = shared_table(some.join(sets, "fp").select("top", "items").groupBy("top")
+                           .applyInPandas(_centre, "c_top binary, centre binary"), "centres")
+    asked = live.join(wide, "top", "left_semi").select("fp", "top").distinct()
+    made = (asked.join(sets, "fp").join(centres, F.col("top") == F.col("c_top"))
+            .select("fp", "top", "items", "centre")
+            .mapInPandas(_offsets, "o_fp binary, o_top binary, held long, size long, lost array<long>, "
+                                   "lost_over long, more array<long>, more_over long"))
+    made = shared_table(made.select("o_fp", "o_top", F.struct(
+        "held", "size", "lost", "lost_over", "more", "more_over").alias("off")), "offsets")
+    out = live.join(made, (F.col("fp") == F.col("o_fp")) & (F.col("top") == F.col("o_top")), "left")
+    return shared_table(out.drop("o_fp", "o_top"), "open-offsets")
+
+
+def _can_meet(x, y, xn, yn, rules: NearDupRules):
+    """Whether two sets, by their differences from one centre, can reach the
+    similarity.  With m the centre's size, |x & y| is
+    held_x + held_y - m + |lost_x & lost_y| + |more_x & more_y|, and common bits
+    plus the smaller overflow are no less than the last two."""
+    most = x["held"] + y["held"] - x["size"]
+    for part in ("lost", "more"):
+        for i in range(_BITS // 64):
+            most = most + F.bit_count(x[part][i].bitwiseAND(y[part][i]))
+        most = most + F.least(x[part + "_over"], y[part + "_over"])
+    return F.coalesce((100 + rules.percent) * most >= rules.percent * (xn + yn), F.lit(True))
+
+
 def _may_link(x, y, rules: NearDupRules):
     """Whether sets of these sizes can reach the similarity."""
     return 100 * F.least(x, y) >= rules.percent * F.greatest(x, y)
@@ -217,7 +288,8 @@ def link_classes(bands: DataFrame, keys: DataFrame, sets: DataFrame, rules: Near
     ``probes`` members of the largest one are compared with those outside it.
     At last every pair across components is compared, but for pairs that
     the leader excludes: Jaccard distance is a metric, so two members whose
-    distances to the leader differ by more than the limit do not link."""
+    distances to the leader differ by more than the limit do not link; and but
+    for pairs that the component's centre excludes (``_can_meet``)."""
     order = [F.struct(F.xxhash64(F.lit(k), "fp").alias("h"), "fp", "n") for k in range(rules.leaders)]
     turn = F.pmod("key", F.lit(rules.leaders))
     first = bands.groupBy("key").agg(*(F.min(o).alias(f"m{k}") for k, o in enumerate(order)))
@@ -238,7 +310,7 @@ def link_classes(bands: DataFrame, keys: DataFrame, sets: DataFrame, rules: Near
     keys = keys.select(F.col("fp").alias("k_fp"), "keys")
     labels = connected_components(tested.filter("linked").select("a", "b"))
     for probes in (rules.probes, None):
-        pairs = shared_table(_cross_pairs(members, labels, tested, keys, probes, rules), "pairs")
+        pairs = shared_table(_cross_pairs(members, labels, tested, keys, sets, probes, rules), "pairs")
         if pairs.isEmpty():
             continue
         more = shared_table(confirm(pairs, sets, rules), "confirmed")
@@ -250,8 +322,8 @@ def link_classes(bands: DataFrame, keys: DataFrame, sets: DataFrame, rules: Near
     return labels
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, keys: DataFrame, probes: int | None,
-                 rules: NearDupRules) -> DataFrame:
+def _cross_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, keys: DataFrame, sets: DataFrame,
+                 probes: int | None, rules: NearDupRules) -> DataFrame:
     """Pairs of a band in different components that were not compared: with
     ``probes``, only pairs of some members of the band's largest component;
     without, all, each in the first band that its members share."""
@@ -262,8 +334,9 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, keys:
                .filter("parts > 1").select("key", F.col("top.comp").alias("top")))
     live = on.join(shared_table(largest, "open-bands"), "key")
     live = shared_table(live.join(keys, F.col("fp") == F.col("k_fp")).drop("k_fp"), "open-members")
+    live = _with_offsets(live, sets, rules) if probes is None else live.withColumn("off", F.lit(None))
     x = live.filter(F.col("comp") != F.col("top")).select(
-        "key", F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"),
+        "key", F.col("off").alias("xo"), F.col("fp").alias("x"), F.col("n").alias("xn"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"),
         F.col("comp").alias("xc"), F.col("keys").alias("xk"))
     y = live
     if probes is not None:
@@ -271,11 +344,12 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, keys:
             *(F.min(F.struct(F.xxhash64(F.lit(-1 - k), "fp").alias("h"), "fp")).alias(f"p{k}") for k in range(probes)))
         picked = best.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.fp") for k in range(probes))))).alias("fp"))
         y = live.join(picked, ["key", "fp"], "left_semi")
-    y = y.select("key", F.col("fp").alias("y"), F.col("n").alias("yn"), F.col("lo").alias("ylo"),
+    y = y.select("key", F.col("off").alias("yo"), F.col("fp").alias("y"), F.col("n").alias("yn"), F.col("lo").alias("ylo"),
                  F.col("hi").alias("yhi"), F.col("comp").alias("yc"), F.col("top").alias("yt"), F.col("keys").alias("yk"))
     far = F.lit(1 - rules.percent / 100 + 1e-9)
     # outsiders among themselves come once, in order
-    once = F.lit(True) if probes else F.array_min(F.array_intersect("xk", "yk")) == F.col("key")
+    once = F.lit(True) if probes else (_can_meet(F.col("xo"), F.col("yo"), F.col("xn"), F.col("yn"), rules)
+                                       & (F.array_min(F.array_intersect("xk", "yk")) == F.col("key")))
     pairs = x.join(y, "key").filter(
         (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("yt")) | (F.col("x") < F.col("y")))
         & _may_link(F.col("xn"), F.col("yn"), rules)
