@@ -101,8 +101,9 @@ def map_values(c, mapping: dict) -> Column:
 def round_half_up(c, digits: int = 6):
     """``floor(x * 10^d + 0.5) / 10^d``: plain IEEE arithmetic, so two
     engines that hold the same double produce the same rounded double (SQL
-    ``round`` differs between engines on exact ties).  Magnitudes >= 1e12
-    are left as they are."""
+    ``round`` differs between engines on exact ties).  Values too large to have
+    a fraction of ``digits`` places are their own rounding."""
     x = c.cast("double")
     scale = float(10 ** digits)
-    return F.when(F.abs(x) < 1e12, F.floor(x * scale + 0.5) / scale).otherwise(x) + F.lit(0.0)
+    whole = max(1e12, 2.0 ** 52 / scale)     # doubles from here on are spaced wider than 1 / scale
+    return F.when(F.abs(x) < whole, F.floor(x * scale + 0.5) / scale).otherwise(x) + F.lit(0.0)

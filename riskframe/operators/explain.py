@@ -208,17 +208,17 @@ def base_value(trees, weights) -> float:
 
 
 def attribution_rows(df: DataFrame, key: str, feature_cols, trees, weights,
-                     sentinel: float | None = -1.0e6) -> DataFrame:
-    """``(key, contributions)`` for every row of ``df``; the array holds
+                     sentinel: float | None = -1.0e6, keep=()) -> DataFrame:
+    """``(key, *keep, contributions)`` for every row of ``df``; the array holds
     one ``(feature, contribution)`` per feature, so what is ranked or summed
     per row needs no shuffle.  ``df`` holds the model's input columns (the
     same NULL -> sentinel fill as at training is applied here)."""
     names = list(feature_cols)
-    src = df.select(F.col(key).alias("__key"),
+    src = df.select(F.col(key).alias("__key"), *keep,
                     F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(sentinel))
                               if sentinel is not None else F.col(c).cast("double")
                               for c in names]).alias("__x"))
-    key_type = df.schema[key].dataType.simpleString()
+    types = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in (key, *keep))
 
     def explain(batches):
         for pdf in batches:
@@ -228,11 +228,11 @@ def attribution_rows(df: DataFrame, key: str, feature_cols, trees, weights,
             phi = np.zeros((X.shape[0], len(names)))
             for t, w in zip(trees, weights):
                 tree_shap_batch(t, X, phi, w)
-            yield pd.DataFrame({key: pdf["__key"], "phi": list(phi)})
+            yield pd.DataFrame({key: pdf["__key"], **{c: pdf[c] for c in keep}, "phi": list(phi)})
 
     labels = F.array(*[F.lit(c) for c in names])
-    return src.mapInPandas(explain, f"{key} {key_type}, phi array<double>").select(
-        key, F.zip_with(labels, "phi", lambda f, v: F.struct(f.alias("feature"), v.alias("contribution")))
+    return src.mapInPandas(explain, types + "phi array<double>").select(
+        key, *keep, F.zip_with(labels, "phi", lambda f, v: F.struct(f.alias("feature"), v.alias("contribution")))
         .alias("contributions"))
 
 
@@ -254,6 +254,11 @@ def _by_size(contributions: str):
         x["contribution"].alias("contribution"))))
 
 
+def top_factor_names(contributions: str, k: int = 5):
+    """The features of the ``k`` largest |contribution| of a row, in order."""
+    return F.transform(F.slice(_by_size(contributions), 1, k), lambda x: x["feature"])
+
+
 def top_factors(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
     """The ``k`` largest |contribution| per row (ties: feature name),
     with direction, from ``(key, contributions)``; no shuffle."""

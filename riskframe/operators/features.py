@@ -265,12 +265,14 @@ class Prepared:
         return self.preprocessor.feature_names
 
 
-def engineer(df: DataFrame, spec: EngineSpec) -> tuple[DataFrame, list, list, list]:
+def engineer(df: DataFrame, spec: EngineSpec, levels: dict | None = None) -> tuple[DataFrame, list, list, list]:
     """F2 -> F7 -> F4 -> F5/F6: validated, lumped, flagged wide table and
-    the candidate numeric / categorical / binary lists."""
+    the candidate numeric / categorical / binary lists.  ``levels`` (of a
+    fitted preprocessor) fixes the values that lumping keeps."""
     w = Q.validate_ranges(df, spec.valid_ranges)
     if spec.lump_column and spec.lump_column in w.columns:
-        w = Q.consolidate_categories(w, spec.lump_column, spec.lump_top_n)
+        w = Q.consolidate_categories(w, spec.lump_column, spec.lump_top_n) if levels is None \
+            else Q.lump_to(w, spec.lump_column, levels[spec.lump_column])
     labs = Q.present(w, spec.indicator_columns)
     w = Q.missing_flags(w, labs)
     w = Q.add_row_sum(w, spec.score_parts, spec.score_total)

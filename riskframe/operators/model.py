@@ -80,6 +80,7 @@ GRID = {
     "stepSize": [0.05, 0.1, 0.2],
     "minInstancesPerNode": [1, 5, 10],
     "subsamplingRate": [0.7, 0.8, 0.9],
+    "featureSubsetStrategy": ["0.6", "0.8", "1.0"],
 }
 
 

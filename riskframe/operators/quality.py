@@ -94,6 +94,13 @@ def consolidate_categories(df: DataFrame, column: str, n: int = 5,
                         .otherwise(F.lit(other))).drop("__top")
 
 
+def lump_to(df: DataFrame, column: str, levels, other: str = "Other") -> DataFrame:
+    """F7 with the kept values fixed (e.g. those of the training table), so
+    that a new table is lumped without counting anything."""
+    kept = [v for v in levels if v != other]
+    return df.withColumn(column, F.when(F.col(column).isin(kept), F.col(column)).otherwise(F.lit(other)))
+
+
 def out_of_range(df: DataFrame, ranges) -> DataFrame:
     """Per ranged column, count of non-null values outside ``[lo, hi]``;
     only columns with a positive count.  One pass."""

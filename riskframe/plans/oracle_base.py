@@ -59,4 +59,5 @@ def r(expr: str, digits: int = 6) -> str:
     """Round like ``registry.round_half_up`` (and fold -0.0)."""
     x = f"CAST({expr} AS DOUBLE)"
     s = f"1e{digits}"
-    return f"(CASE WHEN abs({x}) < 1e12 THEN floor({x} * {s} + 0.5) / {s} ELSE {x} END + 0.0)"
+    whole = max(1e12, 2.0 ** 52 / 10 ** digits)
+    return f"(CASE WHEN abs({x}) < {whole!r} THEN floor({x} * {s} + 0.5) / {s} ELSE {x} END + 0.0)"

@@ -15,8 +15,9 @@ from riskframe.operators import features as M
 from riskframe.operators import model as L
 from riskframe.plans.analytic import wide_table
 from riskframe.plans.oracle_base import r, with_wide
-from riskframe.plans.q_features import SPEC, prepared
+from riskframe.plans.q_features import BINARY, IMPUTABLE, LEVELS, PASSTHRU, SPEC, prepared
 from riskframe.plans.registry import query, round_half_up, rounded
+from riskframe.plans.scoring import score_table, scorer_of
 from riskframe.session import scratch_path
 
 
@@ -150,6 +151,56 @@ def q_waterfall_model(spark, base):
                        X.base_value(trees, weights))
 
 
+@query("score_table")
+def q_score_table(spark, base):
+    """The whole wide table through the one scoring call."""
+    p, model = trained(spark, base)
+    return score_table(wide_table(spark, base), scorer_of(spark, model, p.preprocessor), SPEC)
+
+
+# ------------------------------------------------------------------ what must hold of every model
+def _checks_sql():
+    n_features = len(IMPUTABLE) + sum(len(v) for v in LEVELS.values()) + len(PASSTHRU) + len(BINARY)
+    rows = {"batch_score": "count(*)", "score_sparse": "count(*)", "model_roundtrip": "count(*)",
+            "attribution_check": "count(*)", "score_table": "count(*)", "top_factors_model": "5 * count(*)",
+            "waterfall_model": f"{n_features} * count(*)", "feature_importance": str(n_features),
+            "global_attribution_model": "5"}
+    return with_wide(" UNION ALL ".join(
+        f"SELECT '{k}' AS operator, CAST({v} AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_wrong FROM wide "
+        + ("" if "count" in v else "HAVING count(*) > 0") for k, v in rows.items()))
+
+
+@query("model_checks", _checks_sql())
+def q_model_checks(spark, base):
+    """Per model operator its rows and how many break what must hold: scores are
+    probabilities, a reloaded model scores alike, contributions add up to the
+    margin, importances to one, factors are ranked from one to five."""
+    p, model = trained(spark, base)
+    unit = F.col("probability").between(0, 1)
+    trees, weights = forest(spark, base)
+    total = F.aggregate("contributions", F.lit(X.base_value(trees, weights)), lambda a, x: a + x["contribution"])
+    holds = {
+        "batch_score": (q_batch_score(spark, base), unit),
+        "score_sparse": (q_score_sparse(spark, base), unit),
+        "model_roundtrip": (q_model_roundtrip(spark, base), F.col("equal")),
+        "attribution_check": (q_attribution_check(spark, base), F.col("abs_error") < 1e-9),
+        "score_table": (q_score_table(spark, base), unit & (F.abs(total - F.col("margin")) < 1e-9)
+                        & (F.size("top_factors") == 5)),
+        "top_factors_model": (q_top_factors_model(spark, base), F.col("rank").between(1, 5)),
+        "waterfall_model": (q_waterfall_model(spark, base), F.col("step").between(1, len(p.feature_names))),
+        "global_attribution_model": (q_global_attribution_model(spark, base), F.col("mean_abs") >= 0),
+    }
+    parts = [df.agg(F.count("*").alias("n_rows"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_wrong"))
+             .select(F.lit(k).alias("operator"), "n_rows", "n_wrong") for k, (df, ok) in holds.items()]
+    parts.append(q_feature_importance(spark, base).agg(
+        F.count("*").alias("n_rows"), (F.abs(F.sum("importance") - 1) >= 1e-9).cast("long").alias("n_wrong"))
+        .select(F.lit("feature_importance").alias("operator"), "n_rows", "n_wrong"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # ------------------------------------------------------------------ fixed contributions
 # Fixed coefficients of the linear contribution table (test fixture values).
 COEF = {"c_acctbal": -0.0001, "los_days": 0.001, "lab_a": 0.00002, "lab_n": 0.00001,
