@@ -319,6 +319,24 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert circulant_minhash.near_duplicates(d.limit(0), rules).count() == 0
 
 
+def test_differences_from_a_centre_bound_the_intersection():
+    rng = np.random.default_rng(4)
+    for size in (60, 700, 3000):
+        centre = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        pair = []
+        for _ in range(2):
+            other = rng.integers(0, 40 * size, size // 2).astype(np.uint64)
+            pair.append(np.unique(np.concatenate([centre[rng.random(len(centre)) < 0.6], other])))
+        rows = [r for f in circulant_minhash._offsets([pd.DataFrame({
+            "fp": [b"x", b"y"], "top": [b"t", b"t"], "items": [x.tobytes() for x in pair],
+            "centre": [centre.tobytes()] * 2})]) for r in f.to_dict("records")]
+        most = rows[0]["held"] + rows[1]["held"] - len(centre)
+        for part in ("lost", "more"):
+            most += sum(bin(int(v) & (1 << 64) - 1).count("1") for v in rows[0][part] & rows[1][part])
+            most += min(rows[0][part + "_over"], rows[1][part + "_over"])
+        assert most >= len(np.intersect1d(*pair))
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(300, 301), (301, 300), (305, 305)]
