@@ -14,8 +14,6 @@ from riskframe.session import materialize
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Orders under which a document's smallest line hashes are its signature.
-SIGNATURE_KEYS = (0, 0x2AAAAAAAAAAAAAA, 0x666666666666666)
 
 
 def let(value: Column, body) -> Column:
@@ -45,23 +43,17 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
-def _in_order(hashes: Column, key: int) -> Column:
-    """The hashes in the order that ``key`` gives them, each XORed with it."""
-    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(key))))
-
-
 def doc_table(docs: DataFrame, name: str, id_col: str, text_col: str, host_col: str | None = None,
               doc_cols: dict[str, Column] | None = None, line_fields=None) -> DataFrame:
     """One pass over the texts, written once: a row per document with ``doc,
-    host, th, ls, s0..s2`` and ``doc_cols``.
+    host, th, ls`` and ``doc_cols``.
 
     ``th`` is a hash of the whole text; ``(doc, th)`` identifies a document even
     when ids repeat.  ``ls`` lists the lines that have a word: ``pos`` (place in
     the text), ``words``, ``lh`` (hash of the normalised line: lower case, white
     space runs to one space, ends trimmed, digit runs to 0) and whatever
     ``line_fields(tokens, plain, digits)`` adds: the line's tokens, them joined
-    by one space, and whether there is a digit.
-    ``s0..s2`` hold the two smallest line hashes under three hash orders."""
+    by one space, and whether there is a digit."""
     host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
     text = F.coalesce(F.col(text_col), F.lit(""))
 
@@ -81,39 +73,10 @@ def doc_table(docs: DataFrame, name: str, id_col: str, text_col: str, host_col:
     lines = F.filter(F.transform(F.split(text, "\n"), line), lambda r: r["words"] > 0)
     base = docs.select(F.col(id_col).alias("doc"), host.alias("host"), hash60(text).alias("th"),
                        *(c.alias(n) for n, c in (doc_cols or {}).items()), lines.alias("ls"))
-    own = F.array_distinct(F.transform("ls", lambda r: r["lh"]))
-    return shared_table(base.withColumns({f"s{k}": F.slice(_in_order(own, key), 1, 2)
-                                          for k, key in enumerate(SIGNATURE_KEYS)}), name)
+    return shared_table(base, name)
 
 
 def doc_lines(table: DataFrame) -> DataFrame:
-    """One row per line of a ``doc_table``: ``doc, host, th, idx, pos, words, lh,
-    ..., g0..g2``.
-
-    ``g*`` holds, for each hash order, the smallest hash among the *other* lines
-    of the document: near copies nearly always agree in it while unrelated
-    documents that share only this line do not, so counting distinct signatures
-    counts documents without counting a group of copies many times."""
-    out = table.select("doc", "host", "th", *(f"s{k}" for k in range(len(SIGNATURE_KEYS))),
-                       F.posexplode("ls").alias("idx", "r"))
-    sigs = [F.when(F.get(F.col(f"s{k}"), F.lit(0)) == F.col("r.lh").bitwiseXOR(F.lit(key)),
-                   F.get(F.col(f"s{k}"), F.lit(1))).otherwise(F.get(F.col(f"s{k}"), F.lit(0))).alias(f"g{k}")
-            for k, key in enumerate(SIGNATURE_KEYS)]
-    return out.select("doc", "host", "th", "idx", "r.*", *sigs)
-
-
-def independent_documents(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per ``keys``: ``texts`` (distinct texts) and ``docs`` (the least number of
-    distinct signatures over the hash orders), for rows with ``th`` and ``g*``.
-
-    Every level is an equi-aggregation with map-side partial sums, so a line
-    that a third of all documents carry is already one row per task before
-    the shuffle."""
-    per_text = rows.groupBy(*keys, "th").agg(*(F.min(f"g{k}").alias(f"g{k}")
-                                               for k in range(len(SIGNATURE_KEYS))))
-    tagged = per_text.select(*keys, F.explode(F.array(*(
-        F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("g")) for k in range(len(SIGNATURE_KEYS))))).alias("s"))
-    per_sig = tagged.groupBy(*keys, "s").agg(F.count("*").alias("n_texts"))
-    per_order = per_sig.groupBy(*keys, F.col("s.k").alias("k")).agg(
-        F.count("*").alias("docs"), F.sum("n_texts").alias("texts"))
-    return per_order.groupBy(*keys).agg(F.min("docs").alias("docs"), F.max("texts").alias("texts"))
+    """One row per line of a ``doc_table``: ``doc, host, th, idx, pos, words, lh, ...``."""
+    return (table.select("doc", "host", "th", F.posexplode("ls").alias("idx", "r"))
+            .select("doc", "host", "th", "idx", "r.*"))

@@ -16,8 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import (SIGNATURE_KEYS, doc_lines, doc_table, independent_documents, let,
-                                  shared_table)
+from riskframe.llm.common import doc_lines, doc_table, let, shared_table
+from riskframe.llm.copies import independent_documents
 from riskframe.llm.quality_rules import drop_lines
 
 FIELD = "<*>"
@@ -44,11 +44,9 @@ class TemplateRules:
     min_spread: float = 0.5
 
 
-def template_lines(docs: DataFrame, rules: TemplateRules, id_col: str, text_col: str) -> DataFrame:
-    """Line rows with ``key``: one row per group that the line belongs to.
-
-    Three-part keys (leaf, part, hash of that part) are 64-bit hashes; the
-    token count stays as ``n``."""
+def line_table(docs: DataFrame, rules: TemplateRules, id_col: str, text_col: str) -> DataFrame:
+    """The ``doc_table`` with ``masked`` and ``keys`` of each line.  Three-part
+    keys (leaf, part, hash of that part) are 64-bit hashes."""
     d = rules.depth
 
     def fields(tokens, plain, digits):
@@ -67,12 +65,17 @@ def template_lines(docs: DataFrame, rules: TemplateRules, id_col: str, text_col:
         return (masked.alias("masked"),
                 F.when(n >= rules.min_tokens, let(line, lambda x: keys(x))).alias("keys"))
 
-    return doc_lines(doc_table(docs, "template-lines", id_col, text_col, line_fields=fields)).select(
-        "doc", "th", "pos", F.col("words").alias("n"), F.split("masked", " ").alias("tokens"),
-        *(f"g{k}" for k in range(len(SIGNATURE_KEYS))), F.explode("keys").alias("key"))
+    return doc_table(docs, "template-lines", id_col, text_col, line_fields=fields)
+
+
+def template_lines(table: DataFrame) -> DataFrame:
+    """Line rows with ``key``: one row per group that the line belongs to; ``n``
+    is the token count."""
+    return doc_lines(table).select("doc", "th", "pos", F.col("words").alias("n"),
+                                   F.split("masked", " ").alias("tokens"), F.explode("keys").alias("key"))
 
 
-def recurring_templates(rows: DataFrame, rules: TemplateRules) -> DataFrame:
+def recurring_templates(table: DataFrame, rows: DataFrame, rules: TemplateRules) -> DataFrame:
     """``key, n, docs, template`` of the templates to drop.
 
     Counts come first, so only groups that may recur have their tokens
@@ -80,7 +83,7 @@ def recurring_templates(rows: DataFrame, rules: TemplateRules) -> DataFrame:
     need = F.when(F.col("n") >= rules.long_tokens, rules.min_docs_long).otherwise(rules.min_docs)
     often = (rows.groupBy("key", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= need).select("key"))
     some = rows.join(shared_table(often, "template-candidates"), "key", "left_semi")
-    counted = (independent_documents(some, ["key", "n"]).filter(F.col("docs") >= need)
+    counted = (independent_documents(table, some, ["key", "n"], need)
                .filter(F.col("docs") >= rules.min_spread * F.col("texts")))
     counted = shared_table(counted, "template-counts")
     places = (some.join(counted.select("key"), "key", "left_semi")
@@ -99,8 +102,9 @@ def recurring_templates(rows: DataFrame, rules: TemplateRules) -> DataFrame:
 def template_drops(docs: DataFrame, rules: TemplateRules = TemplateRules(), id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """``doc, th, pos`` of every line to drop."""
-    rows = template_lines(docs, rules, id_col, text_col)
-    bad = shared_table(recurring_templates(rows, rules).select("key"), "templates")
+    table = line_table(docs, rules, id_col, text_col)
+    rows = template_lines(table)
+    bad = shared_table(recurring_templates(table, rows, rules).select("key"), "templates")
     return rows.select("doc", "th", "pos", "key").join(bad, "key", "left_semi").select("doc", "th", "pos").distinct()
 
 

@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import (WORD, doc_lines, doc_table, hash60, independent_documents,
-                                  let, shared_table, words_of)
+from riskframe.llm.common import WORD, doc_lines, doc_table, hash60, let, shared_table, words_of
+from riskframe.llm.copies import independent_documents
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -77,13 +77,12 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
-def frequent_lines(lines: DataFrame, rules: QualityRules) -> DataFrame:
+def frequent_lines(table: DataFrame, lines: DataFrame, rules: QualityRules) -> DataFrame:
     """``host, lh`` of the lines above the limits of their host."""
-    counted = independent_documents(lines.withColumn("host", F.coalesce("host", F.lit("\0"))), ["host", "lh"])
-    hosts = (lines.select(F.coalesce("host", F.lit("\0")).alias("host"), "th").distinct()
-             .groupBy("host").agg(F.count("*").alias("host_texts")))
-    few = F.col("docs") >= rules.min_docs
-    return (counted.filter(few).join(hosts, "host")
+    lines = lines.withColumn("host", F.coalesce("host", F.lit("\0")))
+    counted = independent_documents(table, lines, ["host", "lh"], rules.min_docs)
+    hosts = lines.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
+    return (counted.join(hosts, "host")
             .filter((F.col("docs") >= rules.min_share * F.col("host_texts"))
                     & (F.col("docs") >= rules.min_spread * F.col("texts")))
             .select("host", "lh"))
@@ -96,7 +95,7 @@ def _table(docs, id_col, text_col, host_col):
 def _flagged(table: DataFrame, rules: QualityRules) -> DataFrame:
     """Line rows with ``gone``: whether the line is removed on its host."""
     lines = doc_lines(table)
-    bad = shared_table(frequent_lines(lines, rules), "frequent-lines").withColumn("gone", F.lit(True))
+    bad = shared_table(frequent_lines(table, lines, rules), "frequent-lines").withColumn("gone", F.lit(True))
     slim = lines.select("doc", "th", F.coalesce("host", F.lit("\0")).alias("host"), "idx", "pos", "words", "lh")
     return slim.join(bad, ["host", "lh"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
 

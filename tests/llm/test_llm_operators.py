@@ -77,6 +77,18 @@ def test_frequent_lines_go_but_near_copies_stay(spark):
     assert out.filter("doc_id = 0").count() == 2
 
 
+def test_boilerplate_of_several_lines_is_counted(spark):
+    for shared, own in ((2, 2), (5, 8), (12, 4)):
+        rng = random.Random(shared)
+        head = [unique_line(rng, 18) for _ in range(shared)]
+        rows = [(i, "\n".join(head + [unique_line(rng, 18) for _ in range(own)]), "h") for i in range(60)]
+        d = docs(spark, rows)
+        v = quality_rules.quality_rules(d).collect()
+        assert len(v) == 60 and {r.n_removed_lines for r in v} == {shared}
+        left = {r.doc_id: r.text for r in line_templates.drop_templates(d).collect()}
+        assert all(left[i].split("\n") == t.split("\n")[shared:] for i, t, _ in rows)
+
+
 def test_recurring_templates_are_dropped(spark):
     rng = random.Random(3)
     passage = unique_line(rng, 55)
