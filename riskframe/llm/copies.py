@@ -56,18 +56,17 @@ def copy_classes(table: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def independent_documents(table: DataFrame, rows: DataFrame, keys: list[str], need) -> DataFrame:
-    """``keys``, ``texts`` (distinct texts) and ``docs`` (distinct texts, a group
-    of near copies as one) of the keys with ``docs`` of ``need`` at least.
+    """``keys`` and ``docs`` (distinct texts, a group of near copies as one) of
+    the keys with ``docs`` of ``need`` at least.
 
     Only texts under keys with ``need`` texts are looked at for near copies.
     Every level is an equi-aggregation with map-side partial sums, so a line
     that a third of all documents carry is already one row per task before
     the shuffle."""
     per_text = rows.select(*keys, "th").distinct()
-    many = shared_table(per_text.groupBy(*keys).agg(F.count("*").alias("texts")).filter(F.col("texts") >= need),
-                        "many-texts")
-    some = shared_table(per_text.join(many.select(*keys), keys, "left_semi"), "counted-texts")
+    many = shared_table(per_text.groupBy(*keys).agg(F.count("*").alias("texts")).filter(F.col("texts") >= need)
+                        .select(*keys), "many-texts")
+    some = shared_table(per_text.join(many, keys, "left_semi"), "counted-texts")
     classes = copy_classes(table, some.select("th").distinct())
-    docs = (some.join(classes, "th", "left").select(*keys, F.coalesce("cls", "th").alias("cls")).distinct()
+    return (some.join(classes, "th", "left").select(*keys, F.coalesce("cls", "th").alias("cls")).distinct()
             .groupBy(*keys).agg(F.count("*").alias("docs")).filter(F.col("docs") >= need))
-    return docs.join(many, keys)

@@ -29,8 +29,7 @@ class TemplateRules:
     ``min_fixed`` fixed tokens and ``min_fixed_share`` of all its tokens.  It
     recurs when ``min_docs`` independent documents carry it
     (``min_docs_long`` once it has ``long_tokens`` tokens, where chance
-    repeats end) and these are ``min_spread`` of the distinct texts that do,
-    which a group of near copies does not reach.  Shorter lines than
+    repeats end), a group of near copies as one.  Shorter lines than
     ``min_tokens`` stay."""
 
     depth: int = 2
@@ -41,7 +40,6 @@ class TemplateRules:
     min_docs: int = 10
     min_docs_long: int = 3
     long_tokens: int = 16
-    min_spread: float = 0.5
 
 
 def line_table(docs: DataFrame, rules: TemplateRules, id_col: str, text_col: str) -> DataFrame:
@@ -83,9 +81,7 @@ def recurring_templates(table: DataFrame, rows: DataFrame, rules: TemplateRules)
     need = F.when(F.col("n") >= rules.long_tokens, rules.min_docs_long).otherwise(rules.min_docs)
     often = (rows.groupBy("key", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= need).select("key"))
     some = rows.join(shared_table(often, "template-candidates"), "key", "left_semi")
-    counted = (independent_documents(table, some, ["key", "n"], need)
-               .filter(F.col("docs") >= rules.min_spread * F.col("texts")))
-    counted = shared_table(counted, "template-counts")
+    counted = shared_table(independent_documents(table, some, ["key", "n"], need), "template-counts")
     places = (some.join(counted.select("key"), "key", "left_semi")
               .select("key", F.posexplode("tokens").alias("at", "token"))
               .groupBy("key", "at").agg(F.min("token").alias("lo"), F.max("token").alias("hi")))

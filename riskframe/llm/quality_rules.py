@@ -23,18 +23,15 @@ WINDOW = 5
 @dataclass(frozen=True)
 class QualityRules:
     """``min_words`` and ``max_repeat_pct`` bound the base rules.  A line is
-    frequent on a host when at least ``min_docs`` independent documents and
-    ``min_share`` of the host's distinct texts carry it, and independent
-    documents are at least ``min_spread`` of the texts that carry it (in a
-    group of near copies they are few).  A document is depleted when fewer
-    than ``min_left_words`` words, or less than ``min_left_share`` of its
-    words, are left."""
+    frequent on a host when at least ``min_docs`` documents and ``min_share``
+    of the host's distinct texts carry it, where a group of near copies is one
+    document.  A document is depleted when fewer than ``min_left_words`` words,
+    or less than ``min_left_share`` of its words, are left."""
 
     min_words: int = 10
     max_repeat_pct: int = 20
     min_docs: int = 10
     min_share: float = 0.001
-    min_spread: float = 0.5
     min_left_words: int = 10
     min_left_share: float = 0.25
 
@@ -83,9 +80,7 @@ def frequent_lines(table: DataFrame, lines: DataFrame, rules: QualityRules) -> D
     counted = independent_documents(table, lines, ["host", "lh"], rules.min_docs)
     hosts = lines.select("host", "th").distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
     return (counted.join(hosts, "host")
-            .filter((F.col("docs") >= rules.min_share * F.col("host_texts"))
-                    & (F.col("docs") >= rules.min_spread * F.col("texts")))
-            .select("host", "lh"))
+            .filter(F.col("docs") >= rules.min_share * F.col("host_texts")).select("host", "lh"))
 
 
 def _table(docs, id_col, text_col, host_col):

@@ -89,6 +89,17 @@ def test_boilerplate_of_several_lines_is_counted(spark):
         assert all(left[i].split("\n") == t.split("\n")[shared:] for i, t, _ in rows)
 
 
+def test_near_copies_do_not_save_a_frequent_line(spark):
+    rng = random.Random(12)
+    line, body = unique_line(rng, 18), [unique_line(rng, 18) for _ in range(8)]
+    rows = [(i, "\n".join([line, unique_line(rng, 18), unique_line(rng, 18)]), "h") for i in range(40)]
+    rows += [(100 + i, "\n".join([line] + body + [unique_line(rng, 18)]), "h") for i in range(100)]
+    d = docs(spark, rows)
+    assert {r.n_removed_lines for r in quality_rules.quality_rules(d).collect()} == {1}
+    left = {r.doc_id: r.text for r in line_templates.drop_templates(d).collect()}
+    assert all(left[i] == t.split("\n", 1)[1] for i, t, _ in rows)
+
+
 def test_recurring_templates_are_dropped(spark):
     rng = random.Random(3)
     passage = unique_line(rng, 55)
