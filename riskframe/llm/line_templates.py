@@ -1,17 +1,17 @@
 """Line dedup by a fixed-depth template tree.
 
 A line is masked (tokens with a digit become ``<*>``) and routed to a leaf by
-its token count and its leading tokens.  Inside a leaf it is grouped by the
-whole masked line and, when long enough, by each half of the rest: two lines
-that differ in one stretch share one half.  The positions on which every
-member of a group agrees are the template, all others are variable fields.
-Templates that recur across documents are dropped.  Built-in Spark
-expressions only.
+its token count and the places of its masked tokens.  Inside a leaf its other
+tokens are cut into five blocks, and it is grouped by every least choice of
+blocks that holds enough of its tokens: the members of a group agree on these
+positions, the others are variable fields.  Templates that recur across
+documents are dropped.  Built-in Spark expressions only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +21,18 @@ from riskframe.llm.copies import independent_documents
 from riskframe.llm.quality_rules import drop_lines
 
 FIELD = "<*>"
+BLOCKS = 5
 
 
 @dataclass(frozen=True)
 class TemplateRules:
-    """``depth`` leading tokens choose the leaf.  A template needs
-    ``min_fixed`` fixed tokens and ``min_fixed_share`` of all its tokens.  It
+    """A template needs ``min_fixed`` fixed tokens and ``min_fixed_share`` of all its tokens.  It
     recurs when ``min_docs`` independent documents carry it
     (``min_docs_long`` once it has ``long_tokens`` tokens, where chance
     repeats end), a group of near copies as one.  Shorter lines than
     ``min_tokens`` stay."""
 
-    depth: int = 2
     min_tokens: int = 3
-    split_tokens: int = 8
     min_fixed: int = 3
     min_fixed_share: float = 0.6
     min_docs: int = 10
@@ -43,25 +41,40 @@ class TemplateRules:
 
 
 def line_table(docs: DataFrame, rules: TemplateRules, id_col: str, text_col: str) -> DataFrame:
-    """The ``doc_table`` with ``masked`` and ``keys`` of each line.  Three-part
-    keys (leaf, part, hash of that part) are 64-bit hashes."""
-    d = rules.depth
+    """The ``doc_table`` with the ``keys`` of each line: 64-bit hashes of (leaf,
+    blocks chosen, tokens in them).  A choice that holds a smaller sufficient
+    one is left out: its group is part of the other's."""
 
     def fields(tokens, plain, digits):
         n = F.size(tokens)
-        masked = F.when(digits, F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
-
-        def keys(line):
-            toks, half = line["toks"], ((n - d) / 2).cast("int")
-            part = lambda k, v: F.xxhash64(n, *(F.get(toks, F.lit(i)) for i in range(d)), F.lit(k), v)
-            whole = part(0, line["masked"])
-            return F.when(n >= rules.split_tokens, F.array(
-                whole, part(1, F.array_join(F.slice(toks, F.lit(d + 1), half), " ")),
-                part(2, F.array_join(F.slice(toks, d + 1 + half, n - d - half), " ")))).otherwise(F.array(whole))
-
-        line = F.struct(masked.alias("masked"), F.when(digits, F.split(masked, " ")).otherwise(tokens).alias("toks"))
-        return (masked.alias("masked"),
-                F.when(n >= rules.min_tokens, let(line, lambda x: keys(x))).alias("keys"))
+        masked = F.when(digits, F.split(F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD), " ")).otherwise(tokens)
+
+        def cut(toks):
+            at = F.filter(F.transform(toks, lambda t, i: F.when(t != FIELD, i)), lambda i: i.isNotNull())
+            return F.struct(F.xxhash64(n, at).alias("leaf"), F.filter(toks, lambda t: t != FIELD).alias("own"))
+
+        def blocks(x):
+            edge = lambda b: F.floor(F.size(x["own"]) * b / BLOCKS).cast("int")
+            return F.struct(x["leaf"].alias("leaf"), F.transform(
+                F.sequence(F.lit(0), F.lit(BLOCKS - 1)),
+                lambda b: F.struct((edge(b + 1) - edge(b)).alias("n"), F.xxhash64(
+                    F.slice(x["own"], edge(b) + 1, edge(b + 1) - edge(b))).alias("h"))).alias("bs"))
+
+        def keys(x):
+            def key(k, chosen):
+                bs = [F.get(x["bs"], F.lit(i)) for i in chosen]
+                total = sum((b["n"] for b in bs[1:]), bs[0]["n"])
+                enough = lambda f: (f >= rules.min_fixed) & (f >= rules.min_fixed_share * n)
+                ok = enough(total)
+                if len(chosen) > 3:
+                    ok = ok & ~enough(total - F.least(*(b["n"] for b in bs)))
+                return F.when(ok, F.xxhash64(x["leaf"], F.lit(k), *(b["h"] for b in bs)))
+
+            choices = [c for size in (3, 4, 5) for c in combinations(range(BLOCKS), size)]
+            return F.array_compact(F.array(*(key(k, c) for k, c in enumerate(choices))))
+
+        return (F.when(n >= rules.min_tokens, let(masked, lambda t: let(
+            cut(t), lambda x: let(blocks(x), lambda y: keys(y))))).alias("keys"),)
 
     return doc_table(docs, "template-lines", id_col, text_col, line_fields=fields)
 
@@ -69,30 +82,13 @@ def line_table(docs: DataFrame, rules: TemplateRules, id_col: str, text_col: str
 def template_lines(table: DataFrame) -> DataFrame:
     """Line rows with ``key``: one row per group that the line belongs to; ``n``
     is the token count."""
-    return doc_lines(table).select("doc", "th", "pos", F.col("words").alias("n"),
-                                   F.split("masked", " ").alias("tokens"), F.explode("keys").alias("key"))
+    return doc_lines(table).select("doc", "th", "pos", F.col("words").alias("n"), F.explode("keys").alias("key"))
 
 
 def recurring_templates(table: DataFrame, rows: DataFrame, rules: TemplateRules) -> DataFrame:
-    """``key, n, docs, template`` of the templates to drop.
-
-    Counts come first, so only groups that may recur have their tokens
-    compared position by position."""
+    """``key, n, docs`` of the templates to drop; every member of a key matches."""
     need = F.when(F.col("n") >= rules.long_tokens, rules.min_docs_long).otherwise(rules.min_docs)
-    often = (rows.groupBy("key", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= need).select("key"))
-    some = rows.join(shared_table(often, "template-candidates"), "key", "left_semi")
-    counted = shared_table(independent_documents(table, some, ["key", "n"], need), "template-counts")
-    places = (some.join(counted.select("key"), "key", "left_semi")
-              .select("key", F.posexplode("tokens").alias("at", "token"))
-              .groupBy("key", "at").agg(F.min("token").alias("lo"), F.max("token").alias("hi")))
-    fixed = (F.col("lo") == F.col("hi")) & (F.col("lo") != FIELD)
-    shape = places.groupBy("key").agg(
-        F.sum(F.when(fixed, 1).otherwise(0)).alias("fixed"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
-            "at", F.when(fixed, F.col("lo")).otherwise(FIELD).alias("t")))), lambda x: x["t"]), " ").alias("template"))
-    return (counted.join(shape, "key")
-            .filter((F.col("fixed") >= rules.min_fixed) & (F.col("fixed") >= rules.min_fixed_share * F.col("n")))
-            .select("key", "n", "docs", "template"))
+    return independent_documents(table, rows, ["key", "n"], need)
 
 
 def template_drops(docs: DataFrame, rules: TemplateRules = TemplateRules(), id_col: str = "doc_id",

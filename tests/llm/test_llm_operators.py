@@ -124,6 +124,17 @@ def test_recurring_templates_are_dropped(spark):
     assert all(got[90 + i] == was[90 + i] for i in range(5)) and got[99] is None and got[98] == ""
 
 
+def test_templates_with_word_fields_anywhere(spark):
+    rng = random.Random(13)
+    w = lambda: "".join(rng.choice("klmnopqrst") for _ in range(6))
+    forms = ["User {} logged in from the web", "Posted by {} on the site in {} today at noon",
+             "Article written by {} for the section named {} of our paper",
+             "{} shared this page with all their friends today here"]
+    rows = [(100 * k + i, f.format(w(), w()) + "\n" + unique_line(rng), "h") for k, f in enumerate(forms) for i in range(12)]
+    got = {r.doc_id: r.text for r in line_templates.drop_templates(docs(spark, rows)).collect()}
+    assert all(got[i] == t.split("\n")[1] for i, t, _ in rows)
+
+
 def test_reply_trees_paths_scores_and_round_trip(spark):
     x = "</s>[INST] ok [/INST] [\\INST] <<SYS>> <</SYS>> <\\\\s> \\"
     rows = [(1, 1, None, 0.0, "system", "be kind"), (1, 2, 1, 1.0, "user", x), (1, 3, 2, 0.0, "assistant", x),
