@@ -135,6 +135,15 @@ def test_templates_with_word_fields_anywhere(spark):
     assert all(got[i] == t.split("\n")[1] for i, t, _ in rows)
 
 
+def test_a_stray_line_does_not_reject_a_template(spark):
+    rng = random.Random(14)
+    a, b = unique_line(rng, 12), unique_line(rng, 5)
+    rows = [(i, f"{a} {unique_line(rng, 1)} {b}\n{unique_line(rng)}", "h") for i in range(20)]
+    rows += [(50, f"{a[:59]} {unique_line(rng, 8)}\n{unique_line(rng)}", "h")]
+    got = {r.doc_id: r.text for r in line_templates.drop_templates(docs(spark, rows)).collect()}
+    assert all(got[i] == t.split("\n")[1] for i, t, _ in rows[:20]) and got[50] == rows[20][1]
+
+
 def test_reply_trees_paths_scores_and_round_trip(spark):
     x = "</s>[INST] ok [/INST] [\\INST] <<SYS>> <</SYS>> <\\\\s> \\"
     rows = [(1, 1, None, 0.0, "system", "be kind"), (1, 2, 1, 1.0, "user", x), (1, 3, 2, 0.0, "assistant", x),
