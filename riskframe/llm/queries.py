@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import (bpe_codec, circulant_minhash, cover_tree, html_crf, language_id, line_templates,
+from riskframe.llm import (bloom_slices, bpe_codec, circulant_minhash, cover_tree, html_crf, language_id, line_templates,
                            mixing, quality_rules, reply_trees, token_counts)
 from riskframe.sources.readers import read_table
 
@@ -16,6 +16,7 @@ ORACLE: dict[str, str] = {
     "op3_reply_trees": reply_trees.ORACLE_SQL,
     "op6_cover_tree": cover_tree.ORACLE_SQL,
     "op10_circulant_minhash": circulant_minhash.ORACLE_SQL,
+    "op11_bloom_slices": bloom_slices.ORACLE_SQL,
 }
 
 
@@ -98,3 +99,10 @@ def op7_html_crf(spark: SparkSession, base: str) -> DataFrame:
 @query
 def op6_cover_tree(spark: SparkSession, base: str) -> DataFrame:
     return cover_tree.near_duplicates(read_table(spark, base, "embeddings", ["vec_id", "embedding"]))
+
+
+@query
+def op11_bloom_slices(spark: SparkSession, base: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    index = bloom_slices.build_index(read_table(spark, base, "documents", ["doc_id", "text"]))
+    return bloom_slices.search(index, read_table(spark, base, "benchmark", ["item_id", "text"]), k=20)
