@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import (bloom_slices, bpe_codec, circulant_minhash, cover_tree, html_crf, language_id, line_templates,
-                           mixing, quality_rules, reply_trees, token_counts)
+                           mixing, quality_rules, reply_trees, token_alignment, token_counts)
 from riskframe.sources.readers import read_table
 
 QUERIES: dict = {}
@@ -106,3 +106,10 @@ def op11_bloom_slices(spark: SparkSession, base: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     index = bloom_slices.build_index(read_table(spark, base, "documents", ["doc_id", "text"]))
     return bloom_slices.search(index, read_table(spark, base, "benchmark", ["item_id", "text"]), k=20)
+
+
+@query
+def op12_token_alignment(spark: SparkSession, base: str) -> DataFrame:
+    import public_tokenizers
+    docs = read_table(spark, base, "documents", ["doc_id", "text"])
+    return token_alignment.align_tokens(docs, byte_bpe(), public_tokenizers.path("piece_bpe_32k.model"))
