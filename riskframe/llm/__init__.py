@@ -10,5 +10,5 @@ from pyspark import cloudpickle
 #: Modules whose functions run in Python workers: sent with each job by value,
 #: so executors need no copy of this library.
 for _name in ("token_counts", "bpe_codec", "circulant_minhash", "language_id", "html_crf",
-              "cover_tree", "bloom_slices", "token_alignment"):
+              "cover_tree", "bloom_slices", "token_alignment", "warc_bundles"):
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import (bloom_slices, bpe_codec, circulant_minhash, cover_tree, html_crf, language_id, line_templates,
-                           mixing, quality_rules, reply_trees, token_alignment, token_counts)
+                           mixing, quality_rules, reply_trees, token_alignment, token_counts,
+                           warc_bundles)
+from riskframe.session import scratch_path
 from riskframe.sources.readers import read_table
 
 QUERIES: dict = {}
@@ -17,6 +19,7 @@ ORACLE: dict[str, str] = {
     "op6_cover_tree": cover_tree.ORACLE_SQL,
     "op10_circulant_minhash": circulant_minhash.ORACLE_SQL,
     "op11_bloom_slices": bloom_slices.ORACLE_SQL,
+    "op13_warc_bundles": warc_bundles.ORACLE_SQL,
 }
 
 
@@ -113,3 +116,13 @@ def op12_token_alignment(spark: SparkSession, base: str) -> DataFrame:
     import public_tokenizers
     docs = read_table(spark, base, "documents", ["doc_id", "text"])
     return token_alignment.align_tokens(docs, byte_bpe(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_warc_bundles(spark: SparkSession, base: str) -> DataFrame:
+    """Every page written as a WARC record, then read back from the archives."""
+    path = scratch_path(spark, "llm-warc")
+    warc_bundles.write_archives(read_table(spark, base, "pages", ["page_id", "url", "html"]), path)
+    rows = warc_bundles.read_archives(spark, path)
+    return rows.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+                       "record_type", F.col("refers_to").cast("long").alias("refers_to"))
