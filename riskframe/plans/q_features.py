@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.operators import features as M
+from riskframe.operators import neighbors as N
 from riskframe.plans.analytic import wide_table
 from riskframe.plans.oracle_base import RANGES, r, with_wide
 from riskframe.plans.registry import query, rounded
@@ -178,3 +179,50 @@ def q_assemble(spark, base):
     p = prepared(spark, base)
     v = M.assemble(p.table, p.feature_names)
     return v.select("o_orderkey", "flag", vector_to_array("features").alias("features"))
+
+
+# ------------------------------------------------------------------ M9
+def _smote_sql():
+    """Brute force: all pairs of distinct positive vectors, the k least distances."""
+    feats = IMPUTABLE + [f"{c}_{v}" for c, lv in LEVELS.items() for v in lv] + BINARY
+    q = [f'"{c}"' for c in feats]
+    square = " + ".join(f"(a.vec[{i + 1}] - b.vec[{i + 1}]) * (a.vec[{i + 1}] - b.vec[{i + 1}])" for i in range(len(feats)))
+    k, digest = SPEC.balance_k, f"md5('{SPEC.seed}:' || CAST(o_orderkey AS VARCHAR)"
+    ctes = [
+        f"p AS ({_prepared_select()})",
+        "t AS (SELECT * FROM p WHERE split = 'train')",
+        f"m AS (SELECT o_orderkey, flag, [{', '.join(q)}] AS vec FROM t WHERE flag = 1)",
+        "v AS (SELECT min(o_orderkey) AS rep, count(*) AS mult, vec FROM m GROUP BY vec)",
+        f"d AS (SELECT a.rep, b.rep AS nb, b.mult, b.vec, round({square}, 9) AS d2 FROM v a JOIN v b ON a.rep <> b.rep)",
+        f"nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY d2, nb) AS r FROM d) WHERE r <= {k})",
+        # places 0 .. mult - 2 are copies of the vector, then each neighbour with its copies
+        "nx AS (SELECT rep, vec, sum(mult) OVER w - mult AS lo, sum(mult) OVER w AS hi FROM nn WINDOW w AS "
+        "(PARTITION BY rep ORDER BY r ROWS UNBOUNDED PRECEDING))",
+        "c AS (SELECT count(*) FILTER (WHERE flag = 1) AS pos, count(*) FILTER (WHERE flag = 0) AS neg FROM t)",
+        f"need AS (SELECT pos, CAST(floor(neg * {SPEC.balance_ratio}) AS BIGINT) - pos AS n FROM c)",
+        f"rk AS (SELECT *, row_number() OVER (ORDER BY {digest}), o_orderkey) AS r FROM m)",
+        "made AS (SELECT o_orderkey, flag, vec, unnest(range(1, n // pos + CASE WHEN r <= n % pos THEN 1 ELSE 0 END + 1)) "
+        "AS replica FROM rk, need)",
+        f"h AS (SELECT *, {digest} || ':' || CAST(replica AS VARCHAR)) AS h FROM made)",
+        f"u AS (SELECT h.*, v.rep, v.mult, CAST(floor(CAST(('0x' || substr(h, 1, 8)) AS BIGINT) / 4294967296.0 "
+        f"* least({k}, pos - 1)) AS BIGINT) AS pick, CAST(('0x' || substr(h, 9, 8)) AS BIGINT) / 4294967296.0 AS u "
+        "FROM h JOIN v USING (vec), need)",
+        "s AS (SELECT u.o_orderkey, u.flag, u.replica, u.u, u.vec, CASE WHEN u.pick < u.mult - 1 THEN u.vec ELSE nx.vec END "
+        "AS e FROM u LEFT JOIN nx ON nx.rep = u.rep AND u.pick - (u.mult - 1) >= nx.lo AND u.pick - (u.mult - 1) < nx.hi)",
+    ]
+    return with_wide(
+        f"SELECT o_orderkey, flag, CAST(0 AS BIGINT) AS replica, {', '.join(q)} FROM t UNION ALL "
+        "SELECT o_orderkey, flag, replica, "
+        + ", ".join(f"{r(f'vec[{i + 1}] + u * (e[{i + 1}] - vec[{i + 1}])')} AS {c}" for i, c in enumerate(q)) + " FROM s",
+        *_engineered_ctes(), *ctes)
+
+
+@query("smote", _smote_sql())
+def q_smote(spark, base):
+    """The training rows with positives raised to the spec's share of the
+    negatives; without the pass-through columns, which hold NULLs."""
+    p = prepared(spark, base)
+    features = [c for c in p.feature_names if c not in p.passthru]
+    train = rounded(p.table.where(F.col("split") == "train"))
+    return rounded(N.smote(train, SPEC.entity_key, SPEC.label, features, SPEC.balance_ratio, SPEC.balance_k,
+                           seed=SPEC.seed).table)
