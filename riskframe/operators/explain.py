@@ -9,10 +9,15 @@ task explains its own rows; output is long ``(key, feature, contribution)``.
 For a GBT the explained quantity is the margin sum_t w_t * tree_t(x);
 probability = 1 / (1 + exp(-2 * margin)).  Contributions + base value =
 margin for every row.
+
+What a leaf gives a row depends on the row only through which of the leaf's
+features it satisfies.  So the Shapley weights of a leaf are computed once for
+every such pattern (``leaf_tables``), and a row looks its pattern up.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +34,7 @@ class Tree:
     threshold: np.ndarray
     value: np.ndarray
     cover: np.ndarray
+    null_left: np.ndarray | None = None     # where NaN goes; None: right
 
     def expected(self) -> float:
         leaves = self.left < 0
@@ -203,6 +209,84 @@ def tree_shap_batch(tree: Tree, X: np.ndarray, phi: np.ndarray, scale: float = 1
     rec(0, [], 1.0, np.ones(n), -1)
 
 
+# ---------------------------------------------------------------- TreeSHAP, by leaf
+@dataclass
+class LeafTable:
+    """One leaf: its features in order of first use, per feature the edges
+    ``(node, goes left)`` of the path, and contributions by pattern (bit ``k``:
+    the row satisfies all edges of feature ``k``), patterns x features."""
+    features: list
+    edges: list
+    shares: np.ndarray
+
+
+def _paths(tree: Tree):
+    """Per leaf ``(leaf, {feature: (edges, zero fraction)})``."""
+    stack = [(0, {})]
+    while stack:
+        j, path = stack.pop()
+        if tree.left[j] < 0:
+            yield j, path
+            continue
+        f = int(tree.feature[j])
+        for child, goes_left in ((tree.left[j], True), (tree.right[j], False)):
+            edges, zero = path.get(f, ((), 1.0))
+            stack.append((int(child), {**path, f: ((*edges, (j, goes_left)), zero * tree.cover[child] / tree.cover[j])}))
+
+
+def _shares(zero: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Contributions of leaves with the same number ``d`` of features: ``zero``
+    is leaves x d, the result leaves x 2**d patterns x d."""
+    n, d = zero.shape
+    one = ((np.arange(1 << d)[:, None] >> np.arange(d)) & 1).astype(float)       # patterns x d
+    weight = np.array([math.factorial(k) * math.factorial(d - 1 - k) / math.factorial(d) for k in range(d)])
+    out = np.empty((n, 1 << d, d))
+    for i in range(d):
+        # by number of known features: the sum over all sets of the others
+        sums = np.zeros((n, 1 << d, d))
+        sums[:, :, 0] = 1.0
+        for j in (x for x in range(d) if x != i):
+            known = sums[:, :, :-1] * one[None, :, j, None]
+            sums = sums * zero[:, None, j, None]
+            sums[:, :, 1:] += known
+        out[:, :, i] = value[:, None] * (one[None, :, i] - zero[:, i, None]) * (sums @ weight)
+    return out
+
+
+def leaf_tables(tree: Tree, scale: float = 1.0) -> list[LeafTable]:
+    """The tables of all leaves that stand below a split."""
+    by_size: dict[int, list] = {}
+    for leaf, path in _paths(tree):
+        if path:
+            by_size.setdefault(len(path), []).append((leaf, path))
+    out = []
+    for leaves in by_size.values():
+        zero = np.array([[z for _, z in path.values()] for _, path in leaves])
+        shares = _shares(zero, scale * np.array([tree.value[leaf] for leaf, _ in leaves]))
+        out += [LeafTable(list(path), [e for e, _ in path.values()], s) for (_, path), s in zip(leaves, shares)]
+    return out
+
+
+def add_contributions(tree: Tree, tables: list[LeafTable], X: np.ndarray, phi: np.ndarray) -> None:
+    """Add a tree's contributions to ``phi`` (features x rows) for the rows of
+    ``X`` (features x rows, NaN for NULL)."""
+    left = {}
+    for j in np.flatnonzero(tree.left >= 0):
+        x = X[tree.feature[j]]
+        goes = x <= tree.threshold[j]
+        left[j] = goes | np.isnan(x) if tree.null_left is not None and tree.null_left[j] else goes
+    went = {(j, side): goes if side else ~goes for j, goes in left.items() for side in (True, False)}
+    for t in tables:
+        pattern = np.zeros(X.shape[1], np.int64)
+        for k, edges in enumerate(t.edges):
+            ok = went[edges[0]]
+            for e in edges[1:]:
+                ok = ok & went[e]
+            pattern |= ok.astype(np.int64) << k
+        for k, f in enumerate(t.features):
+            phi[f] += t.shares[:, k][pattern]
+
+
 def base_value(trees, weights) -> float:
     return float(sum(w * t.expected() for t, w in zip(trees, weights)))
 
@@ -224,11 +308,11 @@ def attribution_rows(df: DataFrame, key: str, feature_cols, trees, weights,
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = np.stack(pdf["__x"].to_numpy()).astype(float)
-            phi = np.zeros((X.shape[0], len(names)))
-            for t, w in zip(trees, weights):
-                tree_shap_batch(t, X, phi, w)
-            yield pd.DataFrame({key: pdf["__key"], **{c: pdf[c] for c in keep}, "phi": list(phi)})
+            X = np.ascontiguousarray(np.stack(pdf["__x"].to_numpy()).astype(float).T)
+            phi = np.zeros(X.shape)
+            for t, w in zip(trees, weights):    # a tree's tables are dropped again: they grow with 2**depth
+                add_contributions(t, leaf_tables(t, w), X, phi)
+            yield pd.DataFrame({key: pdf["__key"], **{c: pdf[c] for c in keep}, "phi": list(phi.T)})
 
     labels = F.array(*[F.lit(c) for c in names])
     return src.mapInPandas(explain, types + "phi array<double>").select(

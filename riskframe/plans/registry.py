@@ -43,6 +43,6 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 def load_all():
     """Import every query module so the registry is filled."""
-    from riskframe.plans import (q_evaluate, q_features, q_io, q_model,  # noqa: F401
+    from riskframe.plans import (q_boost, q_evaluate, q_features, q_io, q_model,  # noqa: F401
                                  q_profile, q_quality, q_report, q_shape)
     return QUERIES, ORACLE

@@ -24,6 +24,57 @@ def test_vectorized_equals_scalar():
         assert abs(b.sum() + tree.expected() - tree.predict(Xs[i])) < 1e-12
 
 
+def random_tree(rng, depth, features):
+    """A full tree with repeated features on its paths; NaN goes as drawn."""
+    n = 2 ** (depth + 1) - 1
+    inner = 2 ** depth - 1
+    node = np.arange(n)
+    left = np.where(node < inner, 2 * node + 1, -1)
+    right = np.where(node < inner, 2 * node + 2, -1)
+    cover = rng.integers(1, 9, n).astype(float)
+    for j in range(inner - 1, -1, -1):
+        cover[j] = cover[left[j]] + cover[right[j]]
+    return X.Tree(left, right, np.where(node < inner, rng.integers(0, features, n), -1), rng.normal(size=n),
+                  rng.normal(size=n), cover, rng.integers(0, 2, n).astype(bool))
+
+
+def test_leaf_tables_equal_the_walk():
+    rng = np.random.default_rng(8)
+    for depth in (0, 1, 3, 6):
+        tree, Xs = random_tree(rng, depth, 5), rng.normal(size=(200, 5))
+        want, got = np.zeros((200, 5)), np.zeros((5, 200))
+        X.tree_shap_batch(tree, Xs, want, 0.7)
+        X.add_contributions(tree, X.leaf_tables(tree, 0.7), np.ascontiguousarray(Xs.T), got)
+        assert np.abs(got.T - want).max() < 1e-9
+
+
+def test_leaf_tables_with_missing_values_equal_all_subsets():
+    """Against the definition: every set of known features, unknown ones by cover."""
+    from itertools import combinations
+    from math import factorial
+    rng = np.random.default_rng(9)
+    tree, Xs = random_tree(rng, 4, 4), rng.normal(size=(30, 4))
+    Xs[rng.random(Xs.shape) < 0.3] = np.nan
+
+    def value(x, known, j=0):
+        if tree.left[j] < 0:
+            return tree.value[j]
+        f, sides = tree.feature[j], (tree.left[j], tree.right[j])
+        if f in known:
+            goes = tree.null_left[j] if np.isnan(x[f]) else x[f] <= tree.threshold[j]
+            return value(x, known, sides[0] if goes else sides[1])
+        return sum(tree.cover[c] / tree.cover[j] * value(x, known, c) for c in sides)
+
+    got = np.zeros((4, 30))
+    X.add_contributions(tree, X.leaf_tables(tree), np.ascontiguousarray(Xs.T), got)
+    for i, x in enumerate(Xs):
+        for f in range(4):
+            others = [o for o in range(4) if o != f]
+            want = sum(factorial(k) * factorial(3 - k) / 24 * (value(x, {*s, f}) - value(x, set(s)))
+                       for k in range(4) for s in combinations(others, k))
+            assert abs(got[f, i] - want) < 1e-9
+
+
 def test_gbt_attribution_is_additive(spark):
     rng = np.random.default_rng(0)
     n = 300
