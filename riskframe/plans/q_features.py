@@ -192,8 +192,8 @@ def _smote_sql():
         f"p AS ({_prepared_select()})",
         "t AS (SELECT * FROM p WHERE split = 'train')",
         f"m AS (SELECT o_orderkey, flag, [{', '.join(q)}] AS vec FROM t WHERE flag = 1)",
-        "v AS (SELECT min(o_orderkey) AS rep, count(*) AS mult, vec FROM m GROUP BY vec)",
-        f"d AS (SELECT a.rep, b.rep AS nb, b.mult, b.vec, round({square}, 9) AS d2 FROM v a JOIN v b ON a.rep <> b.rep)",
+        "ve AS (SELECT min(o_orderkey) AS rep, count(*) AS mult, vec FROM m GROUP BY vec)",
+        f"d AS (SELECT a.rep, b.rep AS nb, b.mult, b.vec, round({square}, 9) AS d2 FROM ve a JOIN ve b ON a.rep <> b.rep)",
         f"nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY d2, nb) AS r FROM d) WHERE r <= {k})",
         # places 0 .. mult - 2 are copies of the vector, then each neighbour with its copies
         "nx AS (SELECT rep, vec, sum(mult) OVER w - mult AS lo, sum(mult) OVER w AS hi FROM nn WINDOW w AS "
@@ -204,16 +204,16 @@ def _smote_sql():
         "made AS (SELECT o_orderkey, flag, vec, unnest(range(1, n // pos + CASE WHEN r <= n % pos THEN 1 ELSE 0 END + 1)) "
         "AS replica FROM rk, need)",
         f"h AS (SELECT *, {digest} || ':' || CAST(replica AS VARCHAR)) AS h FROM made)",
-        f"u AS (SELECT h.*, v.rep, v.mult, CAST(floor(CAST(('0x' || substr(h, 1, 8)) AS BIGINT) / 4294967296.0 "
+        f"u AS (SELECT h.*, ve.rep, ve.mult, CAST(floor(CAST(('0x' || substr(h, 1, 8)) AS BIGINT) / 4294967296.0 "
         f"* least({k}, pos - 1)) AS BIGINT) AS pick, CAST(('0x' || substr(h, 9, 8)) AS BIGINT) / 4294967296.0 AS u "
-        "FROM h JOIN v USING (vec), need)",
-        "s AS (SELECT u.o_orderkey, u.flag, u.replica, u.u, u.vec, CASE WHEN u.pick < u.mult - 1 THEN u.vec ELSE nx.vec END "
+        "FROM h JOIN ve USING (vec), need)",
+        "syn AS (SELECT u.o_orderkey, u.flag, u.replica, u.u, u.vec, CASE WHEN u.pick < u.mult - 1 THEN u.vec ELSE nx.vec END "
         "AS e FROM u LEFT JOIN nx ON nx.rep = u.rep AND u.pick - (u.mult - 1) >= nx.lo AND u.pick - (u.mult - 1) < nx.hi)",
     ]
     return with_wide(
         f"SELECT o_orderkey, flag, CAST(0 AS BIGINT) AS replica, {', '.join(q)} FROM t UNION ALL "
         "SELECT o_orderkey, flag, replica, "
-        + ", ".join(f"{r(f'vec[{i + 1}] + u * (e[{i + 1}] - vec[{i + 1}])')} AS {c}" for i, c in enumerate(q)) + " FROM s",
+        + ", ".join(f"{r(f'vec[{i + 1}] + u * (e[{i + 1}] - vec[{i + 1}])')} AS {c}" for i, c in enumerate(q)) + " FROM syn",
         *_engineered_ctes(), *ctes)
 
 
