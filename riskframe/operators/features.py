@@ -51,14 +51,44 @@ def class_rank(df: DataFrame, label: str, key: str, seed: int = 42,
     return j.withColumn("__rank", F.col("__off") + F.row_number().over(w)).drop("__off", "__b")
 
 
+def class_cut(df: DataFrame, label: str, key: str, share: float, seed: int = 42,
+              prefix_hex: int = 4) -> DataFrame:
+    """Where the first ``round(share * n_class)`` rows of each class end in
+    md5(seed:key) order: ``__label, __cut_h, __cut_k`` of the last of them (NULL
+    where there is none), one row per class.
+
+    Counts per (class, first hex digits) tell in which bucket each class ends;
+    only the rows of those buckets are ranked."""
+    d = df.select(F.col(label).alias("__label"), F.col(key).alias("__cut_k"), hash_of(key, seed).alias("__cut_h"))
+    d = d.withColumn("__b", F.conv(F.substring("__cut_h", 1, prefix_hex), 16, 10).cast("int"))
+    counts = d.groupBy("__label", "__b").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy("__label")
+    ends = counts.withColumn("__end", F.sum("__c").over(w.orderBy("__b"))) \
+        .withColumn("__take", F.round(F.sum("__c").over(w) * F.lit(share)))
+    last = ends.where((F.col("__end") >= F.col("__take")) & (F.col("__end") - F.col("__c") < F.col("__take"))) \
+        .select(F.col("__label").alias("__l"), F.col("__b").alias("__lb"),
+                (F.col("__take") - F.col("__end") + F.col("__c")).alias("__nth"))
+    inside = d.join(last, F.col("__label").eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__lb")))
+    rank = F.row_number().over(Window.partitionBy("__label").orderBy("__cut_h", "__cut_k"))
+    cut = inside.withColumn("__rank", rank).where(F.col("__rank") == F.col("__nth")).select("__label", "__cut_h", "__cut_k")
+    classes = counts.select(F.col("__label").alias("__l")).distinct()
+    return classes.join(cut, F.col("__l").eqNullSafe(F.col("__label")), "left").select(
+        F.col("__l").alias("__label"), "__cut_h", "__cut_k")
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2,
                      seed: int = 42, column: str = "split") -> DataFrame:
     """M8 (exact): per class, the first ``round(share * n_class)`` rows in
-    md5(seed:key) order are 'test', the rest 'train'."""
-    r = class_rank(df, label, key, seed)
-    is_test = F.col("__rank") <= F.round(F.col("__n") * F.lit(test_share))
-    return r.withColumn(column, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))) \
-        .drop("__rank", "__n", "__h")
+    md5(seed:key) order are 'test', the rest 'train'.  Rows are not shuffled:
+    each is compared with the last test row of its class (one row per class, of
+    a label with few values).  Ties of the hash go by key; NULL is a class."""
+    cut = class_cut(df, label, key, test_share, seed)
+    h, k = hash_of(key, seed), F.col(key)
+    before = (h < F.col("__cut_h")) | ((h == F.col("__cut_h")) & (k <= F.col("__cut_k")))
+    # no hint: the size of a label's classes is checked at run time
+    joined = df.join(cut, F.col(label).eqNullSafe(F.col("__label")), "left")
+    return joined.withColumn(column, F.when(before, F.lit("test")).otherwise(F.lit("train"))) \
+        .drop("__label", "__cut_h", "__cut_k")
 
 
 def hash_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42,

@@ -10,14 +10,16 @@ generated code stays within JVM method limits.
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.quality import categorical_columns, numeric_columns, stats
 
 CHUNK = 150
+#: Columns of a block of the correlation's sums.
+CORR_BLOCK = 64
 
 
 def _q(c, p, approx):
@@ -134,13 +136,36 @@ def describe_numeric(df: DataFrame, cols=None, approx: bool = False,
                        "max")
 
 
+def distinct_counts(df: DataFrame, cols) -> DataFrame:
+    """``column, distinct``: distinct non-null values of every column, in one
+    shuffle of (column, hash) pairs that are distinct per batch before they
+    leave the task; no row is multiplied in the plan.  Values are told apart by
+    96 bits of hash.  Columns without a value count 0."""
+    cols = list(cols)
+    hashed = df.select(*[F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(f"`{c}`")).alias(f"a{i}")
+                         for i, c in enumerate(cols)], *[F.hash(f"`{c}`").alias(f"b{i}") for i, c in enumerate(cols)])
+
+    def distinct(batches):
+        for batch in batches:
+            for i in range(len(cols)):
+                pairs = pa.table({"a": batch.column(i), "b": batch.column(len(cols) + i)}) \
+                    .filter(batch.column(i).is_valid()).group_by(["a", "b"]).aggregate([])
+                yield from pa.table({"col": pa.array([i] * len(pairs), pa.int32()), "a": pairs["a"],
+                                     "b": pairs["b"]}).to_batches()
+
+    pairs = hashed.mapInArrow(distinct, "col int, a long, b int").distinct()
+    counts = pairs.groupBy("col").agg(F.count(F.lit(1)).alias("distinct"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, column string")
+    return names.join(counts, F.col("i") == F.col("col"), "left").select(
+        "column", F.coalesce("distinct", F.lit(0).cast("long")).alias("distinct"))
+
+
 def describe_categorical(df: DataFrame, cols=None) -> DataFrame:
     """A8 (categorical part): count, unique, top (ties -> smallest), freq."""
     cols = cols if cols is not None else categorical_columns(df)
     from riskframe.operators.quality import mode_row
-    long = _agg_long(df, cols, lambda c: {
-        "count": F.count(c),
-        "unique": F.count_distinct(c)})
+    long = _agg_long(df, cols, lambda c: {"count": F.count(c)}).join(
+        distinct_counts(df, cols).withColumnRenamed("distinct", "unique"), "column")
     # top value and its frequency: a bounded top-1 over distributed counts
     tops = None
     for c in cols:
@@ -169,12 +194,12 @@ def describe_all(df: DataFrame, approx: bool = False, method: str = "bounded") -
 def column_profile(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Type, non-null count, null % (1 dp), distinct count (NULL excluded)."""
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    dist = (lambda c: F.approx_count_distinct(c)) if approx_distinct \
-        else (lambda c: F.count_distinct(c))
     long = _agg_long(df, df.columns, lambda c: {
         "non_null": F.count(c),
         "null_pct": F.round(F.avg(F.col(c).isNull().cast("double")) * 100.0, 1),
-        "distinct": dist(c)})
+        **({"distinct": F.approx_count_distinct(c)} if approx_distinct else {})})
+    if not approx_distinct:
+        long = long.join(distinct_counts(df, df.columns), "column")
     tmap = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
     return long.withColumn("dtype", tmap[F.col("column")])
 
@@ -193,24 +218,56 @@ def missingness(df: DataFrame, cols=None, ascending: bool = False) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     """Pearson correlation, pairwise-complete (each pair uses the rows
     where both are non-null), long form ``(col_a, col_b, corr)`` with the
-    diagonal and both triangles.  k(k-1)/2 ``corr`` aggregates in one pass."""
-    pairs = list(combinations(cols, 2))
-    exprs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-             for i, (a, b) in enumerate(pairs)]
-    diag = [F.when(F.count(F.when(F.col(c).isNotNull(), 1)) > 1,
-                   F.when(F.stddev_samp(c) > 0, F.lit(1.0))).alias(f"d{i}")
-            for i, c in enumerate(cols)]
-    row = df.agg(*(exprs + diag))
-    structs = []
-    for i, (a, b) in enumerate(pairs):
-        structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                F.col(f"`{i}`").alias("corr")))
-        structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"),
-                                F.col(f"`{i}`").alias("corr")))
-    for i, c in enumerate(cols):
-        structs.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"),
-                                F.col(f"d{i}").alias("corr")))
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    diagonal and both triangles; NULL where it is undefined.
+
+    Blockwise sums per pair of columns (rows, values, squares, products), taken
+    of the values less the column's mean: matrix products per batch, added per
+    task, then per block of ``CORR_BLOCK`` columns.  One pass after the means,
+    whatever the number of columns; a task holds four k x k matrices."""
+    cols = list(cols)
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    means = df.agg(*[F.avg(F.when(~F.isnan(c), c)).alias(f"m{i}") for i, c in enumerate(x)]).first() if cols else []
+    means = np.array([0.0 if m is None else m for m in means])
+    k = len(cols)
+
+    def sums(batches):
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            v = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - means[:, None]
+            have = np.isfinite(v)
+            v, have = np.where(have, v, 0.0), have.astype(float)
+            total += np.stack([have @ have.T, v @ have.T, (v * v) @ have.T, v @ v.T])
+        for at in range(0, k, CORR_BLOCK):
+            # a row block of all four, and the transposed block of the sums and squares
+            part = np.concatenate([total[:, at:at + CORR_BLOCK], total[1:3, :, at:at + CORR_BLOCK].transpose(0, 2, 1)])
+            yield pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int32()), "sums": pa.array([part.tobytes()])})
+
+    def correlate(block: pa.Table) -> pa.Table:
+        at = block.column("at")[0].as_py()
+        rows = min(CORR_BLOCK, k - at)
+        # fixed order of the sum: one result however tasks are scheduled
+        total = np.zeros(6 * rows * k)
+        for b in sorted(block.column("sums").to_pylist()):
+            total += np.frombuffer(b) if b else 0.0
+        n, sx, sxx, sxy, sy, syy = total.reshape(6, rows, k)
+        with np.errstate(all="ignore"):
+            cov, vx, vy = sxy - sx * sy / n, sxx - sx * sx / n, syy - sy * sy / n
+            # no spread beyond what rounding leaves of equal values
+            flat = (vx <= 1e-14 * sxx) | (vy <= 1e-14 * syy) | (n < 2)
+            corr = np.where(flat, np.nan, np.clip(cov / np.sqrt(vx * vy), -1.0, 1.0))
+        own = np.arange(rows)
+        corr[own, at + own] = np.where(np.isnan(corr[own, at + own]), np.nan, 1.0)
+        return pa.table({"col_a": pa.array(np.repeat(cols[at:at + rows], k).tolist(), pa.string()),
+                         "col_b": pa.array(cols * rows, pa.string()),
+                         "corr": pa.array(corr.ravel(), pa.float64(), from_pandas=True)})
+
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    parts = df.select(*[c.alias(f"x{i}") for i, c in enumerate(x)]).mapInArrow(sums, "at int, sums binary")
+    # every block answers, also where the table has no partition
+    parts = parts.unionByName(df.sparkSession.createDataFrame(
+        [(at, bytearray()) for at in range(0, k, CORR_BLOCK)], "at int, sums binary"))
+    return parts.groupBy("at").applyInArrow(correlate, "col_a string, col_b string, corr double")
 
 
 # ---------------------------------------------------------------- A12

@@ -11,6 +11,7 @@ from riskframe.operators.shape import (distinct_keys, eav_pivot_min, flag_join,
                                        lookup_items, melt)
 from riskframe.plans.analytic import (LAB_CODES, SUB_CODES, analytic_dataset, label_keys,
                                       wide_table)
+from riskframe.plans.graph import driver_graph, wide_from_graph
 from riskframe.plans.oracle_base import r, with_wide
 from riskframe.plans.registry import query, rounded
 from riskframe.sources.readers import read_table, union_sources
@@ -31,6 +32,12 @@ def q_analytic_dataset(spark, base):
     return rounded(analytic_dataset(spark, base))
 
 
+@query("analytic_from_graph", with_wide(f"SELECT {_wide_select()} FROM wide"))
+def q_analytic_from_graph(spark, base):
+    """J4 from the declared source graph of the same tables."""
+    return rounded(wide_from_graph(spark, driver_graph(), base))
+
+
 @query("join_left", f"""
 SELECT o_orderkey, o_custkey, c_mktsegment, {r('c_acctbal')} AS c_acctbal
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")

@@ -85,20 +85,28 @@ def read_any(spark: SparkSession, path: str, **csv_opts) -> DataFrame:
 
 
 def optional_source(spark: SparkSession, path: str, fmt: str = "parquet",
-                    **opts) -> DataFrame | None:
-    """Optional source (S8): ``None`` when the location is absent, so callers
-    branch at plan-build time (typed NULL / 0 columns instead)."""
+                    schema: T.StructType | str | None = None, **opts) -> DataFrame | None:
+    """Optional source (S8).  With ``schema`` the result has its columns and
+    types in any case: read from ``path`` (columns it lacks are NULL), or empty
+    when the location is absent, so that callers join and aggregate it without a
+    branch.  Without ``schema`` an absent location gives ``None``."""
     try:
         if fmt == "csv":
-            return scan_csv(spark, path, **opts)
-        df = spark.read.format(fmt).options(**opts).load(path)
-        df.schema
-        return nan_to_null(df)
+            df = scan_csv(spark, path, **opts)
+        else:
+            df = spark.read.format(fmt).options(**opts).load(path)
+            df.schema
+            df = nan_to_null(df)
     except (AnalysisException, FileNotFoundError) as exc:
         if isinstance(exc, AnalysisException) and "PATH_NOT_FOUND" not in str(exc) \
                 and "Path does not exist" not in str(exc):
             raise
-        return None
+        return spark.createDataFrame([], schema) if schema is not None else None
+    if schema is None:
+        return df
+    typed = spark.createDataFrame([], schema).schema
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in typed])
 
 
 def read_json_records(spark: SparkSession, path: str,

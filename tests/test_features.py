@@ -82,3 +82,21 @@ def test_clinical_spec_engineering(spark):
     assert num[-1] == "braden_total" and cat == ["gender", "race", "insurance"]
     assert binary[:6] == ["icu_flag", "age_over_75", "los_over_7", "los_over_14", "albumin_low",
                           "hemoglobin_low"]
+
+
+def test_split_ranks_only_the_boundary(spark):
+    """Ties of the key, a NULL class, tiny classes; rows of the input are not shuffled."""
+    rows = [(i, i % 2 if i % 50 else None) for i in range(1000)] + [(2000, 7), (2001, 8), (2002, 8), (2003, 8)]
+    df = spark.createDataFrame(rows, "k long, y int").repartition(3)
+    from pyspark.sql import Window
+    h = M.hash_of("k", 42)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("y").orderBy(h, "k"))) \
+        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("y"))) \
+        .select("k", F.when(F.col("rn") <= F.round(F.col("n") * 0.2), "test").otherwise("train").alias("s"))
+    out = M.stratified_split(df, "y", "k", 0.2, 42)
+    assert out.columns == ["k", "y", "split"]
+    got = out.select("k", F.col("split").alias("s"))
+    assert ref.exceptAll(got).isEmpty() and got.exceptAll(ref).isEmpty()
+    for share, side in ((0.0, "train"), (1.0, "test")):
+        assert {r.split for r in M.stratified_split(df, "y", "k", share, 42).collect()} == {side}
+    assert M.stratified_split(df.where("k < 0"), "y", "k").count() == 0

@@ -80,3 +80,35 @@ def test_describe_methods_agree(spark):
     a = P.describe_numeric(df, ["x"], method="bounded").first()
     b = P.describe_numeric(df, ["x"], method="inmemory").first()
     assert (a.q25, a.q50, a.q75) == (b.q25, b.q50, b.q75)
+
+
+def test_distinct_counts_without_expand(spark):
+    from riskframe.operators import profile as P
+    rows = [(i % 7, float(i % 3) if i % 4 else None, None, "x" if i % 2 else "y", -0.0 if i % 2 else 0.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "a long, b double, c string, `d e` string, z double").repartition(6)
+    counts = P.distinct_counts(df, df.columns)
+    assert {r["column"]: r["distinct"] for r in counts.collect()} == {"a": 7, "b": 3, "c": 0, "d e": 2, "z": 1}
+    assert "Expand" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {r["distinct"] for r in P.distinct_counts(df.where("a < 0"), df.columns).collect()} == {0}
+    many = spark.range(200_000).select((F.col("id") % 150_001).alias("u"))
+    assert P.distinct_counts(many, ["u"]).first()["distinct"] == 150_001
+
+
+def test_correlation_of_a_wide_table_equals_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    from riskframe.operators import profile as P
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 150)) + rng.normal(size=(300, 1)) + 1e6
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 3], x[:, 4], x[:, 5] = 7.25, np.nan, x[:, 6] * 2
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(150)])
+    df = spark.createDataFrame(pdf).repartition(4)
+    got = {(r.col_a, r.col_b): r["corr"] for r in P.correlation_matrix(df, df.columns).collect()}
+    want = pdf.corr()
+    assert len(got) == 150 * 150 and got["c3", "c7"] is None and got["c4", "c4"] is None and got["c9", "c9"] == 1.0
+    for (a, b), v in got.items():
+        w = want.loc[a, b] if "c3" not in (a, b) else np.nan
+        assert (v is None and np.isnan(w)) or abs(v - w) < 1e-8, (a, b, v, w)
+    assert P.correlation_matrix(df, []).count() == 0
+    assert {r["corr"] for r in P.correlation_matrix(df.where("c0 < 0"), ["c0", "c1"]).collect()} == {None}
