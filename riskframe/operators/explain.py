@@ -18,13 +18,18 @@ every such pattern (``leaf_tables``), and a row looks its pattern up.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks get these functions with the job: executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass
 class Tree:

@@ -22,16 +22,21 @@ ones by the smaller representative, so that ties have one outcome.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.features import class_rank
 from riskframe.session import materialize
 
+#: Tasks get these functions with the job: executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Pivots and rings per pivot at most; rows of a block and visitors of a group (about).
 PIVOTS, RINGS, BLOCK_ROWS, VISITORS = 1024, 64, 1024, 4096
 DIGITS = 9
