@@ -7,9 +7,12 @@ the platform and only ``checkpoint_dir`` is consulted.
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the engine is designed around (all are ordinary Spark SQL confs).
 SCALE_CONF = {
@@ -72,6 +75,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_scopes = threading.local()
+
+
 def materialize(df, name: str):
     """Cut lineage by writing ``df`` once as parquet under the shared
     checkpoint folder and reading it back.
@@ -83,4 +89,37 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(path)
+    out = spark.read.parquet(path)
+    out.scratch_table = path
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that ``materialize`` wrote, in whatever store they are."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``materialize`` writes inside the block are deleted at its
+    end, but for those given to the function it yields: these must not depend
+    on the others any more, which holds for written tables."""
+    scopes = _scopes.__dict__.setdefault("open", [])
+    written, kept = [], set()
+    scopes.append(written)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.scratch_table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        scopes.remove(written)
+        discard(spark, *(p for p in written if p not in kept))
+        for scope in scopes[-1:]:
+            scope.extend(p for p in written if p in kept)

@@ -201,3 +201,24 @@ def test_typed_csv_keeps_leading_zeros_and_infer_does_not(spark, tmp_path):
     assert sorted(r.icd_code for r in typed.collect()) == ["0070", "L891"]
     inferred = readers.read_any(spark, path)
     assert dict(inferred.dtypes)["icd_version"] == "int"
+
+
+def test_temporary_tables_go_but_kept_ones_stay(spark):
+    from pyspark.errors import AnalysisException
+
+    from riskframe.session import materialize, temporary_tables
+    with temporary_tables(spark) as keep:
+        gone = materialize(spark.range(5), "scope-a")
+        with temporary_tables(spark) as inner:
+            inside = inner(materialize(gone.where("id > 1"), "scope-b"))
+            lost = materialize(spark.range(3), "scope-c")
+        kept = keep(materialize(inside.where("id > 2"), "scope-d"))
+        assert inside.count() == 3
+    after = materialize(spark.range(2), "scope-e")
+    assert kept.count() == 2 and after.count() == 2
+    for table in (gone, inside, lost):
+        try:
+            spark.read.parquet(table.scratch_table)
+            raise AssertionError("still there")
+        except AnalysisException:
+            pass
