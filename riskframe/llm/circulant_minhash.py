@@ -22,12 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import shared_table
+from riskframe.llm.common import hash60, packed, shared_table, unpacked
 from riskframe.llm.components import connected_components
+from riskframe.session import temporary_tables
 
 NO_ID = (1 << 63) - 1
 _SPACE = np.zeros(256, dtype=bool)
@@ -145,8 +147,8 @@ def _groups(texts, limit):
         yield group
 
 
-def _fingerprints(rules: NearDupRules, want_bands: bool, want_set: bool):
-    """Pandas batches (eid, text) -> eid, n, fp and the bands or the set."""
+def _fingerprints(rules: NearDupRules, want_bands: bool, want_set: bool, want_text_hash: bool = False):
+    """Pandas batches (eid, text[, th]) -> eid, n, fp[, th] and the bands or the set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -159,6 +161,8 @@ def _fingerprints(rules: NearDupRules, want_bands: bool, want_set: bool):
                 raw = [s.tobytes() for s in sets]
                 cols = {"eid": ids[group], "n": [len(s) for s in sets],
                         "fp": [hashlib.md5(b).digest() if b else None for b in raw]}
+                if want_text_hash:
+                    cols["th"] = frame["th"].to_numpy()[group]
                 if want_bands:
                     keys: list = [None] * len(group)
                     if len(hashes):
@@ -171,7 +175,7 @@ def _fingerprints(rules: NearDupRules, want_bands: bool, want_set: bool):
                     cols["items"] = raw
                 yield pd.DataFrame(cols)
 
-    schema = "eid long, n long, fp binary"
+    schema = "eid long, n long, fp binary" + (", th long" if want_text_hash else "")
     return run, schema + (", bands array<long>" if want_bands else "") + (", items binary" if want_set else "")
 
 
@@ -359,6 +363,37 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, keys:
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
+def _classified(docs: DataFrame, rules: NearDupRules, id_col: str, text_col: str,
+                want_text_hash: bool = False) -> DataFrame:
+    """Per row of ``docs``: ``eid`` (its id, ``NO_ID`` for NULL), ``n`` (shingles),
+    ``component`` (smallest ``eid`` of its class), ``cls`` (the class itself; NULL
+    without words) and with ``want_text_hash`` ``th``, the hash of its text."""
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("eid"), F.col(text_col).alias("text"),
+                       *([hash60(F.coalesce(F.col(text_col), F.lit(""))).alias("th")] if want_text_hash else []))
+    with temporary_tables(docs.sparkSession) as keep:
+        run, schema = _fingerprints(rules, True, False, want_text_hash)
+        sketch = keep(shared_table(base.mapInPandas(run, schema), "sketches"))
+        classes = (sketch.filter(F.col("fp").isNotNull()).groupBy("fp")
+                   .agg(F.min("eid").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands")))
+        keyed = shared_table(classes.select("fp", "rep", "n", "bands"), "classes")
+        rows = keyed.select("fp", "rep", "n", F.explode("bands").alias("key"))
+        shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+        bands = shared_table(rows.join(shared_table(shared, "shared-bands"), "key", "left_semi"), "bands")
+        asked = shared_table(bands.groupBy("fp").agg(F.min("rep").alias("eid"), F.collect_list("key").alias("keys")),
+                             "candidates")
+        run, schema = _fingerprints(rules, want_bands=False, want_set=True)
+        sets = (base.select("eid", "text").join(asked, "eid", "left_semi").mapInPandas(run, schema)
+                .join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("items").alias("items")))
+        labels = link_classes(bands.drop("rep"), asked, shared_table(sets, "sets"), rules)
+        linked = (keyed.select("fp", "rep").join(labels, F.col("fp") == F.col("node"), "left")
+                  .select("fp", F.coalesce("comp", "fp").alias("comp"), "rep"))
+        smallest = linked.groupBy("comp").agg(F.min("rep").alias("component"))
+        named = keep(shared_table(linked.join(smallest, "comp").select(
+            F.col("fp").alias("c_fp"), "component", F.col("comp").alias("cls")), "components"))
+    out = sketch.drop("bands").join(named, F.col("fp") == F.col("c_fp"), "left")
+    return out.withColumn("component", F.coalesce("component", "eid")).drop("fp", "c_fp")
+
+
 def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules(), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``<id>, n_shingles, component_id, kept`` per row of ``docs``.
@@ -366,40 +401,39 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules(), id_co
     Texts without words (NULL, empty) have empty sets and link with nothing.
     Repeated rows share a class; a NULL id counts as the largest id and is
     returned as NULL.  Other columns are ignored."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("eid"), F.col(text_col).alias("text"))
-    run, schema = _fingerprints(rules, want_bands=True, want_set=False)
-    sketch = shared_table(base.mapInPandas(run, schema), "sketches")
-    classes = (sketch.filter(F.col("fp").isNotNull()).groupBy("fp")
-               .agg(F.min("eid").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands")))
-    keyed = shared_table(classes.select("fp", "rep", "n", "bands"), "classes")
-    rows = keyed.select("fp", "rep", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    bands = shared_table(rows.join(shared_table(shared, "shared-bands"), "key", "left_semi"), "bands")
-    asked = shared_table(bands.groupBy("fp").agg(F.min("rep").alias("eid"), F.collect_list("key").alias("keys")), "candidates")
-    run, schema = _fingerprints(rules, want_bands=False, want_set=True)
-    sets = (base.join(asked, "eid", "left_semi").mapInPandas(run, schema).join(asked, "fp", "left_semi")
-            .groupBy("fp").agg(F.first("n").alias("n"), F.first("items").alias("items")))
-    labels = link_classes(bands.drop("rep"), asked, shared_table(sets, "sets"), rules)
-    linked = (keyed.select("fp", "rep").join(labels, F.col("fp") == F.col("node"), "left")
-              .select("fp", F.coalesce("comp", "fp").alias("comp"), "rep"))
-    smallest = linked.groupBy("comp").agg(F.min("rep").alias("component"))
-    named = shared_table(linked.join(smallest, "comp").select(F.col("fp").alias("c_fp"), "component"), "components")
-    out = sketch.select("eid", "n", "fp").join(named, F.col("fp") == F.col("c_fp"), "left")
-    comp = F.coalesce("component", "eid")
+    out = _classified(docs, rules, id_col, text_col)
     back = lambda c: F.when(c != NO_ID, c)
     return out.select(back(F.col("eid")).alias(id_col), F.col("n").alias("n_shingles"),
-                      back(comp).alias("component_id"), (F.col("eid") == comp).alias("kept"))
+                      back(F.col("component")).alias("component_id"), (F.col("eid") == F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, rules: NearDupRules = NearDupRules(), id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component (the smallest id); all
-    columns stay.  Of rows that repeat the kept id and its text, one stays;
-    documents without words all stay."""
-    verdict = near_duplicates(docs, rules, id_col, text_col)
-    gone = shared_table(verdict.filter(~F.col("kept")).select(F.col(id_col).alias("_id")).distinct(), "near-copies")
-    left = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
-    return left
+    """``docs`` with one row of each class of near copies: the one with the
+    smallest id (NULL last), then the smallest hash of its text; all columns
+    stay.  Documents are told apart by id and text, so a repeated id loses only
+    the copy; of rows that repeat the kept id and text, the least stays (columns
+    of a type without order: any).  Documents without words all stay."""
+    with temporary_tables(docs.sparkSession) as keep:
+        rows = _classified(docs, rules, id_col, text_col, want_text_hash=True).filter(F.col("cls").isNotNull())
+        rows = shared_table(rows.groupBy("cls", "eid", "th").agg(F.count("*").alias("times")), "class-members")
+        first = rows.groupBy(F.col("cls").alias("of")).agg(F.min(F.struct("eid", "th")).alias("kept"))
+        marked = rows.join(first, F.col("cls") == F.col("of")).withColumn("stays", F.struct("eid", "th") == F.col("kept"))
+        # what goes, and of what repeated rows become one
+        marks = keep(shared_table(marked.filter(~F.col("stays") | (F.col("times") > 1)).select("eid", "th", "stays"),
+                                  "near-copies"))
+    all_rows = packed(docs)
+    key = F.coalesce(F.col("row").getField(id_col).cast("long"), F.lit(NO_ID))
+    th = hash60(F.coalesce(F.col("row").getField(text_col), F.lit("")))
+    same = (key == F.col("eid")) & (th == F.col("th"))
+    alone = all_rows.join(marks, same, "left_anti")
+    repeated = all_rows.join(marks.filter("stays"), same).groupBy("eid", "th")
+    try:
+        one = repeated.agg(F.min("row").alias("row"))
+        one.schema
+    except AnalysisException:               # a column without an order
+        one = repeated.agg(F.first("row").alias("row"))
+    return unpacked(alone.unionByName(one.select("row")), docs)
 
 
 #: DuckDB, for the two-word shingles of the query: every pair that shares a shingle.

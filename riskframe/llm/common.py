@@ -43,19 +43,24 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
-def doc_table(docs: DataFrame, name: str, id_col: str, text_col: str, host_col: str | None = None,
-              doc_cols: dict[str, Column] | None = None, line_fields=None) -> DataFrame:
-    """One pass over the texts, written once: a row per document with ``doc,
-    host, th, ls`` and ``doc_cols``.
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` as one struct ``row``: whatever their names, they
+    clash with nothing that is joined to them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
-    ``th`` is a hash of the whole text; ``(doc, th)`` identifies a document even
-    when ids repeat.  ``ls`` lists the lines that have a word: ``pos`` (place in
-    the text), ``words``, ``lh`` (hash of the normalised line: lower case, white
+
+def unpacked(rows: DataFrame, docs: DataFrame, replaced: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of ``docs`` out of ``row``, some of them ``replaced``."""
+    new = replaced or {}
+    return rows.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def line_column(text: Column, line_fields=None) -> Column:
+    """The lines of a text that have a word, in order: ``pos`` (place in the
+    text), ``words``, ``lh`` (hash of the normalised line: lower case, white
     space runs to one space, ends trimmed, digit runs to 0) and whatever
     ``line_fields(tokens, plain, digits)`` adds: the line's tokens, them joined
     by one space, and whether there is a digit."""
-    host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
-    text = F.coalesce(F.col(text_col), F.lit(""))
 
     def line(raw: Column, i: Column) -> Column:
         def fields(x):
@@ -70,9 +75,20 @@ def doc_table(docs: DataFrame, name: str, id_col: str, text_col: str, host_col:
                 F.struct(x["tokens"].alias("tokens"), x["plain"].alias("plain"),
                          x["plain"].rlike("[0-9]").alias("digits")), lambda y: fields(y))))
 
-    lines = F.filter(F.transform(F.split(text, "\n"), line), lambda r: r["words"] > 0)
+    return F.filter(F.transform(F.split(text, "\n"), line), lambda r: r["words"] > 0)
+
+
+def doc_table(docs: DataFrame, name: str, id_col: str, text_col: str, host_col: str | None = None,
+              doc_cols: dict[str, Column] | None = None, line_fields=None) -> DataFrame:
+    """One pass over the texts, written once: a row per document with ``doc,
+    host, th, ls`` and ``doc_cols``.
+
+    ``th`` is a hash of the whole text; ``(doc, th)`` identifies a document even
+    when ids repeat.  ``ls`` is its ``line_column``."""
+    host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
+    text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc"), host.alias("host"), hash60(text).alias("th"),
-                       *(c.alias(n) for n, c in (doc_cols or {}).items()), lines.alias("ls"))
+                       *(c.alias(n) for n, c in (doc_cols or {}).items()), line_column(text, line_fields).alias("ls"))
     return shared_table(base, name)
 
 

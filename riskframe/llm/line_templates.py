@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.common import doc_lines, doc_table, let, shared_table
 from riskframe.llm.copies import independent_documents
-from riskframe.llm.quality_rules import drop_lines
+from riskframe.llm.quality_rules import drop_lines, line_drops
+from riskframe.session import temporary_tables
 
 FIELD = "<*>"
 BLOCKS = 5
@@ -106,4 +107,6 @@ def drop_templates(docs: DataFrame, rules: TemplateRules = TemplateRules(), id_c
 
     NULL texts stay NULL, a text may become empty, repeated rows change
     alike, an empty table gives an empty result."""
-    return drop_lines(docs, template_drops(docs, rules, id_col, text_col), id_col, text_col)
+    with temporary_tables(docs.sparkSession) as keep:
+        drops = keep(line_drops(template_drops(docs, rules, id_col, text_col)))
+    return drop_lines(docs, drops, id_col, text_col)

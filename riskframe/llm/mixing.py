@@ -18,7 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import hash60, n_words_of, shared_table
+from riskframe.llm.common import hash60, n_words_of, packed, shared_table, unpacked
+from riskframe.session import temporary_tables
 
 #: Hash bits resolved per descent, and documents of a bucket that one task sorts.
 LEVEL_BITS, HASH_BITS = 10, 60
@@ -229,9 +230,10 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text
 def apply_mix(docs: DataFrame, plan: MixPlan = MixPlan(), id_col: str = "doc_id", text_col: str = "text",
               source_col: str = "source") -> DataFrame:
     """The rows of the mix: a document taken twice is two rows; all columns stay."""
-    taken = shared_table(mix(docs, plan, id_col, text_col, source_col).filter("times > 0")
-                         .groupBy(F.col(id_col).alias("_id"), F.col("th").alias("_th"))
-                         .agg(F.max("times").alias("_times")), "mix-taken")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    on = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & (hash60(text) == F.col("_th")))
-    return on.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_th", "_times", "_n")
+    with temporary_tables(docs.sparkSession) as keep:
+        taken = keep(shared_table(mix(docs, plan, id_col, text_col, source_col).filter("times > 0")
+                                  .groupBy(F.col(id_col).alias("doc"), "th").agg(F.max("times").alias("times")), "mix-taken"))
+    rows = packed(docs)
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    on = rows.join(taken, F.col("row").getField(id_col).eqNullSafe(F.col("doc")) & (hash60(text) == F.col("th")))
+    return unpacked(on.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))), docs)

@@ -13,8 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import WORD, doc_lines, doc_table, hash60, let, shared_table, words_of
+from riskframe.llm.common import (WORD, doc_lines, doc_table, hash60, let, line_column, packed, shared_table, unpacked,
+                                  words_of)
 from riskframe.llm.copies import independent_documents
+from riskframe.session import temporary_tables
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -109,6 +111,13 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), id_col:
     return _verdict(table, _flagged(table, rules), rules, id_col)
 
 
+def verdict_of(words: Column, repeated: Column, removed: Column, rules: QualityRules) -> tuple[Column, Column]:
+    """Whether a document fails the base rules, and whether it is depleted."""
+    left = words - removed
+    failed = (words < rules.min_words) | (100 * repeated > rules.max_repeat_pct * words)
+    return failed, (removed > 0) & ((left < rules.min_left_words) | (left < rules.min_left_share * words))
+
+
 def _verdict(table: DataFrame, flagged: DataFrame, rules: QualityRules, id_col: str) -> DataFrame:
     base = table.select("doc", "th", "counts.*", "n_symbols", "n_dup_lines")
     gone = (flagged.groupBy("doc", "th")
@@ -121,44 +130,70 @@ def _verdict(table: DataFrame, flagged: DataFrame, rules: QualityRules, id_col:
         (F.col("w") / F.col("rows")).cast("long").alias("n_removed_words"))
     out = base.join(g, base.doc.eqNullSafe(g.g_doc) & (base.th == g.g_th), "left").drop("g_doc", "g_th")
     out = out.fillna(0, ["n_removed_lines", "n_removed_words"])
-    left = F.col("n_words") - F.col("n_removed_words")
-    failed = (F.col("n_words") < rules.min_words) | (
-        100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words"))
-    depleted = (F.col("n_removed_words") > 0) & (
-        (left < rules.min_left_words) | (left < rules.min_left_share * F.col("n_words")))
+    failed, depleted = verdict_of(F.col("n_words"), F.col("n_repeat_words"), F.col("n_removed_words"), rules)
     return (out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
             .select(F.col("doc").alias(id_col), "th", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     "n_repeat_words", "base_failed", "n_removed_lines", "n_removed_words", "kept"))
 
 
-def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` without the lines at ``gone`` (``doc, th, pos``); all columns stay.
+def without_lines(text: Column, at: Column) -> Column:
+    """``text`` without the lines at the places ``at``."""
+    return let(F.split(text, "\n"), lambda ls: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), at), lambda p: F.get(ls, p)), "\n"))
+
+
+def line_drops(gone: DataFrame) -> DataFrame:
+    """``doc, th, at``: per document the places of the lines to drop, written once."""
+    return shared_table(gone.groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("at")), "line-drops")
 
-    ``gone`` is grouped per document, written once and joined by its size:
-    broadcast below the session's threshold, a shuffled join above it."""
-    per_doc = shared_table(gone.groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("at")),
-                           "line-drops").select(F.col("doc").alias("_doc"), F.col("th").alias("_th"),
-                                                F.col("at").alias("_at"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = let(F.split(F.col(text_col), "\n"), lambda ls: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_at")), lambda p: F.get(ls, p)), "\n"))
-    joined = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("_doc")) & (hash60(text) == F.col("_th")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_at").isNull(), F.col(text_col)).otherwise(cut)) \
-        .drop("_doc", "_th", "_at")
+
+def drop_lines(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the lines in ``drops`` (see ``line_drops``); all columns stay.
+
+    ``drops`` is joined by its size: broadcast below the session's threshold, a
+    shuffled join above it."""
+    rows = packed(docs)
+    own = F.col("row").getField(text_col)
+    text = F.coalesce(own, F.lit(""))
+    joined = rows.join(drops, F.col("row").getField(id_col).eqNullSafe(F.col("doc")) & (hash60(text) == F.col("th")), "left")
+    return unpacked(joined, docs, {text_col: F.when(F.col("at").isNull(), own).otherwise(without_lines(own, F.col("at")))})
 
 
 def apply_quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id",
                         text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that pass, without their frequent lines; all columns stay.
-    A text all of whose lines stay is unchanged."""
-    table = _table(docs, id_col, text_col, host_col)
-    flagged = shared_table(_flagged(table, rules), "flagged-lines")
-    rejected = shared_table(_verdict(table, flagged, rules, id_col).filter(~F.col("kept"))
-                            .select(F.col(id_col).alias("_doc"), F.col("th").alias("_th")).distinct(), "rejected")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = docs.join(rejected, F.col(id_col).eqNullSafe(F.col("_doc")) & (hash60(text) == F.col("_th")),
-                     "left_anti")
-    return drop_lines(kept, flagged.filter("gone").select("doc", "th", "pos"), id_col, text_col)
+    A text all of whose lines stay is unchanged; rows with a NULL or empty text
+    fail; an empty table stays empty.
+
+    Only the frequent lines are kept from the first pass, as one row per host
+    (a line must be in ``min_share`` of a host's texts, so a host has a bounded
+    number per line of a text).  The second pass measures each text again beside
+    its host's lines: no text is shuffled unless that table is too large to
+    broadcast."""
+    with temporary_tables(docs.sparkSession) as keep:
+        table = _table(docs, id_col, text_col, host_col)
+        bad = frequent_lines(table, doc_lines(table), rules)
+        by_host = keep(shared_table(bad.groupBy(F.col("host").alias("of_host")).agg(F.collect_set("lh").alias("bad")),
+                                    "frequent-by-host"))
+    rows = packed(docs)
+    own = F.col("row").getField(text_col)
+    host = F.coalesce(F.col("row").getField(host_col).cast("string"), F.lit("\0"))
+    measured = rows.select("row", host.alias("host"), base_columns(own)["counts"].alias("counts"),
+                           line_column(F.coalesce(own, F.lit(""))).alias("ls"))
+    joined = measured.join(by_host, F.col("host") == F.col("of_host"), "left")
+
+    def text_left(gone: Column) -> Column:
+        removed = F.aggregate(gone, F.lit(0).cast("long"), lambda a, r: a + r["words"])
+        failed, depleted = verdict_of(F.col("counts.n_words"), F.col("counts.n_repeat_words"), removed, rules)
+        kept = F.when(F.size(gone) == 0, own).otherwise(without_lines(own, F.transform(gone, lambda r: r["pos"])))
+        return F.when(~failed & ~depleted, F.array(kept)).otherwise(F.array().cast("array<string>"))
+
+    known = F.coalesce(F.col("bad"), F.array().cast("array<bigint>"))
+    gone = let(F.array_intersect(F.transform("ls", lambda r: r["lh"]), known),
+               lambda common: F.filter("ls", lambda r: F.array_contains(common, r["lh"])))
+    # exploded, not filtered: a filter would be pushed down and measure every text twice
+    return unpacked(joined.select("row", F.explode(let(gone, text_left)).alias("left_over")), docs,
+                    {text_col: F.col("left_over")})
 
 
 #: DuckDB: the same numbers by window functions over exploded words and lines.

@@ -404,3 +404,54 @@ def test_pipeline_stages(spark, tmp_path):
     text = {i: t for i, t, _ in rows}
     for r in out.itertuples():
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+
+
+CLASHES = ["_id", "_doc", "_th", "_at", "_n", "_times", "row", "doc", "th", "at", "host", "ls", "times", "bad", "eid",
+           "stays", "counts", "left_over", "pattern", "key"]
+
+
+def test_no_column_name_clashes(spark):
+    rng = random.Random(21)
+    rows = [(i, "Share this page with your friends\n" + unique_line(rng, 15), "h") for i in range(25)]
+    rows += [(40, rows[3][1], "h"), (41, None, None), (42, "", None)]
+    d = docs(spark, rows).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES})
+    for fn in (quality_rules.apply_quality_rules, line_templates.drop_templates, mixing.apply_mix,
+               lambda x: circulant_minhash.keep_one(x, circulant_minhash.NearDupRules(words=5))):
+        out = fn(d)
+        assert out.columns == d.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHES)
+        assert fn(d.limit(0)).count() == 0
+
+
+def test_keep_one_tells_documents_apart_by_id_and_text(spark):
+    rng = random.Random(22)
+    a, b, c = (unique_line(rng, 40) for _ in range(3))
+    near = a + " tail"
+    rows = [(3, a, "s"), (5, b, "s"), (5, near, "s"),            # id 5: a clean text and a copy of 3's
+            (None, near, "s"), (None, c, "s"),                   # NULL ids: a copy and a clean text
+            (7, c + " x", "s"), (3, a, "t"), (3, a, "s"),        # the kept row of 3 repeats
+            (9, None, "s"), (9, "", "s"), (10, "  ", "s"), (11, None, "s"), (11, None, "s")]
+    out = circulant_minhash.keep_one(docs(spark, rows))
+    got = sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=str)
+    assert got == sorted([(3, a, "s"), (5, b, "s"), (7, c + " x", "s"), (9, None, "s"), (9, "", "s"), (10, "  ", "s"),
+                          (11, None, "s"), (11, None, "s")], key=str)
+
+
+def test_quality_rules_applied_equal_the_verdicts(spark):
+    rng = random.Random(23)
+    line = "Share this page with your friends"
+    rows = [(i, f"{line} {i}\n{unique_line(rng, rng.choice([3, 15]))}\n\n{line} {i}", rng.choice(["h", None])) for i in range(60)]
+    rows += [(i, unique_line(rng, 12) + "\n\n", "h") for i in range(100, 110)] + [(200, None, "h"), (201, "x", None)]
+    rows += [(300, "word " * 30_000 + "\n" + line, "h"), (301, line + "\n" + unique_line(rng, 20_000), "h")]
+    d = docs(spark, rows + rows[:3])
+    v = {r.doc_id: r for r in quality_rules.quality_rules(d).collect()}
+    out = quality_rules.apply_quality_rules(d).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows + rows[:3] if v[r[0]].kept)
+    was = {i: t for i, t, _ in rows}
+    assert 30 < sum(x.n_removed_lines == 2 for x in v.values()) and not v[300].kept and v[301].kept
+    for r in out:
+        gone = v[r.doc_id].n_removed_lines           # (301 holds the line once, the others twice)
+        lines = [x for x in was[r.doc_id].split("\n") if not (gone and x.startswith(line))]
+        assert r.text == ("\n".join(lines) if gone else was[r.doc_id])
+    assert quality_rules.quality_rules(d.limit(0)).count() == 0 == line_templates.drop_templates(d.limit(0)).count()
