@@ -196,9 +196,10 @@ def apply_quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), i
                     {text_col: F.col("left_over")})
 
 
-#: DuckDB: the same numbers by window functions over exploded words and lines.
+#: DuckDB: the same numbers by window functions over exploded words and lines;
+#: near copies by all pairs of texts that share a line, and their closure.
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
 win AS (SELECT doc_id, i, ws[i:i+4] AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 1))) AS r(i)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
@@ -210,16 +211,19 @@ ls AS (SELECT doc_id, coalesce(source, chr(0)) AS host, ('0x' || substr(md5(t),
        FROM d, unnest(string_split(t, chr(10))) AS r(l)),
 lines AS (SELECT * FROM ls WHERE words > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc_id),
-keys(k, c) AS (VALUES (0, 0::BIGINT), (1, 192153584101141162::BIGINT), (2, 461168601842738790::BIGINT)),
-sig AS (SELECT doc_id, k, list_sort(list(DISTINCT xor(lh, c)))[1:2] AS s FROM lines, keys GROUP BY doc_id, k),
-per AS (SELECT DISTINCT l.host, l.lh, l.th, s.k, CASE WHEN s.s[1] = xor(l.lh, q.c) THEN s.s[2] ELSE s.s[1] END AS g
-        FROM lines l JOIN sig s ON l.doc_id = s.doc_id JOIN keys q ON q.k = s.k),
-cnt AS (SELECT host, lh, min(docs) AS docs, max(texts) AS texts FROM
-          (SELECT host, lh, k, count(DISTINCT coalesce(g, -1)) AS docs, count(*) AS texts FROM per GROUP BY ALL)
-        GROUP BY host, lh),
+pt AS (SELECT DISTINCT host, lh, th FROM lines),
+many AS (SELECT host, lh FROM pt GROUP BY ALL HAVING count(*) >= 10),
+sets AS (SELECT DISTINCT th, lh, least(words, 65535) AS words FROM lines
+         WHERE th IN (SELECT th FROM pt JOIN many USING (host, lh))),
+tot AS (SELECT th, sum(words) AS w FROM sets GROUP BY th),
+both_ AS (SELECT x.th AS a, y.th AS b, sum(x.words) AS i FROM sets x JOIN sets y ON x.lh = y.lh AND x.words = y.words
+            AND x.th <> y.th GROUP BY ALL),
+near AS (SELECT a, b FROM both_ JOIN tot p ON p.th = a JOIN tot q ON q.th = b WHERE 100 * i >= 70 * (p.w + q.w - i)),
+reach(a, b) AS (SELECT th, th FROM tot UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+cls AS (SELECT a AS th, min(b) AS cls FROM reach GROUP BY a),
+cnt AS (SELECT host, lh, count(DISTINCT cls) AS docs FROM pt JOIN many USING (host, lh) JOIN cls USING (th) GROUP BY ALL),
 hosts AS (SELECT host, count(DISTINCT th) AS n FROM lines GROUP BY host),
-bad AS (SELECT c.host, c.lh FROM cnt c JOIN hosts h ON c.host = h.host
-        WHERE docs >= 10 AND docs >= 0.001 * n AND docs >= 0.5 * texts),
+bad AS (SELECT c.host, c.lh FROM cnt c JOIN hosts h ON c.host = h.host WHERE docs >= 10 AND docs >= 0.001 * n),
 gone AS (SELECT l.doc_id, count(*) AS n, sum(words) AS w FROM lines l JOIN bad b ON l.host = b.host AND l.lh = b.lh
          GROUP BY l.doc_id),
 f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,

@@ -455,3 +455,31 @@ def test_quality_rules_applied_equal_the_verdicts(spark):
         lines = [x for x in was[r.doc_id].split("\n") if not (gone and x.startswith(line))]
         assert r.text == ("\n".join(lines) if gone else was[r.doc_id])
     assert quality_rules.quality_rules(d.limit(0)).count() == 0 == line_templates.drop_templates(d.limit(0)).count()
+
+
+def test_quality_rules_equal_their_sql_on_boilerplate_and_copies(spark):
+    """Documents of 0 to 95 % boilerplate, near copies, hosts, spread over them."""
+    import duckdb
+    rng = random.Random(24)
+    rows, n = [], 0
+    for host, shared, own, count in (("h50", 4, 4, 30), ("h60", 6, 4, 30), ("h75", 9, 3, 30), ("h85", 11, 2, 30),
+                                     ("h95", 19, 1, 30), ("few", 4, 4, 9), (None, 3, 4, 20)):
+        head = [unique_line(rng, 18) for _ in range(shared)]
+        for _ in range(count):
+            rows.append((n, "\n".join(head + [unique_line(rng, 18) for _ in range(own)]), host))
+            n += 1
+    body, line = [unique_line(rng, 12) for _ in range(9)], unique_line(rng, 7)
+    rows += [(n + i, "\n".join(body[:8] + [unique_line(rng, 12)]), "h50") for i in range(25)]
+    rows += [(n + 100 + i, line + " 12\n" + unique_line(rng, 30), "h50") for i in range(9 + 4)]
+    rows += [(n + 200, None, "h50"), (n + 201, "", None), (n + 202, " \t\n", "few")]
+    d = docs(spark, rows)
+    got = quality_rules.quality_rules(d).drop("th").toPandas()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(i, t, s) for i, t, s in rows], columns=["doc_id", "text", "source"]))
+    want = con.execute(quality_rules.ORACLE_SQL).df()
+    key = list(want.columns)
+    assert sorted(got.columns) == sorted(key)
+    assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, want.values.tolist()))
+    removed = {s: {r.n_removed_lines for r in got.itertuples() if dict((i, h) for i, _, h in rows)[r.doc_id] == s}
+               for s in ("h60", "few", None)}
+    assert removed["h60"] == {6} and removed["few"] == {0} and removed[None] == {0, 3}
