@@ -86,19 +86,24 @@ def template_lines(table: DataFrame) -> DataFrame:
     return doc_lines(table).select("doc", "th", "pos", F.col("words").alias("n"), F.explode("keys").alias("key"))
 
 
-def recurring_templates(table: DataFrame, rows: DataFrame, rules: TemplateRules) -> DataFrame:
-    """``key, n, docs`` of the templates to drop; every member of a key matches."""
-    need = F.when(F.col("n") >= rules.long_tokens, rules.min_docs_long).otherwise(rules.min_docs)
-    return independent_documents(table, rows, ["key", "n"], need)
+def template_hits(rows: DataFrame, need) -> DataFrame:
+    """The line rows of keys with ``need`` rows at least, written once.
+
+    Most keys stand in one line alone.  Rows per key are counted first (summed
+    per task before the shuffle); only what is left is looked at per document."""
+    many = rows.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= need)
+    return shared_table(rows.join(shared_table(many.select("key"), "many-lines"), "key", "left_semi"), "template-hits")
 
 
 def template_drops(docs: DataFrame, rules: TemplateRules = TemplateRules(), id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """``doc, th, pos`` of every line to drop."""
+    """``doc, th, pos`` of every line to drop: those of a key that enough
+    independent documents share; every member of a key matches its template."""
     table = line_table(docs, rules, id_col, text_col)
-    rows = template_lines(table)
-    bad = shared_table(recurring_templates(table, rows, rules).select("key"), "templates")
-    return rows.select("doc", "th", "pos", "key").join(bad, "key", "left_semi").select("doc", "th", "pos").distinct()
+    need = F.when(F.col("n") >= rules.long_tokens, rules.min_docs_long).otherwise(rules.min_docs)
+    hits = template_hits(template_lines(table), need)
+    bad = shared_table(independent_documents(table, hits, ["key", "n"], need).select("key"), "templates")
+    return hits.join(bad, "key", "left_semi").select("doc", "th", "pos").distinct()
 
 
 def drop_templates(docs: DataFrame, rules: TemplateRules = TemplateRules(), id_col: str = "doc_id",
