@@ -267,48 +267,25 @@ def clean(df: DataFrame, steps, exclude=(), clip_ranges_=(),
     """Apply cleaning steps in the given order.
 
     Numeric / categorical column sets are frozen once, before the first
-    step (so one-hot columns are not rescaled).  Steps that fit statistics
-    read the previous stage; with ``materialize`` (default) that stage is
-    written once as parquet under ``spark.checkpoint.dir`` first, so each
-    pass reads a written table instead of re-running the whole lineage (and
-    a lost executor never forces a recompute from the sources).  Returns the cleaned frame
-    and a lazy step log ``(seq, step, rows, columns)``: the row counts of
-    every stage are aggregates of the staged frames, evaluated in one job
-    when the log is read.
+    step (so one-hot columns are not rescaled).  Returns the cleaned frame
+    and its step log ``(seq, step, rows, columns)``.
+
+    With ``materialize`` (default) the table is written under
+    ``spark.checkpoint.dir`` where steps that change rows (dropna, dedup) end,
+    and once at the end; the log's counts are observed in these writes.  Steps
+    between them share passes: means, deviations and ranges are carried from
+    step to step (``cleaning``).  An input that is no table of
+    ``session.materialize`` is written first if steps fit statistics.  Without
+    it nothing but the ranges of medians and the category counts is written, and
+    the log is one lazy aggregate per stage.
+
+    A column without values is neither filled nor scaled, a constant one not
+    scaled; so is one whose values are not all finite.  An empty table stays
+    empty.  A second ``dropna`` finds nothing: no step makes NULLs.
     """
-    num = numeric_columns(df, exclude)
-    cat = categorical_columns(df, exclude)
-    stages = [("input", df)]
-    cur = df
-    for step in steps:
-        if materialize and step in FITTED and len(stages) > 1:
-            from riskframe.session import materialize as write_once
-            cur = write_once(cur, f"clean-{step}")
-        if step == "dropna":
-            cur = dropna_any(cur)
-        elif step == "impute_median":
-            cur = impute_median(cur, num)
-        elif step == "impute_mean":
-            cur = impute_mean(cur, num)
-        elif step == "impute_mode":
-            cur = impute_mode(cur, cat)
-        elif step == "clip":
-            cur = clip_ranges(cur, clip_ranges_)
-        elif step == "minmax":
-            cur = minmax_scale(cur, num)
-        elif step == "zscore":
-            cur = zscore(cur, num)
-        elif step == "one_hot":
-            cur = one_hot(cur, [c for c in cat if c in cur.columns])
-        elif step == "dedup":
-            cur = dedup_rows(cur)
-        else:
-            raise ValueError(f"unknown cleaning step {step!r}; known: {STEPS}")
-        stages.append((step, cur))
-    log = None
-    for i, (name, frame) in enumerate(stages):
-        part = frame.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(i).alias("seq"), F.lit(name).alias("step"), "rows",
-            F.lit(len(frame.columns)).alias("columns"))
-        log = part if log is None else log.unionByName(part)
-    return cur, log
+    from riskframe.operators.cleaning import run_chain
+    unknown = [s for s in steps if s not in STEPS]
+    if unknown:
+        raise ValueError(f"unknown cleaning step {unknown[0]!r}; known: {STEPS}")
+    return run_chain(df, list(steps), numeric_columns(df, exclude), categorical_columns(df, exclude),
+                     clip_ranges_, materialize)
