@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+#: A well-formed tag; reaches over no other ``<``.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*)([^<>"']*(?:"[^"<>]*"[^<>"']*|'[^'<>]*'[^<>"']*)*)>""")
+NAME_END, MARK = re.compile(r"[\s/>]|\Z"), re.compile("""[>"']""")
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 SKIP = frozenset("script style noscript template svg iframe select textarea head title object canvas".split())
@@ -41,6 +44,86 @@ HINTS = {
 }
 HINT_OF = {w: k for k, ws in HINTS.items() for w in ws.split()}
 NAME = re.compile(r"[a-z]+")
+#: A decimal reference of so many digits that ``int`` refuses it.
+LONG_REF = re.compile(r"&#([0-9]{1000,});?")
+#: Open elements; one more takes the place of the innermost, as in browsers.
+MAX_DEPTH = 512
+
+
+def unescape(text: str) -> str:
+    """Text with its character references decoded, however long they are."""
+    return html.unescape(LONG_REF.sub(lambda m: f"&#{m[1].lstrip('0')[:8] or '0'};", text))
+
+
+class Tags:
+    """The tags of a page, in time linear in it whatever is unclosed.
+
+    Outside a well-formed tag, where an attribute part ends depends only on the
+    next ``>`` or quote, so it is found once per such mark; positions asked for
+    only grow."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "<>\"'"}
+        self.ends: dict[int, int] = {}
+        self.mark = self.name_end = -1
+
+    def end_of(self, start: int) -> int:
+        """Position of the ``>`` outside quotes at or after ``start``, or -1."""
+        if self.mark < start:
+            m = MARK.search(self.page, start)
+            self.mark = m.start() if m else len(self.page)
+        at, seen = self.mark, []
+        while True:
+            if at in self.ends:
+                end = self.ends[at]
+                break
+            if at == len(self.page):
+                end = -1
+                break
+            c = self.page[at]
+            if c == ">":
+                end = at
+                break
+            seen.append(at)
+            if at == self.last[c]:
+                end = -1
+                break
+            m = MARK.search(self.page, self.page.index(c, at + 1) + 1)
+            at = m.start() if m else len(self.page)
+        self.ends.update(dict.fromkeys(seen, end))
+        return end
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """``(start, end, closing, name, attributes)``; comments and
+        declarations have no name.  The caller may ``send`` where to go on."""
+        page, at = self.page, 0
+        while (start := page.find("<", at) if at <= self.last["<"] else -1) >= 0:
+            found = None
+            m = TAG.match(page, start)
+            after = page[start + 1:start + 3]
+            if m:
+                found = start, m.end(), bool(m[1]), m[2].lower(), m[3]
+            elif page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                found = start, end + 3 if end >= 0 else len(page), False, "", ""
+            elif after[:1] in ("!", "?") and after:
+                if self.last[">"] > start + 1:
+                    found = start, page.index(">", start + 2) + 1, False, "", ""
+            elif (first := after[1:] if after[:1] == "/" else after[:1]).isascii() and first.isalpha():
+                begin = start + (2 if after[0] == "/" else 1)
+                if self.name_end < begin:
+                    self.name_end = NAME_END.search(page, begin).start()
+                end = self.end_of(self.name_end)
+                if end >= 0:
+                    found = start, end + 1, after[0] == "/", page[begin:self.name_end].lower(), page[self.name_end:end]
+            at = start + 1
+            if found:
+                to = yield found
+                at = found[1]
+                if to is not None:
+                    at = to
+                    yield found
 
 
 def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
@@ -53,12 +136,12 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     chars = linked = 0
-    in_link, at, unclosed = False, 0, set()
+    in_link, at, unclosed, opened = False, 0, set(), Counter()
 
     def close() -> None:
         nonlocal text, chars, linked
         if text:
-            whole = SPACE.sub(" ", html.unescape("".join(text))).strip(" ")
+            whole = SPACE.sub(" ", unescape("".join(text))).strip(" ")
             if whole:
                 out.append((stack[-1][1] if stack else (), whole, linked / max(chars, 1)))
         text, chars, linked = [], 0, 0
@@ -71,46 +154,57 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             chars += n
             linked += n if in_link else 0
 
-    while (m := TAG.search(page, at)) is not None:
-        say(page[at:m.start()])
-        at = m.end()
-        if m.group(2) is None:
+    def shut(name: str) -> None:
+        """Close the innermost open ``name`` and what it holds, if there is one."""
+        if opened[name]:
+            while True:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
+                    return
+
+    tags = iter(Tags(page))
+    for start, end, closing, name, attributes in tags:
+        say(page[at:start])
+        at = end
+        if not name:
             continue
-        name = m.group(2).lower()
-        if m.group(1):
+        if closing:
             if name in BLOCK:
                 close()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                shut(name)
             if name in BLOCK or name == "a":
                 in_link = False
         elif name in SKIP:
             if name not in unclosed:
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
+                over = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if over:
+                    at = over.end()
                 elif name in RAW:
                     at = len(page)
                 else:
                     unclosed.add(name)
+                tags.send(at)
         elif name in BLOCK:
             close()
             in_link = False
             if stack and stack[-1][0] == "p":
-                stack.pop()
-            if name in SIBLINGS:
+                shut("p")
+            if name in SIBLINGS and opened[name]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        del stack[k:]
-                    if k >= len(stack) or stack[k][0] in ("ul", "ol", "table", "dl", "div"):
+                        shut(name)
+                        break
+                    if stack[k][0] in ("ul", "ol", "table", "dl", "div"):
                         break
             if name != "hr":
+                if len(stack) == MAX_DEPTH:
+                    opened[stack.pop()[0]] -= 1
                 own = [name]
-                for _, value in ATTR.findall(m.group(3)):
-                    own += ["@" + HINT_OF[w] for w in NAME.findall(value.lower()) if w in HINT_OF]
-                stack.append((name, (stack[-1][1] if stack else ()) + tuple(own)))
+                for _, value in ATTR.findall(attributes):
+                    own += ["@" + HINT_OF[w] for w in dict.fromkeys(NAME.findall(value.lower())) if w in HINT_OF]
+                stack.append((name, short((stack[-1][1] if stack else ()) + tuple(own))))
+                opened[name] += 1
         elif name == "br":
             say(" ")
         elif name == "a":
@@ -120,12 +214,25 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
     return out
 
 
+def is_mark(p: str) -> bool:
+    return p[0] == "@" or p in ("article", "main", "nav", "aside", "footer", "header", "form")
+
+
+def short(path: tuple[str, ...]) -> tuple[str, ...]:
+    """A long path without repeats, its nearest mark and innermost element last:
+    the features stay the same."""
+    if len(path) <= 64:
+        return path
+    inner = [p for p in path if p not in ("html", "body")]
+    return (*dict.fromkeys(path), *[p for p in inner if is_mark(p)][-1:], *inner[-1:])
+
+
 def path_features(path: tuple[str, ...]) -> list[str]:
     """Features of a block's ancestors: each tag and mark, the innermost ones,
     and which of two marks is nearer."""
     inner = [p for p in path if p not in ("html", "body")]
     out = [f"in:{p}" for p in dict.fromkeys(inner)]
-    marks = [p for p in inner if p[0] == "@" or p in ("article", "main", "nav", "aside", "footer", "header", "form")]
+    marks = [p for p in inner if is_mark(p)]
     out.append(f"own:{inner[-1] if inner else '-'}")
     out.append(f"near:{marks[-1] if marks else '-'}")
     out.append("deep" if len(inner) > 3 else "shallow")
@@ -253,10 +360,14 @@ class Extractor:
 
 @dataclass(frozen=True)
 class ExtractionRules:
-    """The field is trained on at most ``fit_pages`` pages, taken by hash, and
-    ``variants`` labelled layouts made of each one's texts."""
+    """The field is trained on at most ``fit_pages`` different pages of under
+    ``fit_chars`` characters, taken by hash, and ``variants`` labelled layouts
+    made of each one's texts.  Where all pages are longer, or none marks its
+    article, only layouts of fixed lines are left to train on, and menus without
+    a mark may stay.  Extraction reads pages of any length whole."""
 
     fit_pages: int = 60
+    fit_chars: int = 100_000
     variants: int = 3
     epochs: int = 6
     seed: int = 5
@@ -312,7 +423,7 @@ def layout(rng: random.Random, paragraphs: list[str], other: list[str]) -> tuple
     open_, close = rng.choice([("<article>", "</article>")] * 4 + [
         ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"),
         ('<div id="main-content">', "</div>"), ('<div class="post-body">', "</div>"),
-        ('<section class="story">', "</section>"), ('<div class="entry">', "</div>")])
+        ('<section class="story">', "</section>"), ('<div class="entry">', "</div>"), ("<div>", "</div>"), ("", "")])
     page.append(open_)
     for i, t in enumerate(paragraphs):
         labels.append(1)
@@ -352,8 +463,11 @@ def labelled_pages(pages: list[str], rules: ExtractionRules):
 
 def fit(pages: DataFrame, rules: ExtractionRules = ExtractionRules(), html_col: str = "html") -> Field:
     """A field trained on a bounded sample of ``pages`` (NULLs left out)."""
-    some = (pages.select(F.col(html_col).alias("h")).filter(F.col("h").isNotNull() & (F.length("h") < 100_000))
-            .orderBy(F.xxhash64(F.lit(rules.seed), "h"), "h").limit(rules.fit_pages).collect())
+    rows = pages.select(F.col(html_col).alias("h")).filter(F.col("h").isNotNull() & (F.length("h") < rules.fit_chars)) \
+        .withColumn("k", F.xxhash64(F.lit(rules.seed), "h"))
+    # hashes alone say which pages are taken; equal pages are one
+    taken = [r["k"] for r in rows.select("k").distinct().orderBy("k").limit(rules.fit_pages).collect()]
+    some = rows.filter(F.col("k") <= taken[-1]).groupBy("k").agg(F.min("h").alias("h")).orderBy("k").collect() if taken else []
     return Field().train(labelled_pages([r["h"] for r in some], rules), rules.epochs, rules.seed)
 
 
