@@ -27,18 +27,35 @@ from riskframe.llm.token_counts import worker_state
 
 WORDS = re.compile(r"[^\W\d_]+")
 START = "▁"
+
+
+def words_of(text: str) -> list[str]:
+    """The maximal runs of letters (Unicode category L) of a lower-cased text,
+    as the fit's ``\\p{L}+``; other numerals like ½ or Ⅷ are no letters."""
+    out = []
+    for w in WORDS.findall(text.lower()):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
 MAX_WORD, MAX_PIECE = 40, 16
 #: Scores are kept near 1 by this factor per character.
 SCALE = 8.0
 UNKNOWN = 1e-7
-CACHE_ENTRIES, GROUP_CHARS = 400_000, 1 << 20
+CACHE_ENTRIES, CACHE_CELLS, GROUP_CHARS = 400_000, 16_000_000, 1 << 20
+#: Long words at once, and the characters of one step through them.
+LONG_WORDS, STRETCH = 256, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class LanguageRules:
-    """The fit uses at most ``fit_docs`` labelled documents a language, taken
-    by hash, and their ``fit_words`` most frequent words; ``rounds`` of
+    """The fit uses at most ``fit_docs`` different labelled texts a language, taken
+    by hash, and their ``fit_words`` most frequent words of under ``MAX_WORD``
+    letters; ``rounds`` of
     expectation-maximisation; ``pooled`` is the weight of the probabilities of
     all languages together.  More languages than ``max_languages`` raise."""
 
@@ -114,6 +131,41 @@ def forward(matches: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def forward_long(words: list[str], table: PieceTable, prob: np.ndarray) -> np.ndarray:
+    """Log of the last ``forward`` of words of any length: ``[word, language]``.
+
+    Only the last ``table.longest`` positions are held, rescaled as they
+    shrink; pieces are looked up a stretch at a time, with as many characters
+    before it as a piece can reach back."""
+    m, n, k = len(words), max(map(len, words)), table.longest
+    codes = np.zeros((m, n), np.uint64)
+    for i, w in enumerate(words):
+        codes[i, :len(w)] = _codes([w])[0]
+    ends = np.array([len(w) for w in words])
+    last = np.zeros((m, k, prob.shape[1]))  # last[:, l - 1]: the position l characters back
+    last[:, 0] = 1.0
+    logs, out = np.zeros((2, m, prob.shape[1]))
+    powers = SCALE ** np.arange(1, k + 1)[:, None]
+    for s in range(0, n, STRETCH):
+        lo, e = max(0, s - k + 1), min(n, s + STRETCH)
+        ids = np.full((e - s, m, k), -1)
+        for l, found in enumerate(table.matches(codes[:, lo:e]), 1):
+            j = max(0, s + 1 - l - lo)
+            ids[j + lo + l - 1 - s:, :, l - 1] = found[:, j:].T
+        for i in range(e - s):
+            now = (last * (prob[ids[i]] * powers)).sum(axis=1)
+            last[:, 1:] = last[:, :-1].copy()
+            last[:, 0] = now
+            here = ends == s + i + 1
+            if here.any():
+                out[here] = np.log(np.maximum(now[here], 1e-300)) + logs[here]
+            if i % 8 == 7:
+                top = np.maximum(last.max(axis=1), 1e-300)
+                last /= top[:, None]
+                logs += np.log(top)
+    return out
+
+
 def backward(matches: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
     m, n = matches[0].shape
     beta = np.zeros((m, n + 1, prob.shape[1]))
@@ -167,31 +219,35 @@ class LanguageModel:
     def open(self) -> LanguageModel:
         self.table, self.rows = PieceTable(self.pieces), _rows(self.prob)
         self.at: dict[str, int] = {}
-        self.vec = np.empty((CACHE_ENTRIES, len(self.languages)))
+        self.room = min(CACHE_ENTRIES, CACHE_CELLS // max(1, len(self.languages)))
+        self.vec = np.empty((self.room, len(self.languages)))
         return self
 
     def log_probs(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word under each language; a word over
-        ``MAX_WORD`` characters is the product of its stretches."""
+        """Log probability of each word under each language."""
         out = np.zeros((len(words), len(self.languages)))
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            w = START + w
-            for s in range(0, len(w), MAX_WORD):
-                parts.append(w[s:s + MAX_WORD])
-                owner.append(i)
-        for n, g in _by_length(parts).items():
-            for s in range(0, len(g), 4096):
-                some = g[s:s + 4096]
-                total = forward(self.table.matches(_codes([parts[i] for i in some])), self.rows)[:, -1]
-                np.add.at(out, [owner[i] for i in some], np.log(np.maximum(total, 1e-300)) - n * np.log(SCALE))
+        words = [START + w for w in words]
+        groups = _by_length(words)
+        for n, g in groups.items():
+            if n <= MAX_WORD:
+                for s in range(0, len(g), 4096):
+                    some = g[s:s + 4096]
+                    total = forward(self.table.matches(_codes([words[i] for i in some])), self.rows)[:, -1]
+                    out[some] = np.log(np.maximum(total, 1e-300)) - n * np.log(SCALE)
+        long = [i for n in sorted(groups) if n > MAX_WORD for i in groups[n]]
+        while long:
+            # alike in length, with a bounded number of characters
+            size = max(1, min(LONG_WORDS, GROUP_CHARS // len(words[long[-1]])))
+            some, long = long[-size:], long[:-size]
+            lengths = np.array([len(words[i]) for i in some])
+            out[some] = forward_long([words[i] for i in some], self.table, self.rows) - lengths[:, None] * np.log(SCALE)
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Summed log probabilities per text; NaN rows for texts without letters."""
-        found = [WORDS.findall(t.lower()) for t in texts]
+        found = [words_of(t) for t in texts]
         new = list({w for ws in found for w in ws}.difference(self.at))
-        if len(self.at) + len(new) > CACHE_ENTRIES:
+        if len(self.at) + len(new) > self.room:
             self.at = {}
             new = list({w for ws in found for w in ws})
         if len(new) > len(self.vec):
@@ -210,21 +266,23 @@ def fit(labelled: DataFrame, vocabulary_path: str, rules: LanguageRules = Langua
         text_col: str = "text", label_col: str = "lang") -> LanguageModel:
     """A model from labelled texts (rows with a NULL label or text are left out).
 
-    The sample is bounded: per label ``fit_docs`` rows by hash; only their
-    word counts, ``fit_words`` a label, reach the driver."""
+    The sample is bounded: per label ``fit_docs`` different texts by hash, copies
+    counting once; only their word counts, ``fit_words`` a label, reach the driver."""
     rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).filter(
         F.col("label").isNotNull() & F.col("text").isNotNull())
-    per = rows.groupBy("label").agg(F.count("*").alias("n")).limit(rules.max_languages + 1).collect()
+    h = F.xxhash64(F.lit(rules.seed), "text")
+    per = rows.groupBy("label").agg(F.approx_count_distinct(h).alias("n")).limit(rules.max_languages + 1).collect()
     if len(per) > rules.max_languages:
         raise ValueError(f"more than {rules.max_languages} labels")
     pieces = vocabulary(vocabulary_path)
     languages = sorted(r["label"] for r in per)
     if not languages:
         return LanguageModel([], pieces, np.zeros((len(pieces), 0)))
-    share = F.create_map(*(F.lit(x) for r in per for x in (r["label"], min(1.0, 2 * rules.fit_docs / r["n"]))))
-    h = F.xxhash64(F.lit(rules.seed), "text")
+    share = F.create_map(*(F.lit(x) for r in per for x in (r["label"], min(1.0, 2 * rules.fit_docs / max(r["n"], 1)))))
     near = rows.withColumn("h", h).filter(
         F.pmod("h", F.lit(1 << 20)) < F.lit(float(1 << 20)) * F.element_at(share, F.col("label")))
+    # one row per text, added up in each task before the shuffle: the window holds the sample only
+    near = near.groupBy("label", "h").agg(F.min("text").alias("text"))
     first = Window.partitionBy("label").orderBy("h", "text")
     some = near.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rules.fit_docs)
     counts = (some.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
