@@ -100,3 +100,12 @@ def test_split_ranks_only_the_boundary(spark):
     for share, side in ((0.0, "train"), (1.0, "test")):
         assert {r.split for r in M.stratified_split(df, "y", "k", share, 42).collect()} == {side}
     assert M.stratified_split(df.where("k < 0"), "y", "k").count() == 0
+
+
+def test_split_does_not_bring_a_class_to_one_task(spark):
+    """The rows are joined with the last test row of their class where they are."""
+    df = spark.range(0, 4000, 1, 8).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).cast("int").alias("y"))
+    out = M.stratified_split(df.union(df.where("k < 0")), "y", "k", 0.2, 42)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert out.where("split = 'test'").count() == 800
