@@ -39,6 +39,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Pivots and rings per pivot at most; rows of a block and visitors of a group (about).
 PIVOTS, RINGS, BLOCK_ROWS, VISITORS = 1024, 64, 1024, 4096
+#: Visits that a task holds before it hands them on (about): they outnumber its rows by the blocks visited.
+VISITS_AT_ONCE = 16_384
 DIGITS = 9
 
 
@@ -81,6 +83,45 @@ def nearest_lists(d2: np.ndarray, reps: np.ndarray, mults: np.ndarray, k: int, o
             [mults[p].tolist() for p in picks])
 
 
+def nearest(x: np.ndarray, y: np.ndarray, reps: np.ndarray, mults: np.ndarray, k: int, own: bool = False):
+    """``nearest_lists`` of the rows of ``x`` among those of ``y`` (``own``: both are
+    the same rows, and none is its own neighbour).
+
+    One matrix product tells which columns can be among the ``k`` nearest, with
+    a margin above its rounding error; only their squares are summed exactly."""
+    order = np.argsort(reps, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    y, reps, mults = y[order], reps[order], mults[order]
+    lists: tuple = ([], [], [])
+    y2 = (y ** 2).sum(axis=1)
+    for at in range(0, len(x), 1024):
+        part, mine = x[at:at + 1024], place[at:at + 1024]
+        x2 = (part ** 2).sum(axis=1)
+        near = x2[:, None] + y2[None, :] - 2 * (part @ y.T)
+        if not np.isfinite(near).all():         # overflow: by the plain way
+            got = nearest_lists(squares(part, y), reps, mults, k, own=mine if own else None)
+            for held, more in zip(lists, got):
+                held += more
+            continue
+        if own:
+            near[np.arange(len(part)), mine] = np.inf
+        bar = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(part), np.inf)
+        slack = 2 * 10.0 ** -DIGITS + 1e-15 * (x.shape[1] + 4) * (x2 + y2.max(initial=0.0))
+        row, col = np.nonzero((near <= (bar + slack)[:, None]) & (near < np.inf))
+        d2 = np.zeros(len(row))
+        for j in range(x.shape[1]):
+            d2 += (part[row, j] - y[col, j]) ** 2
+        d2 = np.round(d2, DIGITS)
+        ranked = np.lexsort((col, d2, row))     # columns ascend by representative
+        starts = np.searchsorted(row, np.arange(len(part) + 1))
+        for a, b in zip(starts[:-1], starts[1:]):
+            pick = ranked[a:min(b, a + k)]
+            for held, values in zip(lists, (d2[pick], reps[col[pick]], mults[col[pick]])):
+                held.append(values.tolist())
+    return lists
+
+
 @dataclass
 class Layout:
     """Pivots, ring borders per cell (upper ends; the last is the cell's radius)
@@ -108,6 +149,29 @@ class Layout:
         return out
 
 
+def visits_of(f: pd.DataFrame, layout: Layout, k: int):
+    """``rep, vec, cell, ring, part`` of every block that the rows of ``f`` must
+    visit beside their own, in frames of about ``VISITS_AT_ONCE`` rows."""
+    def frame(at, where):
+        got = f.iloc[at][["rep", "vec"]].reset_index(drop=True)
+        return got.assign(**{name: np.array([w[j] for w in where], dtype="int32")
+                             for j, name in enumerate(("cell", "ring", "part"))})
+
+    to_pivots = np.sqrt(squares(matrix(f["vec"]), layout.pivots))
+    at, where = [], []
+    for i, (c, r, p, nd) in enumerate(zip(f["cell"], f["ring"], f["part"], f["nd"])):
+        radius = float(np.sqrt(nd[k - 1])) if len(nd) >= k else np.inf
+        for cell, ring in layout.reach(to_pivots[i], c, radius):
+            here = [(cell, ring, s) for s in range(layout.parts.get((cell, ring), 0)) if (cell, ring, s) != (c, r, p)]
+            where += here
+            at += [i] * len(here)
+        if len(where) >= VISITS_AT_ONCE:
+            yield frame(at, where)
+            at, where = [], []
+    if where:
+        yield frame(at, where)
+
+
 def _pivots(vectors: DataFrame, n: int, seed: int) -> np.ndarray:
     """A bounded sample by hash: about one pivot per ``BLOCK_ROWS`` rows."""
     want = int(min(PIVOTS, max(1, n // BLOCK_ROWS)))
@@ -172,24 +236,14 @@ def nearest_neighbours(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
     def own_block(f: pd.DataFrame) -> pd.DataFrame:
         x, reps, mults = matrix(f["vec"]), f["rep"].to_numpy(), f["mult"].to_numpy()
-        nd, nr, nm = nearest_lists(squares(x, x), reps, mults, k, own=np.arange(len(f)))
+        nd, nr, nm = nearest(x, x, reps, mults, k, own=True)
         return f.drop(columns="dist").assign(nd=nd, nr=nr, nm=nm)
 
     first = materialize(blocks.groupBy("cell", "ring", "part").applyInPandas(own_block, found), "knn-own")
 
     def to_visits(frames):
         for f in frames:
-            to_pivots = np.sqrt(squares(matrix(f["vec"]), pivots))
-            at, where = [], []
-            for i, (c, r, p, nd) in enumerate(zip(f["cell"], f["ring"], f["part"], f["nd"])):
-                radius = float(np.sqrt(nd[k - 1])) if len(nd) >= k else np.inf
-                for cell, ring in layout.reach(to_pivots[i], c, radius):
-                    here = [(cell, ring, s) for s in range(parts.get((cell, ring), 0)) if (cell, ring, s) != (c, r, p)]
-                    where += here
-                    at += [i] * len(here)
-            got = f.iloc[at][["rep", "vec"]].reset_index(drop=True)
-            yield got.assign(**{name: np.array([w[j] for w in where], dtype="int32")
-                                for j, name in enumerate(("cell", "ring", "part"))})
+            yield from visits_of(f, layout, k)
 
     block = ["cell", "ring", "part"]
     # copies need no search beyond themselves: all k neighbours are the vector itself
@@ -206,8 +260,8 @@ def nearest_neighbours(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     def visit(_, guests: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
         if not len(guests) or not len(host):
             return pd.DataFrame({"rep": [], "nd": [], "nr": [], "nm": []})
-        nd, nr, nm = nearest_lists(squares(matrix(guests["vec"]), matrix(host["h_vec"])), host["h_rep"].to_numpy(),
-                                   host["h_mult"].to_numpy(), k)
+        nd, nr, nm = nearest(matrix(guests["vec"]), matrix(host["h_vec"]), host["h_rep"].to_numpy(),
+                             host["h_mult"].to_numpy(), k)
         return pd.DataFrame({"rep": guests["rep"].to_numpy(), "nd": nd, "nr": nr, "nm": nm})
 
     lists = f"rep {keytype}, nd array<double>, nr array<{keytype}>, nm array<bigint>"

@@ -126,3 +126,35 @@ def test_smote_when_copies_hold_most_positives(spark):
     made = got.table.where("replica > 0").collect()
     assert got.synthetic == 75 == len(made)
     assert all((r.a, r.b) == (1.0, 1.0) for r in made if r.id < 20)
+
+
+def test_visits_are_handed_on_in_bounded_frames(monkeypatch):
+    """One batch of rows that visit all blocks is not held whole."""
+    import pandas as pd
+    monkeypatch.setattr(N, "VISITS_AT_ONCE", 100)
+    pivots = np.arange(30.0)[:, None]
+    layout = N.Layout(pivots, [np.array([0.5])] * 30, {(c, 0): 2 for c in range(30)})
+    f = pd.DataFrame({"rep": range(200), "vec": [[float(i % 30)] for i in range(200)], "cell": [i % 30 for i in range(200)],
+                      "ring": 0, "part": 0, "nd": [[]] * 200})
+    frames = list(N.visits_of(f, layout, 5))
+    assert max(map(len, frames)) < 100 + 60
+    got = pd.concat(frames)
+    assert len(got) == 200 * 59 and len(got.drop_duplicates(["rep", "cell", "ring", "part"])) == 200 * 59
+    assert not len(got[(got["cell"] == got["rep"] % 30) & (got["part"] == 0)])
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-4, 1e6])
+def test_nearest_by_product_equals_all_squares(scale):
+    """Ties, copies, fewer columns than k, and columns far apart in size."""
+    rng = np.random.default_rng(3)
+    y = np.concatenate([rng.integers(0, 2, (300, 6)).astype(float), rng.normal(size=(200, 6)), np.full((1, 6), 1e6)]) * scale
+    x = np.concatenate([y[:700:3], rng.normal(size=(1500, 6)) * scale])
+    reps, mults = rng.permutation(len(y)) * 3, rng.integers(1, 9, len(y))
+    assert tuple(N.nearest(x, y, reps, mults, 5)) == tuple(N.nearest_lists(N.squares(x, y), reps, mults, 5))
+    own = tuple(N.nearest(y, y, reps, mults, 5, own=True))
+    # the plain way takes the row's own column before it orders them
+    assert own == tuple(N.nearest_lists(N.squares(y, y), reps, mults, 5, own=np.arange(len(y))))
+    assert tuple(N.nearest(x, y[:3], reps[:3], mults[:3], 5)) == tuple(N.nearest_lists(N.squares(x, y[:3]), reps[:3], mults[:3], 5))
+    big = np.array([[1e200], [-1e200], [0.0], [1.0]])
+    assert tuple(N.nearest(big, big, np.arange(4), np.ones(4, int), 2, own=True)) == tuple(
+        N.nearest_lists(N.squares(big, big), np.arange(4), np.ones(4, int), 2, own=np.arange(4)))
