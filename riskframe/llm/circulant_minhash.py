@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import hash60, packed, shared_table, unpacked
+from riskframe.llm.common import among, hash60, may_hold, packed, shared_table, unpacked
 from riskframe.llm.components import connected_components
 from riskframe.session import temporary_tables
 
@@ -378,11 +378,11 @@ def _classified(docs: DataFrame, rules: NearDupRules, id_col: str, text_col: str
         keyed = shared_table(classes.select("fp", "rep", "n", "bands"), "classes")
         rows = keyed.select("fp", "rep", "n", F.explode("bands").alias("key"))
         shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-        bands = shared_table(rows.join(shared_table(shared, "shared-bands"), "key", "left_semi"), "bands")
+        bands = shared_table(among(rows, shared_table(shared, "shared-bands"), ["key"]), "bands")
         asked = shared_table(bands.groupBy("fp").agg(F.min("rep").alias("eid"), F.collect_list("key").alias("keys")),
                              "candidates")
         run, schema = _fingerprints(rules, want_bands=False, want_set=True)
-        sets = (base.select("eid", "text").join(asked, "eid", "left_semi").mapInPandas(run, schema)
+        sets = (among(base.select("eid", "text"), asked, ["eid"]).mapInPandas(run, schema)
                 .join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("items").alias("items")))
         labels = link_classes(bands.drop("rep"), asked, shared_table(sets, "sets"), rules)
         linked = (keyed.select("fp", "rep").join(labels, F.col("fp") == F.col("node"), "left")
@@ -426,8 +426,11 @@ def keep_one(docs: DataFrame, rules: NearDupRules = NearDupRules(), id_col: str
     key = F.coalesce(F.col("row").getField(id_col).cast("long"), F.lit(NO_ID))
     th = hash60(F.coalesce(F.col("row").getField(text_col), F.lit("")))
     same = (key == F.col("eid")) & (th == F.col("th"))
-    alone = all_rows.join(marks, same, "left_anti")
-    repeated = all_rows.join(marks.filter("stays"), same).groupBy("eid", "th")
+    # only what the marks may name meets them
+    marked = may_hold(marks, "eid", "th")(key, th)
+    maybe = all_rows.filter(marked)
+    alone = all_rows.filter(~marked).unionByName(maybe.join(marks, same, "left_anti"))
+    repeated = maybe.join(marks.filter("stays"), same).groupBy("eid", "th")
     try:
         one = repeated.agg(F.min("row").alias("row"))
         one.schema
