@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import doc_lines, doc_table, let, shared_table
+from riskframe.llm.common import among, doc_lines, doc_table, let, shared_table
 from riskframe.llm.copies import independent_documents
 from riskframe.llm.quality_rules import drop_lines, line_drops
 from riskframe.session import temporary_tables
@@ -92,7 +92,7 @@ def template_hits(rows: DataFrame, need) -> DataFrame:
     Most keys stand in one line alone.  Rows per key are counted first (summed
     per task before the shuffle); only what is left is looked at per document."""
     many = rows.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= need)
-    return shared_table(rows.join(shared_table(many.select("key"), "many-lines"), "key", "left_semi"), "template-hits")
+    return shared_table(among(rows, shared_table(many.select("key"), "many-lines"), ["key"]), "template-hits")
 
 
 def template_drops(docs: DataFrame, rules: TemplateRules = TemplateRules(), id_col: str = "doc_id",
