@@ -7,8 +7,9 @@ Covering radii are measured over all vectors.  Node pairs are followed from the
 root: a pair is dropped when its balls are farther apart than the link
 distance, counted as a whole when every pair of points inside is linked, and
 split otherwise.  What is left at the bottom is compared point by point, in
-blocks of bounded size, sending each vector only to blocks that its own
-distance to their centres does not exclude.
+blocks of bounded size, each vector only with blocks that its own distance to
+their centres does not exclude.  A task compares the blocks of two sides (runs of
+blocks): a vector travels once per side that holds such a block, not once per block.
 
 Unit vectors have cosine >= c exactly when their distance is at most
 sqrt(2 - 2c); the bounds are used with a small margin, the decision itself is
@@ -31,6 +32,8 @@ from riskframe.llm.components import connected_components
 
 MARGIN = 1e-9
 RINGS = 12
+#: Blocks of a side at most, and sides aimed at; rows held at once against the tree, rows handed on at once (about).
+SPAN, SIDES, ROWS_AT_ONCE, SENT_AT_ONCE = 16, 16, 512, 16_384
 
 
 @dataclass(frozen=True)
@@ -161,6 +164,26 @@ class Plan:
         self.slot_block = np.array([s[0] for s in slots])
         self.slot_node = np.array([s[1] for s in slots])
         self.n_blocks = block + 1
+        self.span = int(np.clip(-(-self.n_blocks // SIDES), 1, SPAN))
+        self.n_sides = -(-self.n_blocks // self.span)
+
+    def place(self, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Node and block of each point."""
+        node = np.array([self.number[k] for k in zip(frame["centre"], frame["ring"])], dtype=int)
+        salt = np.array([f[0] + 256 * f[1] for f in frame["fp"]], dtype=np.int64)
+        return node, self.first[node] + salt % self.parts[node]
+
+    def reached(self, v: np.ndarray, node: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """Which of the blocks ``begin`` to ``end`` each vector may have links in."""
+        a, b = np.searchsorted(self.slot_block, [begin, end])
+        slots, starts = self.slot_node[a:b], np.searchsorted(self.slot_block[a:b], np.arange(begin, end))
+        out = np.empty((len(v), end - begin), dtype=bool)
+        for s in range(0, len(v), ROWS_AT_ONCE):
+            d, _ = _nearest(self.centres, v[s:s + ROWS_AT_ONCE])
+            close = d[:, self.centre[slots]] - self.radius[slots] <= self.limit + MARGIN
+            close &= self.compare[node[s:s + ROWS_AT_ONCE, None], slots]
+            out[s:s + ROWS_AT_ONCE] = np.logical_or.reduceat(close, starts, axis=1)
+        return out
 
     def linked_whole(self, node: np.ndarray, mult: np.ndarray) -> np.ndarray:
         """Links of each point to the points of wholly linked nodes (itself left out)."""
@@ -196,47 +219,86 @@ def _nearest(centres: np.ndarray, v: np.ndarray):
     return d, best
 
 
-def _join_components(mask: np.ndarray, a: list, b: list) -> list[tuple]:
+def _parts(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    for frame in batches:
+        for s in range(0, len(frame), rows):
+            yield frame.iloc[s:s + rows].reset_index(drop=True)
+
+
+def _join_components(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple]:
     """Star edges with the components of a block's link matrix."""
-    rows, cols = mask.any(axis=1), mask.any(axis=0)
-    label_a = np.where(rows, np.arange(len(a)), len(a))
+    rows, cols = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+    mask, a, b = mask[np.ix_(rows, cols)], a[rows], b[cols]
+    label_a = np.arange(len(a))
     while True:
         label_b = np.where(mask, label_a[:, None], len(a)).min(axis=0, initial=len(a))
         new_a = np.minimum(label_a, np.where(mask, label_b[None, :], len(a)).min(axis=1, initial=len(a)))
         if (new_a == label_a).all():
             break
         label_a = new_a
-    return [(a[i], a[label_a[i]]) for i in np.flatnonzero(rows) if label_a[i] != i] + \
-           [(b[j], a[label_b[j]]) for j in np.flatnonzero(cols)]
+    return [*zip(a.tolist(), a[label_a].tolist()), *zip(b.tolist(), a[label_b].tolist())] if len(a) else []
 
 
 def _compare(plan: Plan):
-    """One block pair: exact links per point, and edges that span its components."""
-    cosine = plan.rules.cosine
+    """The blocks of two sides: exact links per point, and edges that span their components."""
+    cosine, span = plan.rules.cosine, plan.span
+
+    def side(group: pd.DataFrame, of: int, other: int):
+        """The vectors of a side, their norms, nodes, counts, the places of each block's points, and
+        which blocks of the other side they reach."""
+        v, block = _matrix(group["vec"]), group["block"].to_numpy()
+        node = group["node"].to_numpy()
+        reach = plan.reached(v, node, other * span, min((other + 1) * span, plan.n_blocks))
+        rows = {k: np.flatnonzero(block == k) for k in range(of * span, min((of + 1) * span, plan.n_blocks))}
+        return v, np.sqrt((v * v).sum(axis=1)), node, group["mult"].to_numpy(), rows, reach
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g, h = int(group["g"].iloc[0]), int(group["h"].iloc[0])
-        left = group[group["block"] == g]
-        right = left if g == h else group[group["block"] == h]
-        out = []
-        if len(left) and len(right):
-            va, vb = _matrix(left["vec"]), _matrix(right["vec"])
-            na, nb = np.sqrt((va * va).sum(axis=1)), np.sqrt((vb * vb).sum(axis=1))
-            mask = np.empty((len(va), len(vb)), dtype=bool)
-            for s in range(0, len(va), 256):
-                mask[s:s + 256] = (va[s:s + 256] @ vb.T) / (na[s:s + 256, None] * nb) >= cosine
-            ia, ib = left["node"].to_numpy(), right["node"].to_numpy()
-            used = np.ix_(np.unique(ia), np.unique(ib))
-            if plan.whole[used].any():
-                mask &= ~plan.whole[ia[:, None], ib]
-            if g == h:
-                np.fill_diagonal(mask, False)
-            ma, mb = left["mult"].to_numpy(), right["mult"].to_numpy()
-            fa, fb = list(left["fp"]), list(right["fp"])
-            for fps, n in ((fa, mask @ mb),) + (((fb, mask.T @ ma),) if g != h else ()):
-                out += [(f, int(k), None) for f, k in zip(fps, n) if k]
-            out += [(x, 0, y) for x, y in _join_components(mask, fa, fb)]
-        return pd.DataFrame(out, columns=["fp", "links", "to"])
+        of = group["block"].to_numpy() // span
+        left, right = group[of == g], group[of == h]
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=["fp", "links", "to"])
+        a = side(left, g, h)
+        b = a if g == h else side(right, h, g)
+        fps = list(left["fp"]) + (list(right["fp"]) if g != h else [])
+        shift = len(left) if g != h else 0
+        links, up = np.zeros(len(fps), np.int64), list(range(len(fps)))
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        (va, na, nodes_a, ma, blocks_a, reach_a), (vb, nb, nodes_b, mb, blocks_b, reach_b) = a, b
+        for i in blocks_a:
+            for j in blocks_b:
+                if g == h and j < i:
+                    continue
+                x = blocks_a[i][reach_a[blocks_a[i], j - h * span]]
+                y = blocks_b[j][reach_b[blocks_b[j], i - g * span]]
+                if not len(x) or not len(y):
+                    continue
+                ia, ib, wide = nodes_a[x], nodes_b[y], vb[y]
+                mask = np.empty((len(x), len(y)), dtype=bool)
+                for s in range(0, len(x), 256):
+                    at = x[s:s + 256]
+                    mask[s:s + 256] = (va[at] @ wide.T) / (na[at, None] * nb[y]) >= cosine
+                if plan.whole[np.ix_(np.unique(ia), np.unique(ib))].any():
+                    mask &= ~plan.whole[ia[:, None], ib]
+                if i == j:
+                    np.fill_diagonal(mask, False)
+                if not mask.any():
+                    continue
+                links[x] += mask @ mb[y]
+                if i != j:
+                    links[shift + y] += mask.T @ ma[x]
+                for p, q in _join_components(mask, x, shift + y):
+                    p, q = top(p), top(q)
+                    up[max(p, q)] = min(p, q)
+        found = np.flatnonzero(links)
+        return pd.DataFrame({"fp": [fps[i] for i in found], "links": links[found],
+                             "to": [fps[t] if (t := top(i)) != i else None for i in found.tolist()]})
 
     return run
 
@@ -265,7 +327,7 @@ def near_duplicates(vectors: DataFrame, rules: CoverRules = CoverRules(), id_col
     centres, parents = x[order], [place[parent[p]] if parent[p] >= 0 else -1 for p in order]
 
     def assign(batches):
-        for frame in batches:
+        for frame in _parts(batches, ROWS_AT_ONCE):
             d, best = _nearest(centres, _matrix(frame["vec"]))
             own = d[np.arange(len(best)), best]
             yield pd.DataFrame({"fp": frame["fp"], "rep": frame["rep"], "mult": frame["mult"], "vec": frame["vec"],
@@ -279,34 +341,30 @@ def near_duplicates(vectors: DataFrame, rules: CoverRules = CoverRules(), id_col
     plan = Plan(centres, parents, stats, rules)
 
     def deal(batches):
-        """Each point's own whole links, and a row per block pair that may hold more."""
-        need = plan.compare[:, plan.slot_node]
+        """A row per point and side pair that may hold more links of it."""
+        starts = np.arange(0, plan.n_blocks, plan.span)
+        for frame in _parts(batches, max(1, min(ROWS_AT_ONCE, SENT_AT_ONCE // plan.n_sides))):
+            node, block = plan.place(frame)
+            sides = np.logical_or.reduceat(plan.reached(_matrix(frame["vec"]), node, 0, plan.n_blocks), starts, axis=1)
+            who, to = np.nonzero(sides)
+            own = block[who] // plan.span
+            yield pd.DataFrame({"g": np.minimum(own, to), "h": np.maximum(own, to), "block": block[who], "node": node[who],
+                                "fp": frame["fp"].to_numpy()[who], "mult": frame["mult"].to_numpy()[who],
+                                "vec": frame["vec"].to_numpy()[who]})
+
+    def wholly(batches):
+        """Each point's links to the points of wholly linked nodes."""
+        some, first = plan.whole.any(axis=1), plan.whole.argmax(axis=1)
         for frame in batches:
-            v = _matrix(frame["vec"])
-            d, _ = _nearest(centres, v)
             node = np.array([plan.number[k] for k in zip(frame["centre"], frame["ring"])], dtype=int)
-            salt = np.array([f[0] + 256 * f[1] for f in frame["fp"]], dtype=np.int64)
-            block = plan.first[node] + salt % plan.parts[node]
-            own = plan.linked_whole(node, frame["mult"].to_numpy())
-            close = d[:, plan.centre[plan.slot_node]] - plan.radius[plan.slot_node] <= plan.limit + MARGIN
-            reached = np.logical_or.reduceat(close & need[node], np.searchsorted(
-                plan.slot_block, np.arange(plan.n_blocks)), axis=1)
-            who, to = np.nonzero(reached)
-            g, h = np.minimum(block[who], to), np.maximum(block[who], to)
-            out = pd.DataFrame({"g": g, "h": h, "block": block[who], "node": node[who],
-                                "fp": frame["fp"].to_numpy()[who], "mult": frame["mult"].to_numpy()[who],
-                                "vec": frame["vec"].to_numpy()[who], "links": 0})
-            first = plan.whole[node].argmax(axis=1)
-            whole = pd.DataFrame({"g": -1, "h": -1, "block": block, "node": node, "fp": frame["fp"],
-                                  "mult": frame["mult"], "links": own,
-                                  "vec": [plan.reps[f] if plan.whole[n, f] else None for n, f in zip(node, first)]})
-            yield pd.concat([out, whole[whole["links"] > 0]], ignore_index=True)
-
-    dealt = shared_table(placed.mapInPandas(
-        deal, "g long, h long, block long, node long, fp binary, mult long, vec binary, links long"), "dealt")
-    found = shared_table(dealt.filter("g >= 0").groupBy("g", "h").applyInPandas(
+            out = pd.DataFrame({"fp": frame["fp"], "links": plan.linked_whole(node, frame["mult"].to_numpy()),
+                                "to": [plan.reps[first[n]] if some[n] else None for n in node]})
+            yield out[out["links"] > 0]
+
+    dealt = placed.mapInPandas(deal, "g long, h long, block long, node long, fp binary, mult long, vec binary")
+    found = shared_table(dealt.groupBy("g", "h").applyInPandas(
         _compare(plan), "fp binary, links long, to binary"), "found")
-    whole = dealt.filter("g < 0").select("fp", "links", F.col("vec").alias("to"))
+    whole = placed.select("fp", "mult", "centre", "ring").mapInPandas(wholly, "fp binary, links long, to binary")
     counts = found.unionByName(whole).groupBy("fp").agg(F.sum("links").alias("links"))
     a, b = np.nonzero(np.triu(plan.whole, 1))
     seams = vectors.sparkSession.createDataFrame(

@@ -276,6 +276,26 @@ def test_cover_tree_equals_brute_force(spark):
     assert cover_tree.near_duplicates(t.limit(0)).count() == 0
 
 
+def test_cover_tree_sends_vectors_by_side(spark, monkeypatch):
+    """Vectors in no clusters are compared with all blocks: each is sent once per
+    side, in frames of bounded size, not once per block."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 12))
+    x[::7] = x[1::7][:len(x[::7])] + 0.02 * rng.normal(size=(len(x[::7]), 12))
+    t = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plans = []
+    init = cover_tree.Plan.__init__
+    monkeypatch.setattr(cover_tree.Plan, "__init__", lambda self, *a: (init(self, *a), plans.append(self))[0])
+    got = cover_tree.near_duplicates(t, cover_tree.CoverRules(centres=20, block=10)).toPandas().set_index("vec_id")
+    plan = plans[0]
+    assert plan.n_blocks > 100 and plan.n_sides <= cover_tree.SIDES
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert (got.n_links.loc[range(len(x))].to_numpy() == link.sum(axis=1)).all()
+
+
+
 def test_html_blocks_and_layouts():
     page = ('<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/x">Home'
             '</a><li><a>b</a></ul></nav><!-- ad > x --><article><h1>A &amp; B</h1><p>one\n two<br>three<p><b>fo</b>ur &lt;x&gt;'
