@@ -273,3 +273,19 @@ def test_warc_of_an_empty_table_and_broken_archives(spark):
     with pytest.raises(ValueError, match="digest"):
         warc_bundles.page_of(headers, block)
     assert [warc_bundles.key_of(warc_bundles.uri_of(k)) for k in (None, "", "a b%é/\n")] == [None, "", "a b%é/\n"]
+
+
+def test_stretches_are_aligned_in_bounded_parts(monkeypatch):
+    """A block's stretches are encoded and aligned a part at a time, with the same result."""
+    words = [f"w{i * 7919}ö{i % 13}" for i in range(2000)] + ["a\x00b", "straße,", ""]
+    whole = token_alignment.Pair(BPE, PIECES).facts(words)
+    monkeypatch.setattr(token_alignment, "ALIGN_BYTES", 500)
+    monkeypatch.setattr(token_alignment, "ENCODE_BYTES", 200)
+    pair, sizes = token_alignment.Pair(BPE, PIECES), []
+    real = pair.aligned
+    pair.aligned = lambda some: sizes.append(sum(map(len, some))) or real(some)
+    parts = pair.facts(words)
+    assert len(sizes) > 20 and max(sizes) < 600
+    assert parts.keys() == whole.keys()
+    assert all(list(parts[k]) == list(whole[k]) for k in whole)
+    assert all(type(x) is bytes for x in pair.cache.values())
