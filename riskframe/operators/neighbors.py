@@ -3,18 +3,18 @@
 The k-NN join is pruned by the metric and never compares all pairs:
 
 1. equal vectors become one row with their count (a hot vector is one row);
-2. every vector joins the nearest of a bounded sample of pivots (its cell);
-   cells are cut into rings by the distance to the pivot and rings into blocks
-   by hash, so that no block outgrows ``BLOCK_ROWS`` whatever the skew;
-3. each block is searched on its own: the k-th distance found there bounds the
+2. a k-d tree over a bounded sample cuts the vectors into cells, each with the
+   box that holds its vectors, and cells into blocks by hash, so that no block
+   outgrows ``BLOCK_ROWS`` whatever the skew; neighbouring cells make a side;
+3. each side is searched on its own: the k-th distance found there bounds the
    true one from above;
-4. a vector visits only those other blocks that may hold something nearer: the
-   triangle inequality on the ring, half the difference of the pivot distances
-   on the cell.  Visitors of one block are dealt to groups of bounded size;
+4. a vector visits only those other sides that have a box within that distance,
+   once per side, and there only the blocks of such boxes.  Visitors of one side
+   are dealt to groups of bounded size;
 5. the lists of all visits are merged.
 
-What travels to tasks or to the driver is bounded by parameters: pivots, ring
-borders and block counts.  Tables between the steps are written once.
+What travels to tasks or to the driver is bounded by parameters: the tree, its
+boxes and block counts.  Tables between the steps are written once.
 
 Distances are compared by their square rounded to ``DIGITS`` decimals, equal
 ones by the smaller representative, so that ties have one outcome.
@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.features import class_rank
-from riskframe.session import materialize
+from riskframe.session import materialize, temporary_tables
 
 #: Tasks get these functions with the job: executors need no copy of the library.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Pivots and rings per pivot at most; rows of a block and visitors of a group (about).
-PIVOTS, RINGS, BLOCK_ROWS, VISITORS = 1024, 64, 1024, 4096
+#: Cells at most and sampled vectors per cell; rows of a block and visitors of a group (about).
+CELLS, SAMPLED, BLOCK_ROWS, VISITORS = 1024, 64, 1024, 16_384
+#: Cells of a side at most, and sides aimed at.
+SPAN, SIDES = 8, 16
 #: Visits that a task holds before it hands them on (about): they outnumber its rows by the blocks visited.
 VISITS_AT_ONCE = 16_384
 DIGITS = 9
@@ -122,17 +124,70 @@ def nearest(x: np.ndarray, y: np.ndarray, reps: np.ndarray, mults: np.ndarray, k
     return lists
 
 
+def first_of(a: list, b: list, k: int) -> list:
+    """The ``k`` first of two lists of ``(d2, rep, mult)``."""
+    return sorted(a + b)[:k] if a and b else a or b
+
+
+class Tree:
+    """A k-d tree over a sample: leaves are numbered so that neighbours stand together."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.dim, self.cut, self.left, self.right, self.leaves = [], [], [], [], 0
+        self._split(sample, leaves)
+
+    def _split(self, x: np.ndarray, leaves: int) -> int:
+        node = len(self.dim)
+        for held, value in ((self.dim, -1), (self.cut, 0.0), (self.left, self.leaves), (self.right, -1)):
+            held.append(value)
+        with np.errstate(all="ignore"):
+            spread = np.nan_to_num(x.std(axis=0)) if len(x) and leaves > 1 else np.zeros(1)
+        j = int(spread.argmax())
+        if not spread[j] > 0:
+            self.leaves += 1
+            return node
+        values = np.sort(x[:, j])
+        cut = values[max(0, len(values) * (leaves // 2) // leaves - 1)]
+        if not cut < values[-1]:
+            cut = values[np.searchsorted(values, values[-1]) - 1]
+        goes = x[:, j] <= cut
+        self.dim[node], self.cut[node] = j, float(cut)
+        self.left[node] = self._split(x[goes], leaves // 2)
+        self.right[node] = self._split(x[~goes], leaves - leaves // 2)
+        return node
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        dim, cut, left, right = (np.array(v) for v in (self.dim, self.cut, self.left, self.right))
+        at = np.zeros(len(x), np.int64)
+        while len(live := np.flatnonzero(dim[at] >= 0)):
+            node = at[live]
+            at[live] = np.where(x[live, dim[node]] <= cut[node], left[node], right[node])
+        return left[at]
+
+
+def box_squares(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances rows(x) x boxes (0 inside)."""
+    out = np.zeros((len(x), len(low)))
+    for j in range(x.shape[1]):
+        out += np.maximum(0.0, np.maximum(low[None, :, j] - x[:, j, None], x[:, j, None] - high[None, :, j])) ** 2
+    return out
+
+
+def bar_of(nd, k: int) -> float:
+    """What a box may be away (squared) from a vector with the squares ``nd``: beyond
+    the k-th by the rounding of squares."""
+    return float(nd[k - 1]) * (1 + 1e-9) + 3 * 10.0 ** -DIGITS if len(nd) >= k else np.inf
+
+
 @dataclass
 class Layout:
-    """Pivots, ring borders per cell (upper ends; the last is the cell's radius)
-    and hash parts per (cell, ring).  All bounded by the parameters."""
+    """Cells around pivots, their borders (upper ends of rings; the last is the
+    cell's radius) and hash parts per (cell, ring).  With ``boxes`` (least and most
+    per cell and feature) cells have one ring each and only their boxes count."""
     pivots: np.ndarray
     borders: list
     parts: dict
-
-    def ring(self, cell: np.ndarray, dist: np.ndarray) -> np.ndarray:
-        return np.array([min(np.searchsorted(self.borders[c], d), len(self.borders[c]) - 1)
-                         for c, d in zip(cell, dist)], dtype=int)
+    boxes: tuple | None = None
 
     def reach(self, to_pivots: np.ndarray, cell: int, radius: float) -> list[tuple[int, int]]:
         """The (cell, ring) pairs that may hold a vector within ``radius``."""
@@ -157,11 +212,19 @@ def visits_of(f: pd.DataFrame, layout: Layout, k: int):
         return got.assign(**{name: np.array([w[j] for w in where], dtype="int32")
                              for j, name in enumerate(("cell", "ring", "part"))})
 
-    to_pivots = np.sqrt(squares(matrix(f["vec"]), layout.pivots))
+    x = matrix(f["vec"])
+    near = None
+    if layout.boxes is None:
+        to_pivots = np.sqrt(squares(x, layout.pivots))
     at, where = [], []
     for i, (c, r, p, nd) in enumerate(zip(f["cell"], f["ring"], f["part"], f["nd"])):
-        radius = float(np.sqrt(nd[k - 1])) if len(nd) >= k else np.inf
-        for cell, ring in layout.reach(to_pivots[i], c, radius):
+        if layout.boxes is None:
+            reached = layout.reach(to_pivots[i], c, float(np.sqrt(nd[k - 1])) if len(nd) >= k else np.inf)
+        else:
+            if i % 512 == 0:
+                near = box_squares(x[i:i + 512], *layout.boxes)
+            reached = [(int(cell), 0) for cell in np.flatnonzero(near[i % 512] <= bar_of(nd, k))]
+        for cell, ring in reached:
             here = [(cell, ring, s) for s in range(layout.parts.get((cell, ring), 0)) if (cell, ring, s) != (c, r, p)]
             where += here
             at += [i] * len(here)
@@ -172,14 +235,13 @@ def visits_of(f: pd.DataFrame, layout: Layout, k: int):
         yield frame(at, where)
 
 
-def _pivots(vectors: DataFrame, n: int, seed: int) -> np.ndarray:
-    """A bounded sample by hash: about one pivot per ``BLOCK_ROWS`` rows."""
-    want = int(min(PIVOTS, max(1, n // BLOCK_ROWS)))
+def _sample(vectors: DataFrame, n: int, want: int, seed: int) -> np.ndarray:
+    """A bounded sample by hash."""
     u = F.pmod(F.xxhash64(F.lit(seed), "vec"), F.lit(1 << 40))
     cut = int((1 << 40) * min(1.0, 2.0 * want / n))
-    rows = vectors.select("vec", u.alias("u")).where(F.col("u") < cut).orderBy("u").limit(want).select("vec").collect()
-    rows = rows or vectors.select("vec").limit(1).collect()
-    return np.array([r["vec"] for r in rows], dtype=float)
+    rows = vectors.select("vec", u.alias("u")).where(F.col("u") < cut).orderBy("u").limit(want).select("vec").toArrow()
+    rows = rows if len(rows) else vectors.select("vec").limit(1).toArrow()
+    return np.array(rows.column("vec").to_pylist(), dtype=float)
 
 
 def nearest_neighbours(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -192,81 +254,103 @@ def nearest_neighbours(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     n = vectors.count()
     if n == 0:
         return vectors.withColumn("near", F.lit(None).cast(near_type))
-    pivots = _pivots(vectors, n, seed)
+    leaves = int(min(CELLS, max(1, n // BLOCK_ROWS)))
+    tree = Tree(_sample(vectors, n, leaves * SAMPLED, seed), leaves)
 
     def to_cells(frames):
         for f in frames:
-            d2 = squares(matrix(f["vec"]), pivots)
-            cell = d2.argmin(axis=1)
-            yield f.assign(cell=cell.astype("int32"), dist=np.sqrt(d2[np.arange(len(f)), cell]))
+            yield f.assign(cell=tree.leaf(matrix(f["vec"])).astype("int32"))
 
     base = f"rep {keytype}, mult long, vec array<double>"
-    cells = materialize(vectors.mapInPandas(to_cells, f"{base}, cell int, dist double"), "knn-cells")
-    probs = F.array(*[F.lit((i + 1) / RINGS) for i in range(RINGS)])
-    stats = {r["cell"]: r for r in cells.groupBy("cell").agg(
-        F.count("*").alias("n"), F.max("dist").alias("radius"),
-        F.percentile_approx("dist", probs, 1000).alias("q")).collect()}
-    borders = []
-    for c in range(len(pivots)):
-        if c not in stats:
-            borders.append(np.zeros(0))
-            continue
-        rings = min(RINGS, -(-stats[c]["n"] // BLOCK_ROWS))
-        at = [stats[c]["q"][RINGS * (i + 1) // rings - 1] for i in range(rings - 1)]
-        borders.append(np.array(sorted({*at, stats[c]["radius"]})))
-    layout = Layout(pivots, borders, {})
-
-    def to_rings(frames):
-        for f in frames:
-            yield f.assign(ring=layout.ring(f["cell"].to_numpy(), f["dist"].to_numpy()).astype("int32"))
-
-    rings = materialize(cells.mapInPandas(to_rings, f"{base}, cell int, dist double, ring int"), "knn-rings")
-    layout.parts = {(r["cell"], r["ring"]): -(-r["count"] // BLOCK_ROWS)
-                    for r in rings.groupBy("cell", "ring").count().collect()}
-    parts = layout.parts
+    cells = materialize(vectors.mapInPandas(to_cells, f"{base}, cell int"), "knn-cells")
+    width = cells.select(F.size("vec").alias("w")).first()["w"]
+    ends = [f(F.col("vec")[j]).alias(f"{name}{j}") for j in range(width) for name, f in (("lo", F.min), ("hi", F.max))]
+    stats = {r["cell"]: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), *ends).collect()}
+    boxes = tuple(np.array([[stats[c][f"{name}{j}"] if c in stats else np.inf for j in range(width)]
+                            for c in range(tree.leaves)]).reshape(tree.leaves, width) for name in ("lo", "hi"))
+    layout = Layout(None, [], {(c, 0): -(-r["n"] // BLOCK_ROWS) for c, r in stats.items()}, boxes)
+    parts = np.array([layout.parts.get((c, 0), 1) for c in range(tree.leaves)])
+    span = int(np.clip(tree.leaves // SIDES, 1, SPAN))
 
     def to_parts(frames):
         for f in frames:
-            s = np.array([parts[c, r] for c, r in zip(f["cell"], f["ring"])], dtype="int64")
-            yield f.assign(part=(f["u"].to_numpy() % s).astype("int32")).drop(columns="u")
-
-    blocks = rings.withColumn("u", F.pmod(F.xxhash64(F.lit(seed + 1), "vec"), F.lit(1 << 40))) \
-        .mapInPandas(to_parts, f"{base}, cell int, dist double, ring int, part int")
-    found = f"{base}, cell int, ring int, part int, nd array<double>, nr array<{keytype}>, nm array<bigint>"
-
-    def own_block(f: pd.DataFrame) -> pd.DataFrame:
-        x, reps, mults = matrix(f["vec"]), f["rep"].to_numpy(), f["mult"].to_numpy()
-        nd, nr, nm = nearest(x, x, reps, mults, k, own=True)
-        return f.drop(columns="dist").assign(nd=nd, nr=nr, nm=nm)
-
-    first = materialize(blocks.groupBy("cell", "ring", "part").applyInPandas(own_block, found), "knn-own")
+            yield f.assign(part=(f["u"].to_numpy() % parts[f["cell"]]).astype("int32"), ring=np.int32(0),
+                           side=(f["cell"] // span).astype("int32")).drop(columns="u")
+
+    blocks = cells.withColumn("u", F.pmod(F.xxhash64(F.lit(seed + 1), "vec"), F.lit(1 << 40))) \
+        .mapInPandas(to_parts, f"{base}, cell int, ring int, part int, side int")
+    lists = f"nd array<double>, nr array<{keytype}>, nm array<bigint>"
+
+    def search(x, at_least, cell, part, host, skip_own):
+        """Per row of ``x`` its nearest among the blocks of ``host`` (columns cell, part, x, rep, mult) that are
+        within reach; with ``skip_own`` the rows of ``x`` are those of ``host``, and their own block comes first."""
+        held: list[list] = [[] for _ in range(len(x))]
+        bars = np.array(at_least, dtype=float)
+        near = box_squares(x, *(b[cells_here] for b in boxes)) if len(cells_here := np.unique(host["cell"])) else None
+        where = {(c, p): np.flatnonzero((host["cell"] == c) & (host["part"] == p))
+                 for c, p in sorted(set(zip(host["cell"].tolist(), host["part"].tolist())))}
+
+        def add(rows, at, own):
+            got = nearest(x[rows], host["x"][at], host["rep"][at], host["mult"][at], k, own=own)
+            for i, *found in zip(rows.tolist(), *got):
+                held[i] = first_of(held[i], list(zip(*found)), k)
+                bars[i] = min(bars[i], bar_of([h[0] for h in held[i]], k))
+
+        if skip_own:
+            for at in where.values():
+                add(at, at, True)
+        for (c, p), at in where.items():
+            open_ = near[:, np.searchsorted(cells_here, c)] <= bars
+            if skip_own:
+                open_ &= (cell != c) | (part != p)
+            rows = np.flatnonzero(open_)
+            if len(rows):
+                add(rows, at, False)
+        return [[list(v) for v in zip(*h)] or [[], [], []] for h in held]
+
+    def columns(f, prefix=""):
+        get = lambda name: f[prefix + name].to_numpy()
+        return {"cell": get("cell"), "part": get("part"), "x": matrix(f[prefix + "vec"]), "rep": get("rep"), "mult": get("mult")}
+
+    def own_side(f: pd.DataFrame) -> pd.DataFrame:
+        host = columns(f)
+        got = search(host["x"], np.full(len(f), np.inf), host["cell"], host["part"], host, True)
+        return f.assign(**{name: [g[j] for g in got] for j, name in enumerate(("nd", "nr", "nm"))})
+
+    found = f"{base}, cell int, ring int, part int, side int, {lists}"
+    first = materialize(blocks.groupBy("side").applyInPandas(own_side, found), "knn-own")
 
     def to_visits(frames):
         for f in frames:
-            yield from visits_of(f, layout, k)
+            f = f.reset_index(drop=True)
+            own = dict(zip(f["rep"], zip(f["side"], f["nd"])))
+            for v in visits_of(f, layout, k):
+                v = v.assign(side=(v["cell"] // span).astype("int32")).drop_duplicates(["rep", "side"])
+                v = v[v["side"].to_numpy() != np.array([own[r][0] for r in v["rep"]])]
+                yield v[["rep", "vec", "side"]].assign(bar=[bar_of(own[r][1], k) for r in v["rep"]])
 
-    block = ["cell", "ring", "part"]
     # copies need no search beyond themselves: all k neighbours are the vector itself
-    asking = first.where(F.col("mult") <= k).select("rep", "vec", *block, "nd")
+    asking = first.where(F.col("mult") <= k).select("rep", "vec", "cell", "ring", "part", "side", "nd")
     visits = materialize(asking.mapInPandas(
-        to_visits, f"rep {keytype}, vec array<double>, cell int, ring int, part int"), "knn-visits")
-    groups = visits.groupBy(*block).agg(F.ceil(F.count("*") / VISITORS).alias("groups"))
-    dealt = visits.join(groups, block).withColumn("g", F.pmod(F.xxhash64("rep"), F.col("groups")))
+        to_visits, f"rep {keytype}, vec array<double>, side int, bar double"), "knn-visits")
+    counts = [(r["side"], -(-r["count"] // VISITORS)) for r in visits.groupBy("side").count().collect()]
+    groups = F.broadcast(vectors.sparkSession.createDataFrame(counts, "side int, groups long"))     # a row per side
+    dealt = visits.join(groups, "side").withColumn("g", F.pmod(F.xxhash64("rep"), F.col("groups")))
     # names of its own: both sides come from the same table
-    hosts = first.select("rep", "mult", "vec", *block).join(groups, block).select(
-        *[F.col(c).alias(f"h_{c}") for c in ("rep", "mult", "vec", *block)],
+    host = ("rep", "mult", "vec", "cell", "part", "side")
+    hosts = first.select(*host).join(groups, "side").select(
+        *[F.col(c).alias(f"h_{c}") for c in host],
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("h_g"))
 
     def visit(_, guests: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
         if not len(guests) or not len(host):
             return pd.DataFrame({"rep": [], "nd": [], "nr": [], "nm": []})
-        nd, nr, nm = nearest(matrix(guests["vec"]), matrix(host["h_vec"]), host["h_rep"].to_numpy(),
-                             host["h_mult"].to_numpy(), k)
-        return pd.DataFrame({"rep": guests["rep"].to_numpy(), "nd": nd, "nr": nr, "nm": nm})
+        got = search(matrix(guests["vec"]), guests["bar"].to_numpy(), None, None, columns(host, "h_"), False)
+        return pd.DataFrame({"rep": guests["rep"].to_numpy(), **{
+            name: [g[j] for g in got] for j, name in enumerate(("nd", "nr", "nm"))}})
 
-    lists = f"rep {keytype}, nd array<double>, nr array<{keytype}>, nm array<bigint>"
-    second = dealt.groupBy(*block, "g").cogroup(
-        hosts.groupBy("h_cell", "h_ring", "h_part", "h_g")).applyInPandas(visit, lists)
+    second = dealt.groupBy("side", "g").cogroup(hosts.groupBy("h_side", "h_g")).applyInPandas(
+        visit, f"rep {keytype}, {lists}")
     zipped = F.arrays_zip(F.col("nd").alias("d2"), F.col("nr").alias("rep"), F.col("nm").alias("mult"))
     every = first.select("rep", "nd", "nr", "nm").unionByName(second)
     merged = every.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list(
@@ -320,7 +404,8 @@ def smote(df: DataFrame, key: str, label: str, features, ratio: float = 0.2, k:
     vec = F.array(*[F.col(c).cast("double") for c in features])
     positives = df.where(F.col(label) == 1).select(F.col(key).alias("key"), F.col(label).alias("label"), vec.alias("vec"))
     vectors = materialize(distinct_vectors(positives, "key", "vec"), "smote-vectors")
-    lists = materialize(nearest_neighbours(vectors, near, seed), "smote-neighbours")
+    with temporary_tables(df.sparkSession) as keep:
+        lists = keep(materialize(nearest_neighbours(vectors, near, seed), "smote-neighbours"))
     # the neighbours in order: copies of the vector, then the others with their copies
     times = lambda v, m: F.array_repeat(v, F.least(m, F.lit(near)).cast("int"))
     order = F.concat(times(F.col("rep"), F.col("mult") - 1),

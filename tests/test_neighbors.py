@@ -158,3 +158,32 @@ def test_nearest_by_product_equals_all_squares(scale):
     big = np.array([[1e200], [-1e200], [0.0], [1.0]])
     assert tuple(N.nearest(big, big, np.arange(4), np.ones(4, int), 2, own=True)) == tuple(
         N.nearest_lists(N.squares(big, big), np.arange(4), np.ones(4, int), 2, own=np.arange(4)))
+
+
+def test_cells_are_boxes_and_bounds_hold():
+    """Every vector lies in the box of its cell, and no box is farther than its nearest vector."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(2000, 5)), rng.integers(0, 2, (500, 5)).astype(float)])
+    tree = N.Tree(x[::3], 20)
+    cell = tree.leaf(x)
+    assert tree.leaves == 20 and set(cell) == set(range(20)) and np.bincount(cell).max() < 4 * len(x) / 20
+    low, high = (np.array([f(x[cell == c], axis=0) for c in range(20)]) for f in (np.min, np.max))
+    square = N.box_squares(x[:50], low, high)
+    assert (square[np.arange(50), cell[:50]] == 0).all()
+    least = np.array([[((x[cell == c] - v) ** 2).sum(axis=1).min() for c in range(20)] for v in x[:50]])
+    assert (square <= least + 1e-12).all()
+    assert N.Tree(np.ones((9, 2)), 4).leaves == 1
+
+
+def test_vectors_are_sent_once_per_side(spark, monkeypatch):
+    """Vectors in no clusters: what is written for visits stays below a row per block, and the
+    tables of the search are deleted."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(N, "VISITORS", 500)
+    sent, real = {}, N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, name: (lambda t: (sent.update({name: t.count()}), t)[1])(real(df, name)))
+    vectors = np.random.default_rng(9).normal(size=(3000, 6))
+    got = N.nearest_neighbours(N.distinct_vectors(frame(spark, vectors), "key", "vec"), 5).collect()
+    want = brute(vectors, 5)
+    assert all([x["rep"] for x in r["near"]] == [b for _, b, _ in want[r["rep"]][1]] for r in got) and len(got) == 3000
+    assert sent["knn-visits"] <= 3000 * 18                      # 75 blocks in 19 sides
