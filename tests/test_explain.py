@@ -106,3 +106,24 @@ def test_ranked_contributions_need_no_shuffle(spark):
     assert [(r.feature, r.cumulative) for r in walk.where("k = 1").orderBy("step").collect()] == [
         ("b", -1.0), ("a", -0.5), ("c", 0.0)]
     assert X.long_form(rows, "k").count() == 6
+
+
+def test_leaf_tables_are_made_once_within_their_room(monkeypatch):
+    """Tables are kept from batch to batch up to a bound, and give the same sums."""
+    made, real = [], X.leaf_tables
+    monkeypatch.setattr(X, "leaf_tables", lambda t, w: made.append(1) or real(t, w))
+    tree = X.Tree(np.array([1, 3, -1, -1, -1]), np.array([2, 4, -1, -1, -1]), np.array([0, 1, -1, -1, -1]),
+                  np.array([0.5, 0.2, 0, 0, 0]), np.array([0, 0, 3.0, 1.0, 2.0]), np.array([10.0, 6, 4, 2, 4]))
+    x = np.random.default_rng(1).random((2, 50))
+    for room, times in ((10_000, 2), (0, 6)):
+        monkeypatch.setattr(X, "TABLE_CELLS", room)
+        of, phi = X.kept_tables([tree, tree], [1.0, 0.5]), np.zeros((2, 50))
+        made.clear()
+        for _ in range(3):
+            for i in range(2):
+                X.add_contributions(tree, of(i), x, phi)
+        assert len(made) == times
+        for r in range(50):
+            want = np.zeros(2)
+            X.tree_shap(tree, x[:, r], want, 4.5)
+            assert np.allclose(phi[:, r], want, atol=1e-12)
